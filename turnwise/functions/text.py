@@ -16,10 +16,21 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda every mention of an expression would compute it again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(_text(c), F.lit(pattern)).cast("bigint")
 
 
+def count_chars(c: Column, chars: str) -> Column:
+    """How many characters are of a class such as ``[a-z]``: what is gone once runs of them are cut out. Cheaper than listing matches."""
+    t = _text(c)
+    return (F.length(t) - F.length(F.regexp_replace(t, f"(?:{chars})++", ""))).cast("bigint")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.when(b != 0, a / b)
@@ -42,20 +53,20 @@ def line_feeds(c: Column) -> Column:
 
 
 def replacement_count(c: Column) -> Column:
-    return count(c, r"\x{FFFD}")
+    return count_chars(c, r"\x{FFFD}")
 
 
 def zero_width_count(c: Column) -> Column:
-    return count(c, r"[\x{200B}-\x{200D}\x{FEFF}]")
+    return count_chars(c, r"[\x{200B}-\x{200D}\x{FEFF}]")
 
 
 def control_count(c: Column) -> Column:
-    return count(c, r"[\p{C}&&[^\t\n\r]]")
+    return count_chars(c, r"[\p{C}&&[^\t\n\r]]")
 
 
 def nonprintable_ratio(c: Column) -> Column:
     """Characters that do not print, blanks other than U+0020 included, per character; 0 for empty text."""
-    return F.coalesce(ratio(count(c, r"[[\p{C}\p{Z}]&&[^ \t\n\r]]"), F.length(_text(c))), F.lit(0.0))
+    return F.coalesce(ratio(count_chars(c, r"[[\p{C}\p{Z}]&&[^ \t\n\r]]"), F.length(_text(c))), F.lit(0.0))
 
 
 SCRIPTS = {
@@ -70,7 +81,7 @@ _OTHER = r"[\p{L}&&[^\x{0041}-\x{024F}\x{1E00}-\x{1EFF}\x{0400}-\x{052F}\x{3000}
 
 def script_ratios(c: Column) -> Column:
     """A struct of six shares (cyrillic, latin, cjk, arabic, digit, other) of the counted characters; all 0 if none counts."""
-    n = {name: count(c, pattern) for name, pattern in (SCRIPTS | {"other": _OTHER}).items()}
+    n = {name: count_chars(c, pattern) for name, pattern in (SCRIPTS | {"other": _OTHER}).items()}
     counts = F.struct(*[v.alias(k) for k, v in n.items()])
 
     def shares(s: Column) -> Column:
@@ -85,25 +96,39 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(_text(c), r"(?U)\s+"), lambda x: x != "")
 
 
-def entropy_bits(words: Column) -> Column:
-    """Shannon entropy of the word types in bits; null without words. Runs of the sorted words give the type counts."""
+def type_counts(words: Column) -> Column:
+    """(run, weight, once) folded over the sorted words: sum of k * log2 k over the counts k of the types, and types with count 1."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("weight"), F.lit(0).alias("once"))
+
+    def close(s: Column) -> Column:
+        return F.struct(
+            s["word"].alias("word"), s["run"].alias("run"),
+            (s["weight"] + F.when(s["run"] > 1, s["run"] * F.log2(s["run"].cast("double"))).otherwise(0.0)).alias("weight"), (s["once"] + F.when(s["run"] == 1, 1).otherwise(0)).alias("once"),
+        )
+
+    def step(s: Column, w: Column) -> Column:
+        same = F.struct(s["word"].alias("word"), (s["run"] + 1).alias("run"), s["weight"].alias("weight"), s["once"].alias("once"))
+        other = F.struct(
+            w.alias("word"), F.lit(1).alias("run"),
+            (s["weight"] + F.when(s["run"] > 1, s["run"] * F.log2(s["run"].cast("double"))).otherwise(0.0)).alias("weight"), (s["once"] + F.when(s["run"] == 1, 1).otherwise(0)).alias("once"),
+        )
+        return F.when(s["word"] == w, same).otherwise(other)
+
+    return F.aggregate(F.array_sort(words), start, step, close)
+
+
+def entropy_bits(words: Column, counts: Column | None = None) -> Column:
+    """Shannon entropy of the word types in bits; null without words. ``counts`` is ``type_counts(words)`` if at hand."""
     n = F.size(words)
-    ordered = F.array_sort(words)
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(ordered, i) != F.try_element_at(ordered, i + 1)))
-    sizes = F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), lambda a, b: a - b)
-    return F.when(n > 0, F.aggregate(sizes, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n)))
+    counts = type_counts(words) if counts is None else counts
+    return F.when(n > 0, F.log2(n.cast("double")) - counts["weight"] / n)
 
 
-def hapax_ratio(words: Column) -> Column:
+def hapax_ratio(words: Column, counts: Column | None = None) -> Column:
     """Share of word positions whose word occurs once; null without words."""
     n = F.size(words)
-    ordered = F.array_sort(words)
-    once = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: ((i == 1) | (F.element_at(ordered, i) != F.try_element_at(ordered, F.greatest(i - 1, F.lit(1)))))
-        & ((i == n) | (F.element_at(ordered, i) != F.try_element_at(ordered, i + 1))),
-    )
-    return F.when(n > 0, F.size(once) / n)
+    counts = type_counts(words) if counts is None else counts
+    return F.when(n > 0, counts["once"] / n)
 
 
 def type_token_ratio(words: Column) -> Column:
@@ -112,10 +137,9 @@ def type_token_ratio(words: Column) -> Column:
 
 def array_median(values: Column) -> Column:
     """Exact median of an array of numbers, the mean of the middle two for an even count; null if empty."""
-    ordered = F.array_sort(values)
     n = F.size(values)
     low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2 + 1).cast("int")
-    return F.when(n > 0, (F.element_at(ordered, low) + F.element_at(ordered, high)) / 2.0)
+    return F.when(n > 0, bind(F.array_sort(values), lambda v: (F.element_at(v, low) + F.element_at(v, high)) / 2.0))
 
 
 def array_mean(values: Column) -> Column:
@@ -141,7 +165,7 @@ def repeated_char_run_ratio(c: Column) -> Column:
     """Letters and digits in runs of three or more of the same character, per letter and digit; 0 if there are none."""
     runs = F.regexp_extract_all(_text(c), F.lit(r"([\p{L}\p{N}])\1{2,}"), 0)
     inside = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
-    return F.coalesce(ratio(inside, count(c, r"[\p{L}\p{N}]")), F.lit(0.0))
+    return F.coalesce(ratio(inside, count_chars(c, r"[\p{L}\p{N}]")), F.lit(0.0))
 
 
 def normalise_body(c: Column) -> Column:

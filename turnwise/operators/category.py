@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import strip
+from turnwise.functions.text import bind, strip
 
 RULES_VERSION = "v2_strength_primary"
 
@@ -75,9 +75,9 @@ def classify(segments: Column) -> Column:
 
     def hits(x: Column) -> Column:
         low = F.regexp_replace(F.lower(x["text"]), FILLERS, " ")
-        words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), 0))
         n = F.regexp_count(F.lower(x["text"]), F.lit(r"[A-Za-zА-Яа-яЁё0-9'-]{3,}"))
-        return F.struct(x["text"].alias("text"), x["speakers"].alias("speakers"), x["switches"].alias("switches"), n.alias("n"), F.struct(*[keyword_hits(words, k).alias(c) for c, k in KEYWORDS.items()]).alias("hits"))
+        found = bind(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), 0)), lambda words: F.struct(*[keyword_hits(words, k).alias(c) for c, k in KEYWORDS.items()]))
+        return F.struct(x["text"].rlike(r"(?U)\S").alias("said"), x["speakers"].alias("speakers"), x["switches"].alias("switches"), n.alias("n"), found.alias("hits"))
 
     def decide(x: Column) -> Column:
         counts = {c: x["hits"][c] for c in KEYWORDS}
@@ -88,17 +88,19 @@ def classify(segments: Column) -> Column:
         entry = lambda c, s: F.struct(s.alias("s"), F.lit(-ORDER.index(c)).alias("o"), F.lit(c).alias("c"))
         rows = [F.when(counts[c] > 0, entry(c, cover[c])) for c in KEYWORDS]
         rows.append(F.when(listed & thin, entry("dialogue_meeting", dialogue_strength(x["speakers"], x["switches"]))))
-        ranked = F.reverse(F.array_sort(F.filter(F.array(*rows), lambda r: r.isNotNull())))
-        best, runner = ranked[0]["s"], F.try_element_at(ranked, F.lit(2))["s"]
-        sure = F.bround(F.when(runner > 1e-12, F.least(F.lit(1.0), best / runner)).otherwise(F.least(F.lit(1.0), best / LONE_STRENGTH)), 3)
         length = F.when(x["n"] < 15, "short_note").when(x["n"] < 60, "quick_message").otherwise("general_monologue")
         fallback = F.bround(F.least(F.lit(1.0), F.lit(10.0) / F.greatest(F.lit(5), x["n"]) * 0.8), 3)
-        blank = ~x["text"].rlike(r"(?U)\S")
-        found = F.size(ranked) > 0
-        return F.struct(
-            F.when(blank, "empty").when(found, ranked[0]["c"]).otherwise(length).alias("primary"),
-            F.when(blank, 0.0).when(found, sure).otherwise(fallback).alias("confidence"),
-        )
+
+        def name(ranked: Column) -> Column:
+            best, runner = ranked[0]["s"], F.try_element_at(ranked, F.lit(2))["s"]
+            sure = F.bround(F.when(runner > 1e-12, F.least(F.lit(1.0), best / runner)).otherwise(F.least(F.lit(1.0), best / LONE_STRENGTH)), 3)
+            found = F.size(ranked) > 0
+            return F.struct(
+                F.when(~x["said"], "empty").when(found, ranked[0]["c"]).otherwise(length).alias("primary"),
+                F.when(~x["said"], 0.0).when(found, sure).otherwise(fallback).alias("confidence"),
+            )
+
+        return bind(F.reverse(F.array_sort(F.filter(F.array(*rows), lambda r: r.isNotNull()))), name)
 
     return F.transform(F.transform(F.array(bound), hits), decide)[0]
 
@@ -109,11 +111,12 @@ def raw_tokens(text: Column) -> Column:
 
 def raw_labels(text: Column) -> Column:
     """All labels a stem of which occurs anywhere in the text; without any, one label by the number of words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    own = [F.when(_any(low, words), F.lit(c)) for c, words in RAW_KEYWORDS.items()]
-    labels = F.filter(F.array(*own), lambda x: x.isNotNull())
+    def own(low: Column) -> Column:
+        return F.filter(F.array(*[F.when(_any(low, words), F.lit(c)) for c, words in RAW_KEYWORDS.items()]), lambda x: x.isNotNull())
+
     n = F.size(raw_tokens(text))
-    return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.when(n < 8, RAW_FALLBACKS[0]).when(n < 40, RAW_FALLBACKS[1]).otherwise(RAW_FALLBACKS[2])))
+    fallback = F.array(F.when(n < 8, RAW_FALLBACKS[0]).when(n < 40, RAW_FALLBACKS[1]).otherwise(RAW_FALLBACKS[2]))
+    return bind(bind(F.lower(F.coalesce(text, F.lit(""))), own), lambda labels: F.when(F.size(labels) > 0, labels).otherwise(fallback))
 
 
 def _any(low: Column, words: list[str]) -> Column:
@@ -125,14 +128,14 @@ def _any(low: Column, words: list[str]) -> Column:
 
 def raw_primary(text: Column, labels: Column) -> Column:
     """The label with most stem occurrences in the joined words; ties by the fixed order; a single label stands."""
-    joined = F.array_join(raw_tokens(text), " ")
-
-    def score(c: str) -> Column:
+    def score(joined: Column, c: str) -> Column:
         total = F.lit(0)
         for w in RAW_KEYWORDS[c]:
             total = total + (F.length(joined) - F.length(F.replace(joined, F.lit(w), F.lit("")))) / len(w)
         return total.cast("int")
 
-    ranked = F.array(*[F.when(F.array_contains(labels, c), F.struct(score(c).alias("n"), F.lit(-RAW_ORDER.index(c)).alias("o"), F.lit(c).alias("c"))) for c in RAW_KEYWORDS])
-    best = F.array_max(F.filter(ranked, lambda r: r.isNotNull()))
-    return F.when(F.size(labels) == 1, labels[0]).otherwise(best["c"])
+    def best(joined: Column) -> Column:
+        ranked = F.array(*[F.when(F.array_contains(labels, c), F.struct(score(joined, c).alias("n"), F.lit(-RAW_ORDER.index(c)).alias("o"), F.lit(c).alias("c"))) for c in RAW_KEYWORDS])
+        return F.array_max(F.filter(ranked, lambda r: r.isNotNull()))["c"]
+
+    return F.when(F.size(labels) == 1, labels[0]).otherwise(bind(F.array_join(raw_tokens(text), " "), best))

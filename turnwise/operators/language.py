@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwise.functions.text import bind, count_chars
+
 # fixed values: frequent small words of each language
 SMALL_WORDS = {
     "en": "the and to of in is that it for on with was be you but not this have are at by so just from we",
@@ -19,7 +21,7 @@ SMALL_WORDS = {
 }
 # fixed values: letters that set a language apart from its neighbours
 LETTERS = {"en": r"[qwx]|th", "ru": "[ыэъё]", "uk": "[їєґ]", "be": "[ўэы]|дз", "de": "[äöüß]|sch|ch", "pl": "[ąęłńśźż]|cz|sz|rz"}
-SCRIPT = {"ru": r"\p{IsCyrillic}", "uk": r"\p{IsCyrillic}", "be": r"\p{IsCyrillic}", "en": r"\p{IsLatin}", "de": r"\p{IsLatin}", "pl": r"\p{IsLatin}"}
+CYRILLIC = ("ru", "uk", "be")
 AGAINST = {"ru": "[іїєґў]", "uk": "[ыэъёў]", "be": "[иїєґщъ]", "en": "[äöüßąęłńśźż]", "de": "[ąęłńśźż]", "pl": "[äöüß]"}
 MIXED_GAP = 0.08
 SECOND_SHARE = 0.3
@@ -31,37 +33,49 @@ def language_codes(text: str | None) -> list[str]:
     return [c for c in codes if c in SMALL_WORDS] or sorted(SMALL_WORDS)
 
 
+def _one_of(words: list[str]):
+    return lambda w: w.isin(words)
+
+
 def detect(sample: Column, languages: dict[str, list[str]] | None = None) -> Column:
-    """(iso, confidence, mixed) of a text. Blank text and text without letters: ("", 0.0, false).
+    """(iso, confidence, mixed) of a text. Blank text and text in neither script: ("", 0.0, false).
 
     A language scores its small words twice, its own letters, and loses letters it never uses; confidence is the best
     score's share of all; mixed if the two best are close or a second script holds a third of the letters.
     """
     table = languages or {k: v.split() for k, v in SMALL_WORDS.items()}
-    low = F.lower(F.coalesce(sample, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0)
+    def counted(low: Column) -> Column:
+        """Counts of one text; a script's own letters are only looked for where the script occurs."""
+        return bind(F.struct(count_chars(low, r"\p{IsCyrillic}").alias("cyrillic"), count_chars(low, r"\p{IsLatin}").alias("latin")), lambda x: letters(low, x))
+
+    def letters(low: Column, x: Column) -> Column:
+        own = []
+        for iso in table:
+            there = x["cyrillic"] if iso in CYRILLIC else x["latin"]
+            size = count_chars(low, LETTERS[iso]) - count_chars(low, AGAINST[iso]) if iso in LETTERS else F.lit(0).cast("bigint")
+            own.append(F.when(there > 0, size).otherwise(0).alias(f"own_{iso}"))
+        return F.struct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0).alias("words"), (x["cyrillic"] + x["latin"]).alias("n"), x["cyrillic"].alias("cyrillic"), x["latin"].alias("latin"), *own)
 
     def scores(x: Column) -> Column:
-        size = lambda p: F.regexp_count(x["low"], F.lit(p))
-        n = size(r"\p{L}")
+        n, m = F.greatest(x["n"], F.lit(1)), F.greatest(F.size(x["words"]), F.lit(1))
         each = []
         for iso, own in table.items():
-            script = size(SCRIPT.get(iso, r"\p{L}")) / F.greatest(n, F.lit(1))
-            small = F.size(F.filter(x["words"], lambda w: w.isin(own))) / F.greatest(F.size(x["words"]), F.lit(1))
-            letters = (size(LETTERS[iso]) - size(AGAINST[iso]) if iso in LETTERS else F.lit(0)) / F.greatest(n, F.lit(1))
-            each.append(F.struct(F.greatest(script * (0.05 + 2 * small + 2 * letters), F.lit(0.0)).alias("score"), F.lit(iso).alias("iso")))
-        lesser = F.least(size(r"\p{IsCyrillic}"), size(r"\p{IsLatin}"))
-        return F.struct(n.alias("n"), F.reverse(F.array_sort(F.array(*each))).alias("by"), (lesser > SECOND_SHARE * n).alias("scripts"))
+            script = (x["cyrillic"] if iso in CYRILLIC else x["latin"] if iso in SMALL_WORDS else x["n"]) / n
+            small = F.size(F.filter(x["words"], _one_of(own))) / m
+            each.append(F.struct(F.greatest(script * (0.05 + 2 * small + 2 * x[f"own_{iso}"] / n), F.lit(0.0)).alias("score"), F.lit(iso).alias("iso")))
+        return F.struct(x["n"].alias("n"), F.sort_array(F.array(*each), asc=False).alias("by"), (F.least(x["cyrillic"], x["latin"]) > SECOND_SHARE * x["n"]).alias("scripts"))
 
     def pick(x: Column) -> Column:
         total = F.aggregate(x["by"], F.lit(0.0), lambda a, s: a + s["score"])
-        first, second = x["by"][0]["score"] / total, (x["by"][1]["score"] / total if len(table) > 1 else F.lit(0.0))
-        known = (x["n"] > 0) & (total > 0)
+        return bind(F.struct(x["n"].alias("n"), x["scripts"].alias("scripts"), x["by"].alias("by"), total.alias("total")), name)
+
+    def name(x: Column) -> Column:
+        first, second = x["by"][0]["score"] / x["total"], (x["by"][1]["score"] / x["total"] if len(table) > 1 else F.lit(0.0))
+        known = (x["n"] > 0) & (x["total"] > 0)
         return F.struct(
             F.when(known, x["by"][0]["iso"]).otherwise("").alias("iso"),
             F.when(known, first).otherwise(0.0).alias("confidence"),
             F.when(known, x["scripts"] | (first - second < MIXED_GAP)).otherwise(False).alias("mixed"),
         )
 
-    bound = F.transform(F.array(F.struct(low.alias("low"), words.alias("words"))), scores)
-    return F.transform(bound, pick)[0]
+    return bind(bind(bind(F.lower(F.coalesce(sample, F.lit(""))), counted), scores), pick)

@@ -62,12 +62,11 @@ def layer_a(segments: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def layer_b(segments: Column, text: Column, body: Column, words: Column, lang: Column, file_name: Column, cat: Column) -> dict[str, Column]:
-    """The 28 text columns by full name. ``words`` are the tokens of ``body``; blank bodies have the category ``unknown``."""
+def layer_b(segments: Column, text: Column, body: Column, words: Column, types: Column, scripts: Column, lang: Column, file_name: Column, cat: Column) -> dict[str, Column]:
+    """The 28 text columns by full name. ``words`` are the tokens of ``body``, ``types`` their type counts; blank bodies have the category ``unknown``."""
     empty = body == ""
     n = F.size(words).cast("bigint")
     lengths = T.word_lengths(words)
-    scripts = T.script_ratios(body)
     out = {
         "layer_b_unicode_replacement_count": T.replacement_count(body),
         "layer_b_control_char_count": T.control_count(body),
@@ -77,8 +76,8 @@ def layer_b(segments: Column, text: Column, body: Column, words: Column, lang: C
         "layer_b_total_tokens": n,
         "layer_b_unique_tokens": F.size(F.array_distinct(words)).cast("bigint"),
         "layer_b_type_token_ratio": T.type_token_ratio(words),
-        "layer_b_hapax_ratio": T.hapax_ratio(words),
-        "layer_b_word_entropy_bits": T.entropy_bits(words),
+        "layer_b_hapax_ratio": T.hapax_ratio(words, types),
+        "layer_b_word_entropy_bits": T.entropy_bits(words, types),
         "layer_b_mean_word_length": T.array_mean(lengths),
         "layer_b_median_word_length": T.array_median(lengths),
         "layer_b_long_word_ratio": T.long_word_ratio(words),
@@ -115,9 +114,10 @@ def add_features(df: DataFrame, text: str = "transcription_text", file_name: str
         named = F.col(file_name) if file_name and file_name in df.columns else F.lit(None).cast("string")
         out = (
             out.withColumn("_body", body_text(F.col("_segs")))
-            .withColumns({"_words": T.tokens(F.col("_body")), "_lang": detect(T.detection_sample(F.col("_body"), max_chars), languages), "_cat": category.classify(F.col("_segs"))})
-            .withColumns(layer_b(F.col("_segs"), F.col(text), F.col("_body"), F.col("_words"), F.col("_lang"), named, F.col("_cat")))
-            .drop("_body", "_words", "_lang", "_cat")
+            .withColumns({"_words": T.tokens(F.col("_body")), "_scripts": T.script_ratios(F.col("_body")), "_lang": detect(T.detection_sample(F.col("_body"), max_chars), languages), "_cat": category.classify(F.col("_segs"))})
+            .withColumn("_types", T.type_counts(F.col("_words")))
+            .withColumns(layer_b(F.col("_segs"), F.col(text), F.col("_body"), F.col("_words"), F.col("_types"), F.col("_scripts"), F.col("_lang"), named, F.col("_cat")))
+            .drop("_body", "_words", "_types", "_scripts", "_lang", "_cat")
         )
     flags = {c: F.col(c).cast("tinyint") for c in out.columns if c in ("layer_a_unreasonable_speaker_churn", "layer_b_language_mixed")}
     return out.withColumns(flags).drop("_segs")

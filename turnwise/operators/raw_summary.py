@@ -41,8 +41,8 @@ def quality_flags(text: Column) -> dict[str, Column]:
         "word_count": F.size(raw_tokens(body)).cast("bigint"),
         "char_count": size(F.length(body)),
         "line_count": size(F.regexp_count(body, F.lit("\n")) + 1),
-        "cyr": T.count(F.lower(body), "[а-яёіїє]"),
-        "lat": T.count(F.lower(body), "[a-z]"),
+        "cyr": T.count_chars(F.lower(body), "[а-яёіїє]"),
+        "lat": T.count_chars(F.lower(body), "[a-z]"),
     }
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as T
 from turnwise.functions.dates import month_key, parse_created_at
 from turnwise.operators.category import KEYWORDS
+from turnwise.session import stash
 
 _CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:\.\d+)?"
 TIMES = rf"\[\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}\s*\]|(?m:^)\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}:"
@@ -54,7 +55,7 @@ def script_proxy(sample: Column) -> Column:
     latin = r"[\p{L}&&[\x{0041}-\x{024F}\x{1E00}-\x{1EFF}]]"
     other = r"[\p{L}&&[^\x{0041}-\x{024F}\x{1E00}-\x{1EFF}\x{0400}-\x{052F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0600}-\x{08FF}]]"
     n = {"cyrillic": r"[\x{0400}-\x{052F}]", "latin": latin, "cjk": r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{08FF}&&[^\p{Nd}]]", "rest": other + r"|\p{Nd}"}
-    bound = F.array(F.struct(*[T.count(sample, p).alias(k) for k, p in n.items()]))
+    bound = F.array(F.struct(*[T.count_chars(sample, p).alias(k) for k, p in n.items()]))
 
     def pick(s: Column) -> Column:
         total = F.greatest(F.lit(1), s["cyrillic"] + s["latin"] + s["cjk"] + s["arabic"] + s["rest"])
@@ -75,33 +76,42 @@ def script_proxy(sample: Column) -> Column:
 
 def cheap_category(sample: Column, n_words: Column, speakers: Column, switches: Column) -> Column:
     """(category, confidence) by stems that occur anywhere; ties go to the later name."""
-    low = F.lower(sample)
-    rows = []
-    for name, words in KEYWORDS.items():
-        hits = F.lit(0)
-        for w in words:
-            hits = hits + F.contains(low, F.lit(w)).cast("int")
-        rows.append(F.struct(hits.alias("n"), F.lit(name).alias("c")))
-    best = F.array_max(F.array(*rows))
+    def best_of(low: Column) -> Column:
+        rows = []
+        for name, words in KEYWORDS.items():
+            hits = F.lit(0)
+            for w in words:
+                hits = hits + F.contains(low, F.lit(w)).cast("int")
+            rows.append(F.struct(hits.alias("n"), F.lit(name).alias("c")))
+        return F.array_max(F.array(*rows))
+
     talk = (speakers >= 2) & (switches >= 3)
-    return F.struct(
-        F.when(best["n"] > 0, best["c"]).when(talk, "dialogue_meeting").when(n_words < 15, "short_note").when(n_words < 60, "quick_message").otherwise("general_monologue").alias("category"),
-        F.when(best["n"] > 0, F.least(F.lit(1.0), best["n"] / 4)).when(talk, F.least(F.lit(1.0), F.log1p(switches) / math.log1p(20))).when(n_words < 15, 0.6).when(n_words < 60, 0.5).otherwise(0.4).alias("confidence"),
+
+    def name(best: Column) -> Column:
+        hit = best["n"] > 0
+        return F.struct(
+            F.when(hit, best["c"]).when(talk, "dialogue_meeting").when(n_words < 15, "short_note").when(n_words < 60, "quick_message").otherwise("general_monologue").alias("category"),
+            F.when(hit, F.least(F.lit(1.0), best["n"] / 4)).when(talk, F.least(F.lit(1.0), F.log1p(switches) / math.log1p(20))).when(n_words < 15, 0.6).when(n_words < 60, 0.5).otherwise(0.4).alias("confidence"),
+        )
+
+    return T.bind(T.bind(F.lower(sample), best_of), name)
+
+
+def _identified(df: DataFrame, key: str, created_at: str, text: str) -> DataFrame:
+    """(transcript_id, month, created_at, text) of rows with a readable time."""
+    base = df.withColumn("_at", parse_created_at(F.col(created_at), trim=True)).filter(F.col("_at").isNotNull())
+    fallback = F.concat(F.lit("row_"), F.hex(F.xxhash64(created_at, text)))
+    return base.select(
+        F.when(F.trim(key) != "", F.trim(key)).otherwise(fallback).alias("transcript_id"), month_key(F.col("_at")).alias("month"), F.trim(created_at).alias("created_at"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
 
 
 def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", text: str = "transcription_text") -> DataFrame:
-    """Rows with a readable time as candidates: transcript_id, month, created_at, text, cheap features and strata.
+    """Rows with a readable time as candidates: transcript_id, month, created_at, cheap features and strata.
 
-    A missing id falls back to the hash of the row. Of repeated deliveries one stays.
+    A missing id falls back to the hash of the row. Of repeated deliveries one stays; texts are not shuffled for that.
     """
-    at = parse_created_at(F.col(created_at), trim=True)
-    base = df.withColumn("_at", at).filter(F.col("_at").isNotNull())
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = base.select(
-        F.when(F.trim(key) != "", F.trim(key)).otherwise(F.concat(F.lit("row_"), F.hex(F.xxhash64(created_at, text)))).alias("transcript_id"),
-        month_key(F.col("_at")).alias("month"), F.trim(created_at).alias("created_at"), t.alias("text"),
-    ).dropDuplicates(["transcript_id"])
+    base = _identified(df, key, created_at, text)
     heads = F.transform(F.regexp_extract_all("text", F.lit(SPEAKERS), 1), lambda x: F.upper(x))
     base = base.withColumns({"_sample": windows_sample(F.col("text")), "_heads": heads, "n_times": T.count(F.col("text"), TIMES), "n_separators": T.count(F.col("text"), SEPARATORS), "total_tokens": T.count(F.col("text"), WORDS)})
     before, after = F.slice("_heads", 1, F.greatest(F.size("_heads") - 1, F.lit(0))), F.slice("_heads", 2, F.greatest(F.size("_heads") - 1, F.lit(0)))
@@ -136,7 +146,7 @@ def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", t
             "dialogue_bin": dialogue_bin(F.col("distinct_speakers"), F.col("segment_count")),
             "quality_bin": quality_bin(F.col("malformed_timestamp_ratio"), F.col("unicode_replacement_count"), F.col("nonprintable_ratio"), F.col("unreasonable_speaker_churn"), F.col("repeated_char_run_ratio")),
         }
-    ).drop("_sample", "_heads", "_script", "_cat", "n_times", "n_separators", "n_heads")
+    ).drop("text", "_sample", "_heads", "_script", "_cat", "n_times", "n_separators", "n_heads").dropDuplicates(["transcript_id"])
 
 
 def exclude(df: DataFrame, excluded: DataFrame, key: str = "transcript_id") -> DataFrame:
@@ -201,7 +211,8 @@ def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> Data
     representative = max(1, round(k * 0.65))
     contrastive = max(0, k - representative - sentinel)
     stratum = ["content_category", "language", "length_bin", "dialogue_bin"]
-    rows = scored(df.drop("text")).withColumn("_tie", F.xxhash64(F.lit(seed), F.col("transcript_id")))
+    # features are computed from the texts once; what follows reads them several times
+    rows = scored(stash(df, "candidates")).withColumn("_tie", F.xxhash64(F.lit(seed), F.col("transcript_id")))
     near = [F.asc("distance"), F.asc("_tie"), F.asc("transcript_id")]
     in_stratum = Window.partitionBy("month", *stratum)
     month = Window.partitionBy("month")
@@ -235,9 +246,10 @@ def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> Data
     return pool.filter(F.col("selection_reason").isNotNull()).drop("_tie", "_size", "_place", "_month_n", "_taken", "_first_open", "center_tokens", "center_segments", "center_speakers", "center_malformed")
 
 
-def with_excerpts(sample: DataFrame, source: DataFrame, max_chars: int = 4500) -> DataFrame:
-    """The sample with ``excerpt`` and ``excerpt_limited``; the sample is a few rows a month, so it is the side sent around."""
+def with_excerpts(sample: DataFrame, df: DataFrame, max_chars: int = 4500, key: str = "id", created_at: str = "created_at", text: str = "transcription_text") -> DataFrame:
+    """The sample with ``excerpt`` and ``excerpt_limited`` from the transcripts ``df``; only texts of sampled ids are moved."""
     if max_chars < 1200:
         raise ValueError("excerpts need at least 1200 characters")
-    cut = source.join(sample.select("transcript_id"), "transcript_id", "left_semi").select("transcript_id", T.excerpt(F.col("text"), max_chars).alias("_e"))
-    return sample.join(cut, "transcript_id").withColumns({"excerpt": F.col("_e.excerpt"), "excerpt_limited": F.col("_e.limited")}).drop("_e")
+    ids = stash(sample, "sample")
+    cut = _identified(df, key, created_at, text).join(ids.select("transcript_id"), "transcript_id", "left_semi").dropDuplicates(["transcript_id"]).select("transcript_id", T.excerpt(F.col("text"), max_chars).alias("_e"))
+    return ids.join(cut, "transcript_id").withColumns({"excerpt": F.col("_e.excerpt"), "excerpt_limited": F.col("_e.limited")}).drop("_e")

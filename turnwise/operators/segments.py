@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import line_feeds, strip
+from turnwise.functions.text import bind, line_feeds, strip
 
 SEPARATOR = r"(?m)^-{20,}[^\S\n]*$"
 _SPEAKER = r"(?i)(?:\[\s*(SPEAKER_(?:\d+|[A-Z]{1,3}))\s*\]|(SPEAKER_(?:\d+|[A-Z]{1,3})))"
@@ -49,37 +49,54 @@ def _closed(part: Column) -> Column:
 
 
 def _inline_segment(part: Column, speaker: Column) -> Column:
-    line = F.regexp_extract(part, r"\A[^\S\n]*([^\n]*)", 1)
-    rest = F.regexp_replace(part, r"\A[^\n]*\n?", "")
-    said = F.regexp_replace(strip(line), INLINE, "")
-    more = F.regexp_extract(part, r"\A[^\n]*(\n?)", 1) != ""
-    body = F.when(~said.rlike(r"(?U)\S"), rest).when(more, F.concat(said, F.lit("\n"), rest)).otherwise(said)
-    return _segment(speaker, body, F.lit(True), F.lit(False), _range(strip(line), INLINE, "start_s"), _range(strip(line), INLINE, "end_s"))
+    first = F.regexp_extract(part, r"\A[^\S\n]*([^\n]*)", 1)
+
+    def build(x: Column) -> Column:
+        said = F.regexp_replace(x["line"], INLINE, "")
+        more = F.regexp_extract(part, r"\A[^\n]*(\n?)", 1) != ""
+        rest = F.regexp_replace(part, r"\A[^\n]*\n?", "")
+        body = F.when(~said.rlike(r"(?U)\S"), rest).when(more, F.concat(said, F.lit("\n"), rest)).otherwise(said)
+        return _segment(speaker, body, F.lit(True), F.lit(False), _range(x["line"], INLINE, "start_s"), _range(x["line"], INLINE, "end_s"))
+
+    return bind(F.struct(strip(first).alias("line")), build)
+
+
+def _resolved(x: Column) -> Column:
+    """The segments of a headed block from its parts (speaker, blanks, line, broken, tail)."""
+    line, bare = x["line"], x["bare"]
+    inline, bracket = bare.rlike(INLINE), line.rlike(BRACKET)
+    said = F.regexp_replace(bare, INLINE, "")
+    kept = F.when(inline, F.when(said.rlike(r"(?U)\S"), F.concat(said, x["broken"])).otherwise(F.lit(""))).when(bracket, F.lit("")).otherwise(F.concat(line, x["broken"]))
+    opening = F.concat(x["blanks"], kept, F.when(x["at_once"], F.lit("")).otherwise(x["parts"][0]))
+    later = F.when(x["at_once"], x["parts"]).otherwise(F.slice(x["parts"], 2, F.size(x["parts"])))
+    start = F.when(inline, _range(bare, INLINE, "start_s")).otherwise(_range(line, BRACKET, "start_s"))
+    end = F.when(inline, _range(bare, INLINE, "end_s")).otherwise(_range(line, BRACKET, "end_s"))
+    head = _segment(x["speaker"], _closed(opening), inline | bracket, ~inline & ~bracket & line.rlike(r"(?U)\S"), start, end)
+    return F.concat(F.array(head), F.transform(F.filter(later, lambda p: p != ""), lambda p: bind(_closed(p), lambda q: _inline_segment(q, x["speaker"]))))
 
 
 def _block_segments(block: Column) -> Column:
     first = F.regexp_extract(block, r"\A([^\n]*)", 1)
-    speaker = F.upper(F.concat(F.regexp_extract(first, HEADER, 1), F.regexp_extract(first, HEADER, 2)))
-    headed = speaker != ""
-    rest = F.regexp_replace(block, r"\A[^\n]*\n?", "")
-    blanks = F.regexp_extract(rest, r"(?U)\A((?:[^\S\n]*\n)*)", 1)
-    after = F.substring(rest, F.length(blanks) + 1, F.length(rest))
-    line = F.regexp_extract(after, r"\A([^\n]*)", 1)
-    tail = F.regexp_replace(after, r"\A[^\n]*\n?", "")
-    broken = F.regexp_extract(after, r"\A[^\n]*(\n?)", 1)
-    inline, bracket = strip(line).rlike(INLINE), line.rlike(BRACKET)
-    said = F.regexp_replace(strip(line), INLINE, "")
-    kept = F.when(inline, F.when(said.rlike(r"(?U)\S"), F.concat(said, broken)).otherwise(F.lit(""))).when(bracket, F.lit("")).otherwise(F.concat(line, broken))
-    parts = F.split(tail, INLINE_HEADS)
-    opening = F.concat(blanks, kept, F.when(tail.rlike(r"\A" + INLINE_HEADS[4:]), F.lit("")).otherwise(parts[0]))
-    later = F.when(tail.rlike(r"\A" + INLINE_HEADS[4:]), parts).otherwise(F.slice(parts, 2, F.size(parts)))
-    start = F.when(inline, _range(strip(line), INLINE, "start_s")).otherwise(_range(line, BRACKET, "start_s"))
-    end = F.when(inline, _range(strip(line), INLINE, "end_s")).otherwise(_range(line, BRACKET, "end_s"))
-    prose = ~inline & ~bracket & line.rlike(r"(?U)\S")
-    head = _segment(speaker, _closed(opening), inline | bracket, prose, start, end)
-    tails = F.transform(F.filter(later, lambda p: p != ""), lambda p: _inline_segment(_closed(p), speaker))
+    named = F.regexp_extract(first, HEADER, 1), F.regexp_extract(first, HEADER, 2)
+    opened = F.struct(F.upper(F.concat(*named)).alias("speaker"), F.regexp_replace(block, r"\A[^\n]*\n?", "").alias("rest"))
+
+    def after_blanks(x: Column) -> Column:
+        blanks = F.regexp_extract(x["rest"], r"(?U)\A((?:[^\S\n]*+\n)*+)", 1)
+        return F.struct(x["speaker"].alias("speaker"), blanks.alias("blanks"), F.substring(x["rest"], F.length(blanks) + 1, F.length(x["rest"])).alias("after"))
+
+    def cut(x: Column) -> Column:
+        line = F.regexp_extract(x["after"], r"\A([^\n]*)", 1)
+        tail = F.regexp_replace(x["after"], r"\A[^\n]*\n?", "")
+        return F.struct(
+            x["speaker"].alias("speaker"), x["blanks"].alias("blanks"), line.alias("line"), strip(line).alias("bare"), F.regexp_extract(x["after"], r"\A[^\n]*(\n?)", 1).alias("broken"),
+            F.split(tail, INLINE_HEADS).alias("parts"), tail.rlike(r"\A" + INLINE_HEADS[4:]).alias("at_once"),
+        )
+
+    def build(x: Column) -> Column:
+        return bind(bind(after_blanks(x), cut), _resolved)
+
     plain = _segment(F.lit(None).cast("string"), _closed(block), F.lit(False), F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    return F.when(headed, F.concat(F.array(head), tails)).otherwise(F.array(plain))
+    return bind(opened, lambda x: F.when(x["speaker"] != "", build(x)).otherwise(F.array(plain)))
 
 
 def parse_segments(text: Column) -> Column:

@@ -14,7 +14,7 @@ from turnwise.functions import text as T
 from turnwise.functions.dates import parse_created_at
 from turnwise.operators import aggregates, category, judge, layers, raw_summary, reshape, sampling, segments, skew
 from turnwise.operators.language import detect
-from turnwise.session import shared_dir
+from turnwise.session import shared_dir, spread, stash
 from turnwise.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def _read(s: SparkSession, d: str, table: str = "sample_multiline") -> DataFrame
     return s.read.parquet(f"{d}/{table}.parquet")
 
 
+def _texts(s: SparkSession, d: str, table: str = "sample_multiline") -> DataFrame:
+    return spread(_read(s, d, table))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({f"{c}": F.round(c, places) for c, t in df.dtypes if t == "double"})
 
@@ -241,12 +245,14 @@ def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(coalesce(text, ''), '{pattern}'))"
 
 
-_CLASSES = {"cyrillic": r"[\x{0400}-\x{052F}]", "latin": r"[A-Za-zªµºÀ-ÖØ-öø-\x{024F}\x{1E00}-\x{1EFF}]", "digit": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "letters": r"\p{L}", "cyrillic_letters": r"[\x{0400}-\x{0481}\x{048A}-\x{052F}]"}
+_CLASSES = {"cyrillic": r"[\x{0400}-\x{052F}]", "latin": r"[A-Za-zªµºÀ-ÖØ-öø-\x{024F}\x{1E00}-\x{1EFF}]", "digit": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "letters": r"\p{L}", "cyrillic_letters": r"[\x{0400}-\x{0481}\x{048A}-\x{052F}]",
+    "cjk": r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{065F}\x{066A}-\x{06EF}\x{06FA}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]",
+    "arabic_letters": r"[\x{0620}-\x{064A}\x{066E}\x{066F}\x{0671}-\x{06D3}\x{06D5}\x{06E5}\x{06E6}\x{06EE}\x{06EF}\x{06FA}-\x{06FC}\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08C9}]", "cjk_letters": r"[\x{3005}\x{3006}\x{3031}-\x{3035}\x{303B}\x{303C}\x{3041}-\x{3096}\x{309D}-\x{309F}\x{30A1}-\x{30FA}\x{30FC}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"}
 _query(
     "script_ratios",
-    "WITH t AS (SELECT doc_id, " + ", ".join(f"{_n(p)} AS {k}" for k, p in _CLASSES.items()) + """ FROM documents), u AS (SELECT *, letters - latin - cyrillic_letters AS other FROM t)
-        SELECT doc_id, """ + ", ".join(f"round(coalesce({k} / nullif(cyrillic + latin + digit + other, 0), 0.0), 6) AS {k}" for k in ("cyrillic", "latin", "digit", "other")) + " FROM u",
-)(lambda s, d: rounded(_read(s, d, "documents").select("doc_id", T.script_ratios(F.col("text")).alias("r")).select("doc_id", "r.cyrillic", "r.latin", "r.digit", "r.other")))
+    "WITH t AS (SELECT doc_id, " + ", ".join(f"{_n(p)} AS {k}" for k, p in _CLASSES.items()) + """ FROM documents), u AS (SELECT *, letters - latin - cyrillic_letters - cjk_letters - arabic_letters AS other FROM t)
+        SELECT doc_id, """ + ", ".join(f"round(coalesce({k} / nullif(cyrillic + latin + cjk + arabic + digit + other, 0), 0.0), 6) AS {k}" for k in ("cyrillic", "latin", "cjk", "arabic", "digit", "other")) + " FROM u",
+)(lambda s, d: rounded(_read(s, d, "documents").select("doc_id", T.script_ratios(F.col("text")).alias("r")).select("doc_id", "r.cyrillic", "r.latin", "r.cjk", "r.arabic", "r.digit", "r.other")))
 _query(
     "unicode_oddities",
     f"""SELECT doc_id, CAST({_n(chr(0xFFFD))} AS BIGINT) AS replacement_count, CAST({_n("[" + chr(0x200B) + "-" + chr(0x200D) + chr(0xFEFF) + "]")} AS BIGINT) AS zero_width_count,
@@ -275,20 +281,20 @@ _query(
     """SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, 133) || substr(t, CAST(greatest(0, floor((length(t) - 134) / 2)) AS BIGINT) + 1, 134) || substr(t, length(t) - 132, 133) END AS sample
        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 )(lambda s, d: _read(s, d, "documents").select("doc_id", T.detection_sample(F.col("text"), 400).alias("sample")))
-_query("detect_language")(lambda s, d: _read(s, d, "documents").select("doc_id", detect(T.detection_sample(F.col("text"), 4000)).alias("l")).select("doc_id", "l.*"))
+_query("detect_language")(lambda s, d: _texts(s, d, "documents").select("doc_id", detect(T.detection_sample(F.col("text"), 4000)).alias("l")).select("doc_id", "l.*"))
 _query("excerpt")(lambda s, d: _read(s, d, "documents").select("doc_id", T.excerpt(F.col("text"), 1500).alias("e")).select("doc_id", "e.*"))
 
 # ---- transcripts: segments and features ----
 
-_query("segments")(lambda s, d: _read(s, d).select("id", F.posexplode(segments.parse_segments(F.col("transcription_text"))).alias("seg_no", "seg")).select("id", "seg_no", "seg.*"))
-_query("features")(lambda s, d: layers.add_features(_read(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text"))
-_query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_read(s, d), with_b=False)), "bucket_month", layers.metric_columns(False)))
+_query("segments")(lambda s, d: _texts(s, d).select("id", F.posexplode(segments.parse_segments(F.col("transcription_text"))).alias("seg_no", "seg")).select("id", "seg_no", "seg.*"))
+_query("features")(lambda s, d: layers.add_features(_texts(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text"))
+_query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d), with_b=False)), "bucket_month", layers.metric_columns(False)))
 _query(
     "separator_lines",
     r"""SELECT id, CAST(sum(len(regexp_extract_all(t, '(?m)^-{20,}[ \t]*$'))) AS BIGINT) AS n FROM (SELECT id, replace(replace(coalesce(transcription_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM sample_multiline) GROUP BY 1""",
 )(lambda s, d: _read(s, d).groupBy("id").agg(F.sum(segments.separator_count(F.col("transcription_text"))).alias("n")))
 _query("content_category")(
-    lambda s, d: _read(s, d).select("id", category.classify(segments.parse_segments(F.col("transcription_text"))).alias("c")).select("id", "c.*")
+    lambda s, d: _texts(s, d).select("id", category.classify(segments.parse_segments(F.col("transcription_text"))).alias("c")).select("id", "c.*")
 )
 
 # ---- raw summary ----
@@ -299,7 +305,7 @@ _RAW_WORDS = f"SELECT month, unnest(list_slice(list_filter(regexp_extract_all(t,
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    return raw_summary.raw_rows(_read(s, d))
+    return raw_summary.raw_rows(_texts(s, d))
 
 
 _query("raw_monthly")(lambda s, d: raw_summary.monthly(_raw(s, d)))
@@ -330,21 +336,21 @@ _query(
     "length_bins",
     rf"""WITH t AS (SELECT DISTINCT ON (trim(id)) trim(id) AS transcript_id, len(regexp_extract_all(coalesce(transcription_text, ''), '\p{{L}}{{2,}}(?:[''-]\p{{L}}+)?')) AS n FROM sample_multiline WHERE {_AT_TRIMMED} IS NOT NULL)
          SELECT transcript_id, CAST(n AS BIGINT) AS total_tokens, CASE WHEN n < 20 THEN 'very_short' WHEN n < 120 THEN 'short' WHEN n < 500 THEN 'medium' WHEN n < 1200 THEN 'long' ELSE 'very_long' END AS length_bin FROM t""",
-)(lambda s, d: sampling.candidates(_read(s, d)).select("transcript_id", "total_tokens", "length_bin"))
-_query("sample_candidates")(lambda s, d: sampling.scored(sampling.candidates(_read(s, d))).drop("text"))
-_query("month_center")(lambda s, d: sampling.month_center(sampling.candidates(_read(s, d))))
+)(lambda s, d: sampling.candidates(_texts(s, d)).select("transcript_id", "total_tokens", "length_bin"))
+_query("sample_candidates")(lambda s, d: sampling.scored(stash(sampling.candidates(_texts(s, d)), "candidates")))
+_query("month_center")(lambda s, d: sampling.month_center(sampling.candidates(_texts(s, d))))
 
 
 def _sample(s: SparkSession, d: str) -> DataFrame:
-    return sampling.stratified_sample(sampling.exclude(sampling.candidates(_read(s, d)), _read(s, d, "excluded_ids")))
+    return sampling.stratified_sample(sampling.exclude(sampling.candidates(_texts(s, d)), _read(s, d, "excluded_ids")))
 
 
 _query("stratified_sample")(_sample)
-_query("sample_excerpts")(lambda s, d: sampling.with_excerpts(_sample(s, d), sampling.candidates(_read(s, d))))
+_query("sample_excerpts")(lambda s, d: sampling.with_excerpts(_sample(s, d), _read(s, d)))
 _ELIGIBLE = f"SELECT DISTINCT ON (trim(id)) trim(id) AS transcript_id, strftime({_AT_TRIMMED}, '%Y-%m') AS month FROM sample_multiline WHERE {_AT_TRIMMED} IS NOT NULL"
 _KEPT = f"SELECT * FROM ({_ELIGIBLE}) c ANTI JOIN (SELECT trim(transcript_id) AS transcript_id FROM excluded_ids WHERE trim(transcript_id) <> '') x USING (transcript_id)"
 _query("sample_quota", f"SELECT month, least(count(*), 8) AS n FROM ({_KEPT}) GROUP BY 1")(lambda s, d: _sample(s, d).groupBy("month").agg(F.count("*").alias("n")))
-_query("exclude_prior_samples", f"SELECT transcript_id FROM ({_KEPT})")(lambda s, d: sampling.exclude(sampling.candidates(_read(s, d)), _read(s, d, "excluded_ids")).select("transcript_id"))
+_query("exclude_prior_samples", f"SELECT transcript_id FROM ({_KEPT})")(lambda s, d: sampling.exclude(sampling.candidates(_texts(s, d)), _read(s, d, "excluded_ids")).select("transcript_id"))
 
 # ---- review scores ----
 
