@@ -32,6 +32,7 @@ RUN_WORDS = 12  # a stretch without sentence ends is judged in runs of so many w
 SHARPNESS = 4.0
 PRIOR_WORDS = 2.5
 REPEAT_WEIGHT = 0.2
+SURE = 0.5
 MIN_WORDS = 15
 MIN_SHARE = 0.15
 TOKEN = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*|[.!?…\n]")
@@ -153,11 +154,22 @@ class Scorer:
         lang = sums.argmax(1)
         e = np.exp(SHARPNESS * (sums - sums.max(1, keepdims=True)) / np.sqrt(evidence)[:, None])
         confidence = 1 / e.sum(1)
+        lang = self._settled(seg_doc, lang, confidence, n)
         first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | ~same])
         words = np.add.reduceat(n, first)
         return seg_doc[first], lang[first], np.add.reduceat(confidence * n, first) / words, words
 
 
+    def _settled(self, doc: np.ndarray, lang: np.ndarray, confidence: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A further language of a text stands only if it is, on the whole, told with confidence; else it is the main one's."""
+        k, last = len(self.langs), int(doc[-1]) + 1
+        cell = doc * k + lang
+        words = np.bincount(cell, weights=n, minlength=last * k).reshape(last, k)
+        mean = np.bincount(cell, weights=n * confidence, minlength=last * k).reshape(last, k) / np.maximum(words, 1)
+        main = (words * np.maximum(mean - 0.25, 1e-6)).argmax(1)
+        return np.where((mean.ravel()[cell] < SURE) & (lang != main[doc]), main[doc], lang)
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 

@@ -16,10 +16,14 @@ HEAD = rf"(?m)^[ \t]*(?:-{{20,}}[ \t]*$|(?:{SPAN}[ \t]*)?(?:{LABEL})?)"
 SOUND = r"[\[(*<]\p{L}[\p{L}\p{Zs}\x{200B}]{2,30}[\])*>]"
 
 
+def headless(text: Column) -> Column:
+    """The text without separators, times and labels; line ends become ``\\n``. Null stays null."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), HEAD, "")
+
+
 def spoken(text: Column) -> Column:
     """The text without separators, times, labels and sound annotations; line ends become ``\\n``. Null stays null."""
-    lines = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(lines, HEAD, ""), SOUND, " ")
+    return F.regexp_replace(headless(text), SOUND, " ")
 
 
 def fence(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.dates import bucket_day, parse_created_at
 from turnwise.llm import language, linespam, markup, mixing, percentiles, pii, quality, repetition, tokens, turns
+from turnwise.session import spread
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -18,7 +19,11 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "sample_multiline")
+    return spread(_read(spark, d, "sample_multiline"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_read(spark, d, "documents"))
 
 
 def _common(spark: SparkSession, d: str) -> list[str]:
@@ -37,7 +42,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 def _times(spark: SparkSession, d: str) -> DataFrame:
     """(user, day, at): each distinct transcript with a valid time; at in seconds since 1970."""
     at = parse_created_at(F.col("created_at"))
-    rows = _transcripts(spark, d).select("id", F.col("telegram_user_internal_id").alias("user"), at.alias("ts")).filter(F.col("ts").isNotNull()).distinct()
+    rows = _read(spark, d, "sample_multiline").select("id", F.col("telegram_user_internal_id").alias("user"), at.alias("ts")).filter(F.col("ts").isNotNull()).distinct()
     return rows.select(F.when(F.trim("user") != "", F.col("user")).alias("user"), bucket_day(F.col("ts")).alias("day"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
 
 
@@ -75,10 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_templates": lambda s, d: turns.mine(_transcripts(s, d)),
         "p7_found": lambda s, d: repetition.repetitive(_transcripts(s, d)),
         "p7_shares": lambda s, d: repetition.repeated_shares(_transcripts(s, d)).dropDuplicates(["id"]),
-        "p7_lines": lambda s, d: repetition.line_frequency(_transcripts(s, d)),
-        "p8_ids": lambda s, d: tokens.token_ids(_read(s, d, "documents")),
-        "p9_mix": lambda s, d: mixing.mix(mixing.sized(_read(s, d, "documents")), _read(s, d, "mix_targets")),
-        "p9_report": lambda s, d: mixing.mix_report(mixing.sized(_read(s, d, "documents")), _read(s, d, "mix_targets")),
-        "p10_found": lambda s, d: linespam.spam_pages(_read(s, d, "documents"), _common(s, d)),
-        "p10_shapes": lambda s, d: linespam.line_shapes(_read(s, d, "documents"), _common(s, d)),
+        "p7_lines": lambda s, d: repetition.line_frequency(_read(s, d, "sample_multiline")),
+        "p8_ids": lambda s, d: tokens.token_ids(_documents(s, d)),
+        "p9_mix": lambda s, d: mixing.mix(mixing.sized(_documents(s, d)), _read(s, d, "mix_targets")),
+        "p9_report": lambda s, d: mixing.mix_report(mixing.sized(_documents(s, d)), _read(s, d, "mix_targets")),
+        "p10_found": lambda s, d: linespam.spam_pages(_documents(s, d), _common(s, d)),
+        "p10_shapes": lambda s, d: linespam.line_shapes(_documents(s, d), _common(s, d)),
     }
