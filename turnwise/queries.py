@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.functions.dates import parse_created_at
-from turnwise.operators import aggregates, category, judge, layers, raw_summary, reshape, sampling, segments, skew
+from turnwise.operators import aggregates, category, judge, layers, raw_summary, reshape, sampling, segments, skew, trends
 from turnwise.operators.language import detect
 from turnwise.session import shared_dir, spread, stash
 from turnwise.sources import files
@@ -406,6 +406,39 @@ _query(
         SELECT round(avg(x) FILTER (r <= 2), 6) AS last_avg, round(avg(x) FILTER (r IN (3, 4)), 6) AS prev_avg, round(avg(x) FILTER (r <= 2) - avg(x) FILTER (r IN (3, 4)), 6) AS delta FROM r HAVING count(*) >= 4""",
 )(lambda s, d: rounded(judge.last_two_against_previous(judge.monthly_summaries(_flat(s, d)))))
 
+# ---- reports ----
+
+_query("sample_months", f"SELECT month, count(*) AS n FROM ({_FLAT}) GROUP BY 1")(lambda s, d: trends.month_counts(_flat(s, d)))
+_query(
+    "biggest_mover",
+    SQL["share_spans"].split("SELECT _category, round(total_share")[0]
+    + """SELECT _category, round(total_share, 6) AS total_share, round(max(share) - min(share), 6) AS span FROM f JOIN t USING (_category) WHERE _category <> 'ru' GROUP BY 1, total_share
+         HAVING total_share >= 0.005 AND max(share) - min(share) >= 0.008 ORDER BY max(share) - min(share) DESC, total_share DESC, _category LIMIT 1""",
+)(lambda s, d: rounded(trends.biggest_mover(_month_shares(s, d), "bucket_month")))
+_query(
+    "month_labels",
+    f"""SELECT month, ['{"', '".join(trends.MONTHS_RU)}'][CAST(substr(month, 6, 2) AS INTEGER)] || ' ' || substr(month, 1, 4) AS label, n_evaluated FROM ({_MONTHLY}) WHERE sample_group = 'all_selected'""",
+)(lambda s, d: judge.monthly_summaries(_flat(s, d)).filter("sample_group = 'all_selected'").select("month", trends.month_label_ru(F.col("month")).alias("label"), "n_evaluated"))
+_query(
+    "aligned_months",
+    f"""SELECT m.month, j.n_evaluated FROM (SELECT DISTINCT strftime(created_at_parsed, '%Y-%m') AS month FROM feature_rows WHERE created_at_parsed IS NOT NULL) m LEFT JOIN (SELECT * FROM ({_MONTHLY}) WHERE sample_group = 'all_selected') j USING (month)""",
+)(
+    lambda s, d: trends.align_months(_features(s, d).select(F.date_format("created_at_parsed", "yyyy-MM").alias("month")), judge.monthly_summaries(_flat(s, d)).filter("sample_group = 'all_selected'").select("month", "n_evaluated"))
+)
+_query(
+    "last_month_panel",
+    f"""WITH f AS ({_FLAT}), m AS ({_MONTHLY}), r AS (SELECT month, {_WM} AS x, confidence_weighted_mean_artifact_severity_score AS a, lag({_WM}) OVER (ORDER BY month) AS px, lag(confidence_weighted_mean_artifact_severity_score) OVER (ORDER BY month) AS pa FROM m WHERE sample_group = '{judge.REPRESENTATIVE}'),
+        l AS (SELECT * FROM r ORDER BY month DESC LIMIT 1)
+        SELECT l.month, round_even(x - px, 3) AS text_delta, round_even(a - pa, 3) AS artefact_delta, round_even((SELECT {_WM} FROM m WHERE sample_group = 'all_selected' AND m.month = l.month) - x, 3) AS gap,
+               count(*) FILTER (least({_S}) >= 4) AS n_strong, count(*) FILTER (least({_S}) <= 2) AS n_low, count(*) FILTER (list_contains(string_split(primary_failure_modes, '|'), 'coarse_timestamps')) AS n_coarse
+        FROM l JOIN f ON f.month = l.month GROUP BY ALL""",
+)(lambda s, d: trends.last_month_panel(_flat(s, d), judge.monthly_summaries(_flat(s, d))))
+_query(
+    "duration_stats_text",
+    f"SELECT strftime(created_at_parsed, '%Y-%m') AS month, count(*) AS n, printf('%.6f', avg({DURATION})) AS mean, printf('%.6f', max({DURATION})) AS max FROM feature_rows WHERE {_SANE} GROUP BY 1",
+)(lambda s, d: trends.as_text(aggregates.summary(_durations(s, d), DURATION, ["month"]).select("month", "n", "mean", "max")))
+_query("exact_language")(lambda s, d: trends.exact_language(_texts(s, d), ["ru", "uk"]).select("id", "language", "language_confidence"))
+
 # ---- files ----
 
 
