@@ -64,7 +64,7 @@ def text_grams(text: str) -> set[str]:
 
 
 def fit(references: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """Fits the machine on (lang, text) pairs. Gives ``langs`` and ``weights``: n-gram to one weight for each language."""
+    """Fits the machine on (lang, text) pairs. Gives ``langs``, ``grams`` (n-gram to row) and ``weights`` (a row a gram, a column a language)."""
     pairs = sorted({(lang, text) for lang, text in references if lang and text and text.strip()})
     pairs += [(lang, latin(text, lang)) for lang, text in pairs if re.search("[Ѐ-ӿ]", text)]
     sets = [(lang, g) for lang, text in pairs if (g := text_grams(text))]
@@ -88,14 +88,15 @@ def fit(references: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: fl
     beta = np.linalg.solve(f.T @ f + ridge * np.eye(f.shape[1]), f.T @ y)
     folded = (marks.T @ (root @ beta)).astype(np.float32)
     folded -= folded.mean(1, keepdims=True)
-    return {"langs": langs, "weights": {g: folded[i] for g, i in vocabulary.items()}}
+    return {"langs": langs, "grams": vocabulary, "weights": folded}
 
 
 class Scorer:
     """Word scores of one fitted machine; words seen before are looked up."""
 
     def __init__(self, model: dict) -> None:
-        self.langs, self.weights = model["langs"], model["weights"]
+        self.langs, self.grams = model["langs"], model["grams"]
+        self.weights = np.vstack((model["weights"], np.zeros((1, len(self.langs)), dtype=np.float32)))  # the last row stands for unknown grams
         self.reset()
 
     def reset(self) -> None:
@@ -106,10 +107,16 @@ class Scorer:
         new = sorted(words - self.codes.keys())
         if not new:
             return
-        own = [[self.weights[g] for g in grams(w) if g in self.weights] for w in new]
-        scores = np.array([np.sum(x, 0) / np.sqrt(len(grams(w))) if x else np.zeros(len(self.langs)) for w, x in zip(new, own)], dtype=np.float32)
+        # the presence rows of the new words times the weights, as one sparse product
+        unknown, cells, starts, sizes = len(self.weights) - 1, [], [], []
+        for w in new:
+            own = grams(w)
+            starts.append(len(cells))
+            sizes.append(len(own))
+            cells += [self.grams.get(g, unknown) for g in own]
+        scores = np.add.reduceat(self.weights[cells], starts, axis=0) / np.sqrt(np.array(sizes, dtype=np.float32))[:, None]
         self.codes.update((w, len(self.rows) + i) for i, w in enumerate(new))
-        self.rows = np.vstack((self.rows, scores))
+        self.rows = np.vstack((self.rows, scores.astype(np.float32)))
 
     def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Of each stretch of one language: text number, language number, confidence, words."""

@@ -135,4 +135,4 @@ def text_quality(df: DataFrame, common: Iterable[str], key: str = "id", text: st
 
 def junk_transcripts(df: DataFrame, common: Iterable[str], key: str = "id", text: str = "transcription_text") -> DataFrame:
     """Ids of rows most of whose text is list items, table rows or unreadable junk, each once."""
-    return with_junk(df.select(F.col(key), F.col(text)), common, text).filter("_junk").select(key).distinct()
+    return text_quality(df, common, key, text).filter(F.array_contains("reasons", "list_table_or_junk")).select(key).distinct()
