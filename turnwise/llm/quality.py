@@ -80,7 +80,8 @@ def text_quality(df: DataFrame, common: Iterable[str], key: str = "id", text: st
     words = F.regexp_extract_all("_spoken", F.lit(r"\S+"), 0)
     line = lambda pattern: F.regexp_count("_spoken", F.lit(f"(?m){pattern}")).cast("bigint")
     ratio = lambda a, b: F.when(b > 0, a / b)
-    counted = (
+    # the counts stand behind a fence: rules and filters above read them instead of counting again
+    counted = fence(
         with_junk(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), common, "_text")
         .withColumn("_words", words)
         .select(
@@ -91,28 +92,26 @@ def text_quality(df: DataFrame, common: Iterable[str], key: str = "id", text: st
             F.coalesce(F.length(F.array_join("_words", "")), F.lit(0)).cast("bigint").alias("_visible"),
             F.coalesce(F.regexp_count("_spoken", F.lit(r"[^\p{L}\p{N}\s]")), F.lit(0)).cast("bigint").alias("_symbols"),
             F.coalesce(F.regexp_count("_spoken", F.lit(r"#|\.\.\.|…")), F.lit(0)).cast("bigint").alias("_marks"),
-            F.coalesce(line(r"^[^\n]*\S[^\n]*$"), F.lit(0)).alias("n_lines"),
+            F.coalesce(line(r"^[ \t]*+\S"), F.lit(0)).alias("n_lines"),
             F.coalesce(line(r"[.!?…][\"»”')\]]*[ \t]*$"), F.lit(0)).alias("_punctuated"),
             F.coalesce(line(r"^[ \t]*(?:[-•*–·▪]|\d{1,3}[.)])[ \t]"), F.lit(0)).alias("_bullets"),
             F.coalesce(line(r"(?:\.\.\.|…)[ \t]*$"), F.lit(0)).alias("_ellipses"),
-            F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("bigint").alias("_lettered"),
+            (F.size("_words") - F.regexp_count("_spoken", F.lit(r"(?<!\S)[^\s\p{L}]++(?!\S)"))).cast("bigint").alias("_lettered"),
             F.coalesce(F.size("_letters"), F.lit(0)).cast("bigint").alias("_tokens"),
             F.col("_n_common").alias("n_common"),
         )
-        .withColumns(
-            {
-                "n_words": F.greatest("n_words", F.lit(0)),
-                "_tokens": F.greatest("_tokens", F.lit(0)),
-                "n_common": F.greatest(F.coalesce("n_common", F.lit(0)), F.lit(0)),
-                "mean_word_length": ratio(F.col("_visible"), F.col("n_words")),
-                "symbol_ratio": ratio(F.col("_symbols"), F.col("_visible")),
-                "punctuated_share": ratio(F.col("_punctuated"), F.col("n_lines")),
-                "bullet_share": ratio(F.col("_bullets"), F.col("n_lines")),
-                "ellipsis_share": ratio(F.col("_ellipses"), F.col("n_lines")),
-                "letter_share": ratio(F.col("_lettered"), F.col("n_words")),
-            }
-        )
-        .withColumn("common_share", ratio(F.col("n_common"), F.col("_tokens")))
+    )
+    counted = counted.withColumns({"n_words": F.greatest("n_words", F.lit(0)), "_tokens": F.greatest("_tokens", F.lit(0)), "n_common": F.greatest(F.coalesce("n_common", F.lit(0)), F.lit(0))})
+    counted = counted.withColumns(
+        {
+            "mean_word_length": ratio(F.col("_visible"), F.col("n_words")),
+            "symbol_ratio": ratio(F.col("_symbols"), F.col("_visible")),
+            "punctuated_share": ratio(F.col("_punctuated"), F.col("n_lines")),
+            "bullet_share": ratio(F.col("_bullets"), F.col("n_lines")),
+            "ellipsis_share": ratio(F.col("_ellipses"), F.col("n_lines")),
+            "letter_share": ratio(F.col("_lettered"), F.col("n_words")),
+            "common_share": ratio(F.col("n_common"), F.col("_tokens")),
+        }
     )
     rules = {
         "empty": F.col("n_words") == 0,
