@@ -50,3 +50,19 @@ def test_heavy_users_and_empty_table(transcripts):
     assert [r[0] for r in skew.heavy_users(transcripts(rows), share=0.2).collect()] == ["big"]
     assert skew.heavy_users(transcripts(rows).limit(0)).count() == 0
     assert skew.user_activity(transcripts(rows).limit(0)).count() == 0
+
+
+def test_ranked_quantiles_equal_percentile(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None, "one"]), rng.choice([None, float(rng.randint(0, 9)), rng.random()]), None) for _ in range(700)] + [("solo", 3.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {(r["k"], r["metric"]): (r["n_rows"], r["q_0"], r["q_1"]) for r in skew.ranked_quantiles(df, ["k"], ["x", "y"], (0.5, 0.9), chunk_rows=20).collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted(r[1] for r in rows if r[0] == k and r[1] is not None)
+        n, *qs = got[k, "x"]
+        assert n == sum(r[0] == k for r in rows) and got[k, "y"] == (n, None, None)
+        for q, v in zip((0.5, 0.9), qs):
+            p = (len(own) - 1) * q
+            lo, hi = own[int(p)], own[min(int(p) + (p > int(p)), len(own) - 1)]
+            assert abs(v - (lo + (hi - lo) * (p - int(p)))) < 1e-9
+    assert skew.ranked_quantiles(df.limit(0), ["k"], ["x"]).count() == 0

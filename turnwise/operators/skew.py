@@ -105,3 +105,30 @@ def heavy_users(df: DataFrame, user: str = "telegram_user_internal_id", share: f
     activity = stash(user_activity(df, user).select(user, "n_rows"), "activity")
     total = activity.agg(F.sum("n_rows")).first()[0] or 0
     return activity.filter(F.col(user).isNotNull() & (F.col("n_rows") >= share * total)).select(user)
+
+
+def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, metric, n_rows, q_0, q_1, ...): exact quantiles with linear interpolation, nulls ignored, whatever share of the rows a group holds.
+
+    Rows are numbered within (keys, metric) in order of value, and only those at the wanted ranks are kept; a percentile
+    aggregate would gather all distinct values of a group in one task instead. A null key is a group; a metric without
+    values has null quantiles. ``n_rows`` counts all rows of the group.
+    """
+    name = F.to_json(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"k{i}") for i, k in enumerate(keys)]))
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
+    long = df.select(name.alias("_group"), F.explode(entries).alias("m")).select(F.concat_ws("\x01", "_group", "m.metric").alias("_key"), "m.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    numbered, sizes = number_rows(long, "_key", ["x"], chunk_rows)
+    joined = numbered.join(sizes, "_key")
+    places = [((F.col("n") - 1) * F.lit(float(q))).alias(f"p{i}") for i, q in enumerate(at)]
+    placed = joined.select("_key", "x", "_rank", *places)
+    wanted = [(F.col("_rank") == F.floor(f"p{i}")) | (F.col("_rank") == F.ceil(f"p{i}")) for i in range(len(at))]
+    any_wanted = wanted[0]
+    for w in wanted[1:]:
+        any_wanted = any_wanted | w
+    ends = []
+    for i in range(len(at)):
+        ends += [F.max(F.when(F.col("_rank") == F.floor(f"p{i}"), F.col("x"))).alias(f"lo{i}"), F.max(F.when(F.col("_rank") == F.ceil(f"p{i}"), F.col("x"))).alias(f"hi{i}"), F.max(F.col(f"p{i}") - F.floor(f"p{i}")).alias(f"f{i}")]
+    found = placed.filter(any_wanted).groupBy("_key").agg(*ends).select("_key", *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q_{i}") for i in range(len(at))])
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    spine = groups.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics]))).withColumn("_key", F.concat_ws("\x01", name, "metric"))
+    return spine.join(found, "_key", "left").select(*keys, "metric", "n_rows", *[f"q_{i}" for i in range(len(at))])

@@ -101,6 +101,9 @@ _LONG = " UNION ALL ".join(
     for m in METRICS
 )
 _query("user_month_quantiles_long", _LONG)(lambda s, d: rounded(aggregates.quantiles_long(_features(s, d), ["telegram_user_internal_id", "bucket_month"], METRICS)))
+_query("user_month_quantiles_ranked", _LONG)(
+    lambda s, d: rounded(skew.ranked_quantiles(_features(s, d), ["telegram_user_internal_id", "bucket_month"], list(METRICS)).withColumnsRenamed({"q_0": "median", "q_1": "q1", "q_2": "q3"}))
+)
 _query(
     "long_form_aggregate",
     " UNION ALL ".join(
