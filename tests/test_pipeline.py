@@ -87,3 +87,14 @@ def test_exclusions_and_filters(spark):
     assert {r[0] for r in sampling.exclude(df, gone).collect()} == {"en_row", "ru_new"}
     assert sampling.language_filters("Russian, en,ru", True) == ["ru", "en"]
     assert sampling.valid_run_id("a.b-1") and not sampling.valid_run_id("../a")
+
+
+def test_command_line(spark, source, tmp_path, small, capsys):
+    assert pipeline.main(["stage", "--input", source, "--output", str(tmp_path / "st")]) == 0
+    assert pipeline.main(["run", "--input", source, "--output", str(tmp_path / "o"), "--run-id", "c", "--no-layer-b", "--no-report"]) == 0
+    assert "rows=3" in capsys.readouterr().out
+    assert pipeline.main(["durations", "--run", str(tmp_path / "o" / "c"), "--output", str(tmp_path / "d")]) == 0
+    assert pipeline.main(["raw", "--input", source, "--output", str(tmp_path / "raw.json")]) == 0
+    assert pipeline.main(["sample", "--input", source, "--output", str(tmp_path / "s")]) == 0
+    with pytest.raises(SystemExit):
+        pipeline.main(["sample", "--input", source, "--output", "x", "--samples-per-month", "0"])

@@ -28,7 +28,8 @@ def count(c: Column, pattern: str) -> Column:
 def count_chars(c: Column, chars: str) -> Column:
     """How many characters are of a class such as ``[a-z]``: what is gone once runs of them are cut out. Cheaper than listing matches."""
     t = _text(c)
-    return (F.length(t) - F.length(F.regexp_replace(t, f"(?:{chars})++", ""))).cast("bigint")
+    runs = f"(?:{chars})++" if "|" in chars else f"{chars}++"
+    return (F.length(t) - F.length(F.regexp_replace(t, runs, ""))).cast("bigint")
 
 
 def ratio(a: Column, b: Column) -> Column:

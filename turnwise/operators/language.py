@@ -44,6 +44,8 @@ def detect(sample: Column, languages: dict[str, list[str]] | None = None) -> Col
     score's share of all; mixed if the two best are close or a second script holds a third of the letters.
     """
     table = languages or {k: v.split() for k, v in SMALL_WORDS.items()}
+    every = sorted({w for own in table.values() for w in own})
+
     def counted(low: Column) -> Column:
         """Counts of one text; a script's own letters are only looked for where the script occurs."""
         return bind(F.struct(count_chars(low, r"\p{IsCyrillic}").alias("cyrillic"), count_chars(low, r"\p{IsLatin}").alias("latin")), lambda x: letters(low, x))
@@ -54,14 +56,16 @@ def detect(sample: Column, languages: dict[str, list[str]] | None = None) -> Col
             there = x["cyrillic"] if iso in CYRILLIC else x["latin"]
             size = count_chars(low, LETTERS[iso]) - count_chars(low, AGAINST[iso]) if iso in LETTERS else F.lit(0).cast("bigint")
             own.append(F.when(there > 0, size).otherwise(0).alias(f"own_{iso}"))
-        return F.struct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0).alias("words"), (x["cyrillic"] + x["latin"]).alias("n"), x["cyrillic"].alias("cyrillic"), x["latin"].alias("latin"), *own)
+        rest = [(x["cyrillic"] + x["latin"]).alias("n"), x["cyrillic"].alias("cyrillic"), x["latin"].alias("latin"), *own]
+        # all small words are picked out once; each language then looks among these only
+        return bind(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0), lambda w: F.struct(F.filter(w, _one_of(every)).alias("small"), F.size(w).alias("m"), *rest))
 
     def scores(x: Column) -> Column:
-        n, m = F.greatest(x["n"], F.lit(1)), F.greatest(F.size(x["words"]), F.lit(1))
+        n, m = F.greatest(x["n"], F.lit(1)), F.greatest(x["m"], F.lit(1))
         each = []
         for iso, own in table.items():
             script = (x["cyrillic"] if iso in CYRILLIC else x["latin"] if iso in SMALL_WORDS else x["n"]) / n
-            small = F.size(F.filter(x["words"], _one_of(own))) / m
+            small = F.size(F.filter(x["small"], _one_of(own))) / m
             each.append(F.struct(F.greatest(script * (0.05 + 2 * small + 2 * x[f"own_{iso}"] / n), F.lit(0.0)).alias("score"), F.lit(iso).alias("iso")))
         return F.struct(x["n"].alias("n"), F.sort_array(F.array(*each), asc=False).alias("by"), (F.least(x["cyrillic"], x["latin"]) > SECOND_SHARE * x["n"]).alias("scripts"))
 

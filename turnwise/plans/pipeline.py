@@ -16,8 +16,8 @@ from turnwise import __version__
 from turnwise.functions.dates import parse_created_at
 from turnwise.operators import aggregates, reshape
 from turnwise.operators.layers import LAYER_A_VERSION, LAYER_B_VERSION, add_features, metric_columns
-from turnwise.plans import report
-from turnwise.session import get_spark
+from turnwise.plans import report, review
+from turnwise.session import get_spark, spread
 from turnwise.sources import files
 
 USER = "telegram_user_internal_id"
@@ -31,7 +31,7 @@ def versions(with_b: bool) -> str:
 def build_parts(df: DataFrame, to: str, with_b: bool = True) -> None:
     """Features of every row, rows without a readable time included, as Parquet."""
     files.require_columns(df)
-    rows = add_features(df, with_b=with_b).withColumn("created_at_parsed", parse_created_at(F.col("created_at")))
+    rows = add_features(spread(df), with_b=with_b).withColumn("created_at_parsed", parse_created_at(F.col("created_at")))
     files.write_parts(rows, to)
 
 
@@ -123,14 +123,51 @@ def main(args: list[str] | None = None) -> int:
     staging = commands.add_parser("stage", help="CSV to Parquet without features")
     staging.add_argument("--input")
     staging.add_argument("--output", required=True)
+    sample = commands.add_parser("sample", help="draw a stratified sample for review")
+    sample.add_argument("--input")
+    sample.add_argument("--output", required=True)
+    sample.add_argument("--samples-per-month", type=int, default=8)
+    sample.add_argument("--seed", type=int, default=42)
+    sample.add_argument("--max-transcript-chars", type=int, default=4500)
+    sample.add_argument("--exclude-index", action="append", default=[])
+    sample.add_argument("--languages", default="")
+    sample.add_argument("--russian-only", action="store_true")
+    sample.add_argument("--exact-language", action="store_true")
+    sample.add_argument("--min-language-confidence", type=float, default=0.5)
+    analysis = commands.add_parser("analyze", help="join review scores to their sample")
+    analysis.add_argument("--judge-json", required=True)
+    analysis.add_argument("--index", required=True)
+    analysis.add_argument("--output", required=True)
+    lengths = commands.add_parser("durations", help="duration distributions of a run")
+    lengths.add_argument("--run", required=True, help="folder of a run, with parts")
+    lengths.add_argument("--output", required=True)
+    raw = commands.add_parser("raw", help="summary of raw transcripts as JSON")
+    raw.add_argument("--input")
+    raw.add_argument("--output", required=True)
     given = parser.parse_args(args)
     if getattr(given, "max_rows", None) is not None and given.max_rows < 0:
         parser.error("--max-rows must not be negative")
+    if given.command == "sample" and not (given.samples_per_month >= 1 and given.max_transcript_chars >= 1200 and 0 <= given.min_language_confidence <= 1):
+        parser.error("samples per month from 1, characters from 1200, confidence from 0 to 1")
     spark = get_spark()
+    if given.command == "analyze":
+        return 0 if review.analyze(spark, given.judge_json, given.index, given.output) is not None else 1
+    if given.command == "durations":
+        return 0 if review.durations(spark.read.parquet(f"{given.run}/parts"), given.output) is not None else 1
     source = given.input if given.input and Path(given.input).is_dir() else files.resolve_csv(given.input)
     if given.command == "stage":
         print(f"rows={files.stage_csv(spark, source, given.output)}")
         return 0
+    if given.command in ("sample", "raw"):
+        rows = spark.read.parquet(source) if Path(source).is_dir() else files.require_columns(files.read_csv(spark, source))
+        if given.command == "raw":
+            review.summarize_raw(rows, given.output)
+        else:
+            review.build_sample(
+                spark, rows, given.output, per_month=given.samples_per_month, seed=given.seed, max_chars=given.max_transcript_chars, excluded=given.exclude_index, languages=given.languages,
+                russian_only=given.russian_only, exact=given.exact_language, min_confidence=given.min_language_confidence,
+            )
+        return 0
     made = run(spark, source, given.output, run_id=given.run_id, with_b=not given.no_layer_b, max_rows=given.max_rows, merge=given.merge, merge_max_rows=given.merge_max_rows, with_report=not given.no_report)
     print(f"run_id={made['run_id']} rows={made['rows_read']}")
     return 0
