@@ -19,6 +19,7 @@ def speakers(text):
         ("SPEAKER_00\n00:00:05 - 00:00:06: b\n[??:??:??] stays behind b\nSPEAKER_01\n00:00:01 - 00:00:02: a", ["SPEAKER_01", "SPEAKER_00"]),
         ("SPEAKER_00: Ммм... [смех]\nSPEAKER_01: Хм?\nSPEAKER_02: да", ["SPEAKER_02"]),
         ("SPEAKER_00: one\r\nSPEAKER_01: [noise]\r\nSPEAKER_00: two\r\nand more", ["SPEAKER_00"]),
+        ("SPEAKER_00: а а а а\nSPEAKER_01: Э-э... Yyym.\nSPEAKER_02: Ähm, öhm", ["SPEAKER_00"]),
         ("no labels at all\nsecond line", []),
         ("before any label\nSPEAKER_00: after", ["SPEAKER_00"]),
         ("", []),

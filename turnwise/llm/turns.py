@@ -38,7 +38,7 @@ MAX_TEMPLATES = 5_000
 # fixed values: words that introduce a speaker
 SEED_WORDS = ("speaker", "spk", "спикер", "говорящий", "спікер", "мовець", "sprecher", "mówca", "rozmówca", "прамоўца")
 # fixed values: sounds of hesitation, as patterns of the whole word
-HESITATION = r"(?:э+|э(?:-э)+|эм+|м+|хм+|гм+|е+|е(?:-е)+|ем+|ээ+м*|а+|ы+|hm+|mm+|m+|u+h+|u+m+|e+r+m*|e+h+m*|ä+h+m*|ö+h+m*|y+|y+m+|e+|e+m+|a+h+|o+h+|ah+m*|ym+)"
+HESITATION = r"(?:э+м*|э(?:-э)+|м{2,}|хм+|гм+|е{2,}|е(?:-е)+|ем+|а{2,}|ы{2,}|hm+|m{2,}|u+h+|u+m+|e+r+m*|e+h+m*|ä+h+m*|ä{2,}|ö+h+m*|y{2,}m*|ym+|e{2,}|e+m+|a+h+m*|a{2,}|o+h+)"
 
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _LOST = r"\[(?:no time|[-?xX\d:., ]{4,40})\]"
