@@ -50,6 +50,16 @@ def stash(df: DataFrame, what: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package on the Python path of the workers, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives every core work where a scan has fewer partitions than the cluster has cores; large inputs are left alone.
 
