@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.markup import distinct_rows, fence
 from turnwise.llm.quality import with_junk
+from turnwise.session import map_batches
 
 MAX_REFERENCES = 20_000
 LANDMARKS = 400
@@ -219,7 +220,7 @@ def label_languages(df: DataFrame, model: dict, key: str = "id", text: str = "_s
             total = np.bincount(doc, weights=words, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), parts)], names=["id", "n_words", "stretches"])
 
-    return df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")), run, SCHEMA)
 
 
 def language_words(labelled: DataFrame) -> DataFrame:

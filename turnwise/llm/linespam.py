@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.markup import spoken
+from turnwise.session import map_batches
 
 TOP_SHAPES = 12
 SPAM_SHARE = 0.5
@@ -117,7 +118,7 @@ def line_shapes(df: DataFrame, small_words: Iterable[str], key: str = "doc_id",
                 names=[key, "n_chars", "n_shapes", "spam_share", "top"],
             )
 
-    return df.select(F.col(key), spoken(F.col(text)).alias("text")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
+    return map_batches(df.select(F.col(key), spoken(F.col(text)).alias("text")), run, f"`{key}` {kind}, {SCHEMA}")
 
 
 def spam_pages(df: DataFrame, small_words: Iterable[str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,14 +101,17 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", total_tokens: int | None = None) -> DataFrame:
-    """Per target source: weight, budget, tokens available and used, documents used, most copies, the share reached and whether it fell short."""
+    """Per target source: weight, budget, tokens available and used, documents used, most copies, the share of all used tokens reached, the share of the
+    total asked for (below the weight only if it fell short) and whether it fell short."""
     plan = _plan_rows(docs, targets, source, total_tokens)
     used = mix(docs, targets, key, source, total_tokens).groupBy(F.col(source).alias("source")).agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies")
     )
     joined = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-    total = joined.groupBy().agg(F.sum("used_tokens")).first()[0] or 0
+    sums = joined.groupBy().agg(F.sum("used_tokens"), F.sum("available")).first()
+    total, wanted = sums[0] or 0, (total_tokens if total_tokens is not None else sums[1]) or 0
     return joined.select(
         "source", "weight", "max_repeats", "available", "budget", "used_tokens", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        (F.col("used_tokens") / F.lit(float(total)) if total else F.lit(0.0)).alias("share"), (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("short"),
+        (F.col("used_tokens") / F.lit(float(total)) if total else F.lit(0.0)).alias("share"), (F.col("used_tokens") / F.lit(float(wanted)) if wanted else F.lit(0.0)).alias("share_of_budget"),
+        (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("short"),
     )

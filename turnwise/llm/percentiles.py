@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.session import map_batches
+
 BITS = 32
 ERROR = 0.005
 FLUSH = 2_000_000
@@ -88,7 +90,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch], k: float) -> Iterator[pa.
 
 
 def _compressed(nodes: DataFrame, error: float) -> DataFrame:
-    return nodes.select("grp", "level", "node", "n").mapInArrow(lambda it: _digest_batches(it, BITS / error), "grp string, level int, node bigint, n bigint")
+    return map_batches(nodes.select("grp", "level", "node", "n"), lambda it: _digest_batches(it, BITS / error), "grp string, level int, node bigint, n bigint")
 
 
 def build(df: DataFrame, value: str, group: str, error: float = ERROR) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.markup import fence, spoken
+from turnwise.session import map_batches
 
 RUN = 4
 REPEATED_SHARE = 0.3
@@ -73,7 +74,7 @@ def repeated_shares(df: DataFrame, key: str = "id", text: str = "transcription_t
             n, again = covered(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(again)], names=["id", "n_words", "n_repeated"])
 
-    counted = df.select(F.col(key).cast("string").alias("id"), spoken(F.col(text)).alias("text")).mapInArrow(run, SCHEMA)
+    counted = map_batches(df.select(F.col(key).cast("string").alias("id"), spoken(F.col(text)).alias("text")), run, SCHEMA)
     return counted.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")))
 
 

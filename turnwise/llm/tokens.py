@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.session import map_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the vocabulary's own cut of a text into pieces
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,7 +174,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return map_batches(df.select(key, F.col(text)), run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -185,4 +187,4 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n)], names=[*keep, "n_tokens"])
 
     kinds = dict(df.dtypes)
-    return df.select(*keep, F.col(text)).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint")
+    return map_batches(df.select(*keep, F.col(text)), run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint")

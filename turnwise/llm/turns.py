@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.markup import distinct_rows
 from turnwise.llm.quality import with_junk
+from turnwise.session import map_batches
 
 DEPTH = 8
 MIN_SHARE = 0.002
@@ -50,6 +51,7 @@ _SOUND = re.compile(r"[\[(*<][^\W\d_][^\W\d_  ​]*(?:[  ​]+[^\W\d_]+)*[\])*
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _HESITATION = re.compile(HESITATION)
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_CLOCK = re.compile(_TIME)
 _SEPARATOR = re.compile(r"[ \t]*-{20,}[ \t]*$")
 _PIECE = re.compile(rf"{_TIME}|{_LOST}|-->|[^\W\d_]+|\d+|[\[\]():_–—-]")
 
@@ -62,7 +64,7 @@ def template(head: str) -> str:
         if token[0].isdigit():
             path.append("<time>" if ":" in token else "<no>")
         elif token[0] == "[" and len(token) > 1:
-            path.append("<lost>")
+            path.append("[<time>]" if _CLOCK.search(token) else "<lost>")
         elif token[0].isalpha():
             path.append("<no>" if word and len(token) == 1 else token.lower())
             word = True
@@ -100,7 +102,7 @@ def mine(df: DataFrame, text: str = "transcription_text") -> DataFrame:
                 texts.clear()
         yield _counts(lines, texts)
 
-    counted = df.select(text).mapInArrow(run, "template string, n_lines bigint, n_transcripts bigint")
+    counted = map_batches(df.select(text), run, "template string, n_lines bigint, n_transcripts bigint")
     return counted.groupBy("template").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_transcripts").alias("n_transcripts"))
 
 
@@ -237,7 +239,7 @@ def speaker_turns(df: DataFrame, common: list[str], with_text: bool = True, key:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(speakers, pa.list_(pa.string())), pa.array(says, pa.list_(pa.string()))], names=["id", "speakers", "says"])
 
     speech = with_junk(df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")), common, "text").filter(~F.col("_junk")).select("id", "text")
-    rows = distinct_rows(speech.mapInArrow(run, "id string, speakers array<string>, says array<string>"), "id")
+    rows = distinct_rows(map_batches(speech, run, "id string, speakers array<string>, says array<string>"), "id")
     if with_text:
         return rows.select("id", F.posexplode(F.arrays_zip("speakers", "says"))).select("id", (F.col("pos") + 1).cast("bigint").alias("turn_no"), F.col("col.speakers").alias("speaker"), F.col("col.says").alias("text"))
     return rows.select("id", F.posexplode("speakers").alias("pos", "speaker")).select("id", (F.col("pos") + 1).cast("bigint").alias("turn_no"), "speaker")
