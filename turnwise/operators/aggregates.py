@@ -90,9 +90,11 @@ def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFra
 
 
 def trailing_days(df: DataFrame, ts: str, days: int = 30) -> DataFrame:
-    """Rows of the last ``days`` before the latest time; the latest time is one number from one aggregate."""
-    latest = df.agg(F.max(ts).alias("_latest"))
-    return df.join(F.broadcast(latest), F.col(ts) >= F.col("_latest") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("_latest")
+    """Rows of the last ``days`` before the latest time, which is read first, so that the filter reaches the scan."""
+    latest = df.agg(F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    if latest is None:
+        return df.limit(0)
+    return df.filter(F.col(ts) >= F.expr(f"TIMESTAMP_NTZ '{latest}' - INTERVAL {int(days)} DAYS"))
 
 
 def between(df: DataFrame, ts: str, start, end) -> DataFrame:

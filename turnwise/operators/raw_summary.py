@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
@@ -72,10 +72,9 @@ def monthly(rows: DataFrame, overall: bool = False) -> DataFrame:
 
 def label_distribution(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, primary_label, n, share)."""
-    sizes = rows.groupBy(*(keys or [])).agg(F.count("*").alias("_all"))
     counts = rows.groupBy(*(keys or []), "primary_label").agg(F.count("*").alias("n"))
-    joined = counts.join(F.broadcast(sizes), keys) if keys else counts.join(F.broadcast(sizes), F.lit(True))
-    return joined.withColumn("share", F.bround(F.col("n") / F.col("_all"), 4)).drop("_all")
+    whole = F.sum("n").over(Window.partitionBy(*(keys or [])))  # over a row per label
+    return counts.withColumn("share", F.bround(F.col("n") / whole, 4))
 
 
 def label_hits(rows: DataFrame, keys: list[str] | None = None, k: int = 10) -> DataFrame:

@@ -48,8 +48,8 @@ def category_totals(shares: DataFrame) -> DataFrame:
 
 def filled_shares(shares: DataFrame, bucket: str) -> DataFrame:
     """Every category in every bucket, 0 where it is missing: buckets and categories are few, unlike rows."""
-    spine = shares.groupBy("_category").agg(F.lit(1).alias("_x")).drop("_x").join(shares.select(bucket).distinct().groupBy().agg(F.collect_list(bucket).alias("_b")), F.lit(True))
-    every = spine.select("_category", F.explode("_b").alias(bucket))
+    seen = shares.groupBy().agg(F.collect_set("_category").alias("_c"), F.collect_set(bucket).alias("_b"))
+    every = seen.select(F.explode("_c").alias("_category"), "_b").select("_category", F.explode("_b").alias(bucket))
     return every.join(shares.select(bucket, "_category", "share"), [bucket, "_category"], "left").na.fill(0.0, ["share"])
 
 

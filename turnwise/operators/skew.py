@@ -22,12 +22,13 @@ POSITION = (1 << 33) - 1  # monotonically_increasing_id keeps the row's position
 def number_rows(df: DataFrame, key: str, order: list[str], chunk_rows: int = CHUNK_ROWS, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` with ``_rank`` (0-based place within the key) and ``_chunk``; and the counts per key (key, ``n``).
 
-    ``key`` must not be null (fold nulls into a value first). Ties in ``order`` get distinct ranks. Extra columns of
+    ``key`` must not be null (fold nulls into a value first). Ties in ``order`` get distinct ranks and, broken at random, also
+    spread over partitions, so a value that many rows of a key share is no hot spot either. Extra columns of
     ``df`` pass through; names starting with ``_`` are reserved. An empty table gives two empty tables.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stash(
-        df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_mid", F.monotonically_increasing_id()),
+        df.withColumn("_tie", F.rand(11)).repartitionByRange(n, key, *order, "_tie").sortWithinPartitions(key, *order, "_tie").drop("_tie").withColumn("_mid", F.monotonically_increasing_id()),
         "placed",
     ).withColumns({"_part": F.shiftright("_mid", 33), "_pos": F.col("_mid").bitwiseAND(F.lit(POSITION))})
     runs = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_start"))
