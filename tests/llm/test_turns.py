@@ -51,3 +51,13 @@ def test_unknown_label_words_are_mined(spark, transcripts):
 
 def test_empty_table(transcripts):
     assert turns.speaker_turns(transcripts([("a", None, None, "x")]).limit(0), []).count() == 0
+
+
+def test_label_words_do_not_depend_on_the_size_of_the_table(spark, transcripts):
+    rows = [(f"u{i}", "a", None, f"Tolmach 0: hello number {i} is here\nTolmach 1: and this is the answer\nTolmach 0: the end") for i in range(5)]
+    rows += [("own", "a", None, "Habarkar 1: this is one\nHabarkar 2: and two\nHabarkar 1: the third\nHabarkar 2: is last")]
+    rows += [(f"list{i}", "a", None, "Chapter 1: this is one\nChapter 2: and two\nChapter 3: the third") for i in range(30)]
+    few = turns.speaker_turns(transcripts(rows), ["and", "is", "the"]).collect()
+    more = turns.speaker_turns(transcripts(rows).unionByName(transcripts([(f"p{i}", "a", None, f"plain words of speech number {i} and the rest") for i in range(12_000)])), ["and", "is", "the"]).collect()
+    assert sorted(few) == sorted(more)
+    assert sorted({r["id"] for r in few}) == ["own", "u0", "u1", "u2", "u3", "u4"] and len(few) == 5 * 3 + 4

@@ -4,9 +4,11 @@ Method: line templates are mined with a fixed-depth token tree. The head of each
 cut into tokens; times, unreadable times, numbers and single letters become wildcards, brackets and dashes stay, and the
 first word stays as it is written in lower case. The path of the first ``DEPTH`` tokens is the line's template. Templates
 are counted over all transcripts (counts and distinct transcripts only leave the tasks). Slots are then inferred: the
-first time of a template is its start slot, and a word followed by a number or letter is a speaker slot if the template
-stands in at least ``MIN_SHARE`` of the transcripts or its word is a known speaker word (a small seed list, so that tiny
-inputs work too). Extraction reads every line through the inferred templates and applies the rules:
+first time of a template is its start slot, and a word followed by a number or letter is a speaker slot if its word is a
+speaker word: one of a small seed list, one that behaves like a label in enough transcripts (a fixed number, whatever the
+size of the table: ``MIN_ALTERNATING`` in which its numbers come back after others, or ``MIN_TRANSCRIPTS`` at all, and not
+mostly lists that only count on), or one whose numbers come back ``OWN_RETURNS`` times in the transcript itself. Extraction
+reads every line through the inferred templates and applies the rules:
 
 * an utterance belongs to the last label at or before it; several timed lines under one label are several utterances;
   a line without label and time continues the utterance before it;
@@ -32,9 +34,9 @@ from turnwise.llm.quality import with_junk
 from turnwise.session import map_batches
 
 DEPTH = 8
-MIN_SHARE = 0.002
 MIN_TRANSCRIPTS = 20
-MAX_TEMPLATES = 5_000
+MIN_ALTERNATING = 3
+OWN_RETURNS = 2
 
 # fixed values: words that introduce a speaker
 SEED_WORDS = ("speaker", "spk", "спикер", "говорящий", "спікер", "мовець", "sprecher", "mówca", "rozmówca", "прамоўца")
@@ -73,16 +75,30 @@ def template(head: str) -> str:
     return " ".join(path)
 
 
-def mine(df: DataFrame, text: str = "transcription_text") -> DataFrame:
-    """(template, n_lines, n_transcripts): the line heads of all texts by template. Only counts leave a task."""
+def behaviour(values: list[str]) -> tuple[int, bool]:
+    """(times a value comes back after another, whether the values only count on as in a list)."""
+    back, seen, last = 0, set(), None
+    for v in values:
+        if v != last:
+            back += v in seen
+            seen.add(v)
+            last = v
+    return back, len(values) >= 3 and len(seen) == len(values)
+
+
+def observed(df: DataFrame, text: str = "transcription_text") -> DataFrame:
+    """The line heads of all texts by template and by label word (``kind``), with how their numbers behave in transcripts.
+
+    Only counts leave a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: Counter[str] = Counter()
-        texts: Counter[str] = Counter()
+        counts: dict[tuple[str, str], list[int]] = {}
         known: dict[str, str] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
                 own = Counter()
+                labels: dict[str, list[str]] = {}
                 for line in _LINES.split(t) if t else ():
                     m = HEAD.match(line[:120])
                     head = m.group().strip()
@@ -94,37 +110,49 @@ def mine(df: DataFrame, text: str = "transcription_text") -> DataFrame:
                                 known.clear()
                             path = known[shape] = template(head)
                         own[path] += 1
-                lines.update(own)
-                texts.update(own.keys())
-            if len(lines) > 100_000:  # keep memory bounded whatever the input holds; the counts add up later
-                yield _counts(lines, texts)
-                lines.clear()
-                texts.clear()
-        yield _counts(lines, texts)
+                        if m.group("word"):
+                            labels.setdefault(m.group("word").lower(), []).append(m.group("who").lower())
+                for path, n in own.items():
+                    _add(counts, ("template", path), (n, 1, 0, 0))
+                for word, values in labels.items():
+                    back, listed = behaviour(values)
+                    _add(counts, ("word", word), (len(values), 1, back > 0, listed))
+            if len(counts) > 100_000:  # keep memory bounded whatever the input holds; the counts add up later
+                yield _counts(counts)
+                counts.clear()
+        yield _counts(counts)
+
+    counted = map_batches(df.select(text), run, "kind string, name string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return counted.groupBy("kind", "name").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
-    counted = map_batches(df.select(text), run, "template string, n_lines bigint, n_transcripts bigint")
-    return counted.groupBy("template").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_transcripts").alias("n_transcripts"))
+
+def mine(df: DataFrame, text: str = "transcription_text") -> DataFrame:
+    """(template, n_lines, n_transcripts): the line heads of all texts by template. Only counts leave a task."""
+    return observed(df, text).filter("kind = 'template'").select(F.col("name").alias("template"), "n_lines", "n_transcripts")
 
 
+COUNTS = ("n_lines", "n_transcripts", "n_alternating", "n_listed")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
-def _counts(lines: Counter, texts: Counter) -> pa.RecordBatch:
-    keys = list(lines)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([lines[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], names=["template", "n_lines", "n_transcripts"])
+def _add(counts: dict[tuple[str, str], list[int]], key: tuple[str, str], more: tuple[int, ...]) -> None:
+    old = counts.get(key)
+    counts[key] = [int(x) for x in more] if old is None else [x + y for x, y in zip(old, more)]
+
+
+def _counts(counts: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+    cols = list(zip(*counts.values())) if counts else [()] * len(COUNTS)
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["kind", "name", *COUNTS])
 
 
-def speaker_words(templates: DataFrame, total: int) -> list[str]:
-    """The words that open a speaker slot: seed words, and words before a number in enough transcripts.
+def speaker_words(seen: DataFrame) -> list[str]:
+    """The words that open a speaker slot: seed words, and words that behave like labels in a fixed number of transcripts.
 
-    At most ``MAX_TEMPLATES`` of the most frequent words can come back, a bound of the vocabulary of labels, not of rows.
+    What comes back is bounded by the vocabulary of labels, not by the rows.
     """
-    word = F.regexp_extract("template", r"(\p{L}{2,}) ?_? ?<no>", 1)
-    found = (
-        templates.withColumn("word", word).filter("word <> ''").groupBy("word").agg(F.sum("n_transcripts").alias("n"))
-        .filter(F.col("n") >= max(MIN_TRANSCRIPTS, MIN_SHARE * total)).orderBy(F.desc("n"), "word").limit(MAX_TEMPLATES)
-    )
-    return sorted({*SEED_WORDS, *(r["word"] for r in found.collect())})
+    enough = (F.col("n_alternating") >= MIN_ALTERNATING) | (F.col("n_transcripts") >= MIN_TRANSCRIPTS)
+    found = seen.filter(F.col("kind") == "word").filter(enough & (2 * F.col("n_listed") <= F.col("n_transcripts"))).select("name")
+    return sorted({*SEED_WORDS, *(r["name"] for r in found.collect())})
 
 
 def seconds(time: str) -> float:
@@ -150,7 +178,8 @@ def says_something(body: str) -> bool:
 
 
 def utterances(text: str, words: frozenset[str]) -> list[tuple[float | None, str | None, list[str]]]:
-    """(start, speaker, lines) of each utterance as written."""
+    """(start, speaker, lines) of each utterance as written. Words that behave like labels in this very text count as such."""
+    others: dict[str, list[str]] = {}
     out: list[tuple[float | None, str | None, list[str]]] = []
     speaker: str | None = None
     current: list | None = None  # [start, speaker, lines, has its own label]
@@ -167,6 +196,7 @@ def utterances(text: str, words: frozenset[str]) -> list[tuple[float | None, str
         time, word, who = m.group("time", "word", "who")
         end = m.end()
         if word is not None and word.lower() not in words:
+            others.setdefault(word.lower(), []).append(who.lower())
             word = who = None
             end = m.end("time") if time else 0
         late = m.group("late") if word is not None else None
@@ -196,7 +226,8 @@ def utterances(text: str, words: frozenset[str]) -> list[tuple[float | None, str
             timed, waiting, labelled = False, None, False
         else:
             current[2].append(body)
-    return out
+    own = {w for w, values in others.items() if behaviour(values)[0] >= OWN_RETURNS}
+    return utterances(text, words | own) if own else out
 
 
 def turns(text: str | None, words: frozenset[str]) -> list[tuple[str, str]]:
@@ -224,8 +255,7 @@ def speaker_turns(df: DataFrame, common: list[str], with_text: bool = True, key:
 
     ``text`` is the turn's speech without labels, times and sound annotations. Extra columns are ignored.
     """
-    templates = mine(df, text)
-    words = frozenset(speaker_words(templates, df.count()))
+    words = frozenset(speaker_words(observed(df, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
