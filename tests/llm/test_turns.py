@@ -61,3 +61,14 @@ def test_label_words_do_not_depend_on_the_size_of_the_table(spark, transcripts):
     more = turns.speaker_turns(transcripts(rows).unionByName(transcripts([(f"p{i}", "a", None, f"plain words of speech number {i} and the rest") for i in range(12_000)])), ["and", "is", "the"]).collect()
     assert sorted(few) == sorted(more)
     assert sorted({r["id"] for r in few}) == ["own", "u0", "u1", "u2", "u3", "u4"] and len(few) == 5 * 3 + 4
+
+
+@pytest.mark.parametrize(
+    "layout",
+    ["Tolmach 0 > one is it {i}\nTolmach 1 > two\nTolmach 0 > and three", "(00:00:09) <Tolmach #0> one is it {i}\n(00:00:11) <Tolmach #1> two\n(00:00:15) <Tolmach #0> and three", "SPEAKER_00: 00:00:02 one is it {i}\nSPEAKER_01: 00:00:04 two\nSPEAKER_00: 00:00:06 and three"],
+)
+def test_layouts_the_fixed_pattern_does_not_know_are_inferred(transcripts, layout):
+    rows = [(f"u{i}", "a", None, layout.format(i=i)) for i in range(5)]
+    got = {(r["id"], r["turn_no"]): (r["speaker"], r["text"]) for r in turns.speaker_turns(transcripts(rows), ["and", "is", "it"]).collect()}
+    assert len(got) == 15
+    assert [got["u3", k] for k in (1, 2, 3)] == [("SPEAKER_00", "one is it 3"), ("SPEAKER_01", "two"), ("SPEAKER_00", "and three")]
