@@ -3,7 +3,7 @@ import json
 import pytest
 
 from turnwise.operators import judge
-from turnwise.plans import pipeline, review
+from turnwise.plans import pipeline, report, review
 from turnwise.sources import files
 
 
@@ -40,3 +40,13 @@ def test_durations_and_raw_summary(spark, transcripts, tmp_path):
     assert months.count() > 0 and (tmp_path / "d" / "durations.html").is_file() and (tmp_path / "d" / "duration_overall.csv").is_dir()
     value = review.summarize_raw(transcripts, str(tmp_path / "raw.json"))
     assert value["overall"][0]["n"] == sum(m["n"] for m in value["months"]) and len(value["words_overall"]) == 25
+
+
+def test_packet_holds_the_whole_sample(spark):
+    from pyspark.sql import functions as F
+
+    n = 6_000
+    sample = spark.range(n).select(F.format_string("t%05d", "id").alias("transcript_id"), F.format_string("2024-%02d", F.col("id") % 12 + 1).alias("month"), F.lit("x").alias("selection_reason"), F.lit("words").alias("excerpt"))
+    text = report.packet(sample, 1, 500, 100)
+    meta = files.packet_metadata(text)
+    assert meta["selected_transcripts"] == n == text.count("\n## t") and meta["selected_by_month"]["2024-12"] == 500

@@ -6,7 +6,6 @@ import html
 
 from pyspark.sql import DataFrame
 
-MAX_POINTS = 5_000
 
 
 def format_duration(seconds: float | None) -> str:
@@ -52,24 +51,24 @@ def run_report(manifest: dict, long: DataFrame, totals: DataFrame) -> str:
     """Facts of the run, the daily total duration and a chart per metric."""
     facts = table([{"fact": k, "value": v} for k, v in manifest.items() if not isinstance(v, dict)], ["fact", "value"])
     by_metric: dict[str, list] = {}
-    for r in long.orderBy("metric", "time_bucket").limit(MAX_POINTS * 40).collect():
+    for r in long.orderBy("metric", "time_bucket").collect():
         by_metric.setdefault(r["metric"], []).append((r["time_bucket"], r["median"], r["q1"], r["q3"]))
-    days = [(str(r["bucket_day"]), r["total_seconds"], None, None) for r in totals.orderBy("bucket_day").limit(MAX_POINTS).collect()]
+    days = [(str(r["bucket_day"]), r["total_seconds"], None, None) for r in totals.orderBy("bucket_day").collect()]
     return page(f"Run {manifest['run_id']}", [facts, line_chart(days, "total seconds a day"), *[line_chart(p, m) for m, p in sorted(by_metric.items())]])
 
 
 def duration_report(months: DataFrame, bins: DataFrame) -> str:
     """Monthly duration summaries and the histogram of minutes."""
-    rows = [r.asDict() for r in months.orderBy("month").limit(MAX_POINTS).collect()]
-    counts = [r.asDict() for r in bins.orderBy("bin").limit(MAX_POINTS).collect()]
+    rows = [r.asDict() for r in months.orderBy("month").collect()]
+    counts = [r.asDict() for r in bins.orderBy("bin").collect()]
     return page("Durations", [line_chart([(r["month"], r["median"], r["p25"], r["p75"]) for r in rows], "median seconds"), table(rows, months.columns), table(counts, bins.columns)])
 
 
 def judge_report(summaries: DataFrame, cards: DataFrame) -> str:
     """Monthly review scores and failure modes, as Markdown."""
     out = ["# Review", "", "| " + " | ".join(summaries.columns) + " |", "|" + "---|" * len(summaries.columns)]
-    out += ["| " + " | ".join(str(v) for v in r) + " |" for r in summaries.orderBy("month", "sample_group").limit(MAX_POINTS).collect()]
-    out += ["", "## Failure modes", ""] + [f"- {r['month']}: {r['failure_mode']} ({r['count']})" for r in cards.orderBy("month", "place").limit(MAX_POINTS).collect()]
+    out += ["| " + " | ".join(str(v) for v in r) + " |" for r in summaries.orderBy("month", "sample_group").collect()]
+    out += ["", "## Failure modes", ""] + [f"- {r['month']}: {r['failure_mode']} ({r['count']})" for r in cards.orderBy("month", "place").collect()]
     return "\n".join(out) + "\n"
 
 
@@ -77,7 +76,7 @@ def packet(sample: DataFrame, seed: int, per_month: int, max_chars: int) -> str:
     """The prompt packet of a sample with excerpts: metadata as JSON and one section per transcript."""
     import json
 
-    rows = [r.asDict() for r in sample.orderBy("month", "transcript_id").limit(MAX_POINTS).collect()]
+    rows = [r.asDict() for r in sample.orderBy("month", "transcript_id").toLocalIterator()]
     months: dict[str, int] = {}
     for r in rows:
         months[r["month"]] = months.get(r["month"], 0) + 1

@@ -89,7 +89,7 @@ def summarize_raw(transcripts: DataFrame, to: str) -> dict:
     """The raw summary as one JSON: per month and overall figures, labels, frequent words and the trend. A row a month is collected."""
     rows = raw_summary.raw_rows(transcripts)
     months = raw_summary.monthly(rows)
-    listed = lambda df: [r.asDict() for r in df.limit(report.MAX_POINTS).collect()]
+    listed = lambda df: [r.asDict() for r in df.collect()]
     value = {
         "months": listed(months.orderBy("month")), "overall": listed(raw_summary.monthly(rows, overall=True)), "primary_labels": listed(raw_summary.label_distribution(rows, ["month"])),
         "labels": listed(raw_summary.label_hits(rows, ["month"])), "labels_overall": listed(raw_summary.label_hits(rows, k=12)), "words": listed(raw_summary.frequent_words(rows, ["month"])),
