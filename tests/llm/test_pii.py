@@ -51,3 +51,18 @@ def test_odd_gaps(gap):
         name = gap.join({"М": "Лев Завьюгых", "P": "Priya Harrowgley", "A": "Detlef Steinwurzhold"}[text[0]].split())
         found = [c for c in pii.candidates(odd) if c[0] == "name" and c[1] == name]
         assert found and found[0][5][0] == 1
+
+
+def test_gazetteer_has_no_cap(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n = 21_000
+    found = spark.range(3 * n).select(F.lit("x").alias("id"), F.lit("name").alias("kind"), F.lit("v").alias("value"), F.lit(0).alias("start"), F.concat(F.lit("t"), F.col("id") % n).alias("first"), F.concat(F.lit("p"), F.col("id")).alias("last"), F.array(*map(F.lit, (1, 0, 1, 0, 0, 0))).alias("votes"))
+    names = pii.gazetteer(found)
+    assert names.count() == n
+    other = found.limit(5).withColumns({"kind": F.lit("email"), "first": F.lit(""), "last": F.lit("")})
+    votes = {}
+    for most in (n, 1):  # broadcast, shuffled
+        monkeypatch.setattr(pii, "MAX_BROADCAST", most)
+        votes[most] = sorted((r["kind"], r["votes"][3], r["count"]) for r in pii.with_gazetteer(found.unionByName(other), names).groupBy("kind", "votes").count().collect())
+    assert votes[n] == votes[1] == [("email", 0, 5), ("name", 1, 3 * n)]

@@ -5,7 +5,7 @@ counter-cue) vote for, against or not at all on each; expectation-maximisation o
 reliable each labeler is and how likely each pattern is a true span; the soft labels train a logistic span classifier, whose
 decision per pattern is final. Vote patterns are few (at most 3 to the power of the labelers), so only counts reach the
 driver. The gazetteer of given names is not written down: it is mined from the spans that stand after naming cues, as the
-words that go with several different partners (at most ``MAX_GAZETTEER`` of them).
+words that go with several different partners, however many they are.
 
 Null and empty texts hold no spans. A value found twice in a transcript is reported once.
 """
@@ -25,7 +25,7 @@ from turnwise.session import map_batches, stash
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELERS = ("format", "before", "after", "gazetteer", "shape", "counter")
-MAX_GAZETTEER = 20_000
+MAX_BROADCAST = 20_000
 MIN_PARTNERS = 3
 ROUNDS = 25
 REACH_BEFORE, REACH_AFTER = 42, 24
@@ -208,17 +208,26 @@ def gazetteer(found: DataFrame) -> DataFrame:
     """(token): words that stand in spans after naming cues with at least ``MIN_PARTNERS`` different partners."""
     named = found.filter((F.col("kind") == "name") & (F.col("votes")[0] == 1) & (F.col("votes")[2] == 1)).select("first", "last").distinct()
     pairs = named.select(F.col("first").alias("token"), F.col("last").alias("other")).union(named.select(F.col("last"), F.col("first")))
-    return pairs.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PARTNERS).orderBy(F.desc("n"), "token").limit(MAX_GAZETTEER).select("token")
+    return pairs.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PARTNERS).select("token")
 
 
 def with_gazetteer(found: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Sets the gazetteer's vote: for a name one of whose words is listed; against one without, unless a strong cue names it."""
-    listed = F.broadcast(tokens.withColumn("hit", F.lit(1)))
+    """Sets the gazetteer's vote: for a name one of whose words is listed; against one without, unless a strong cue names it.
+
+    A list of more than ``MAX_BROADCAST`` words is joined by shuffle; only names take part in that.
+    """
+    listed = tokens.withColumn("hit", F.lit(1))
+    rest = None
+    if tokens.count() <= MAX_BROADCAST:
+        listed = F.broadcast(listed)
+    else:
+        found, rest = found.filter(F.col("kind") == "name"), found.filter(F.col("kind") != "name")
     hit = F.greatest(F.coalesce("hit_first", F.lit(0)), F.coalesce("hit_last", F.lit(0)))
     vote = F.when(F.col("kind") == "name", F.when(hit == 1, F.lit(1)).when(F.col("votes")[0] == 1, F.lit(0)).otherwise(F.lit(-1))).otherwise(F.lit(0)).cast("int")
     joined = found.join(listed.select(F.col("token").alias("first"), F.col("hit").alias("hit_first")), "first", "left").join(listed.select(F.col("token").alias("last"), F.col("hit").alias("hit_last")), "last", "left")
     place = LABELERS.index("gazetteer")
-    return joined.withColumn("votes", F.transform("votes", lambda v, i: F.when(i == place, vote).otherwise(v))).drop("hit_first", "hit_last")
+    voted = joined.withColumn("votes", F.transform("votes", lambda v, i: F.when(i == place, vote).otherwise(v))).drop("hit_first", "hit_last")
+    return voted if rest is None else voted.unionByName(rest)
 
 
 def learn(counts: dict[tuple[str, tuple[int, ...]], int]) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -276,7 +285,7 @@ def model(found: DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
 def judged(df: DataFrame, key: str = "id", text: str = "transcription_text") -> DataFrame:
     """Every proposed span with ``probability``; spans that overlap a likelier one of the transcript are still in."""
     found = stash(spans(df, key, text), "spans")
-    found = with_gazetteer(found, gazetteer(found))
+    found = with_gazetteer(found, stash(gazetteer(found), "names"))
     learned = model(found)
     table = df.sparkSession.createDataFrame([(k, list(v), p) for (k, v), p in learned.items()], "kind string, votes array<int>, probability double")
     return found.join(F.broadcast(table), ["kind", "votes"])
