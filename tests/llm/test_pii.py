@@ -66,3 +66,11 @@ def test_gazetteer_has_no_cap(spark, monkeypatch):
         monkeypatch.setattr(pii, "MAX_BROADCAST", most)
         votes[most] = sorted((r["kind"], r["votes"][3], r["count"]) for r in pii.with_gazetteer(found.unionByName(other), names).groupBy("kind", "votes").count().collect())
     assert votes[n] == votes[1] == [("email", 0, 5), ("name", 1, 3 * n)]
+
+
+def test_overlaps_are_settled_from_the_likeliest_on(spark):
+    chain = [("chain", "phone", "a" * 10, 0, 0.6), ("chain", "name", "b" * 10, 8, 0.7), ("chain", "address", "c" * 10, 16, 0.8)]
+    cover = [("cover", "address", "d" * 30, 0, 0.9), ("cover", "name", "e" * 5, 2, 0.8), ("cover", "phone", "f" * 5, 10, 0.7), ("cover", "phone", "g" * 5, 30, 0.6)]
+    likely = spark.createDataFrame(chain + cover + chain, "id string, kind string, value string, start int, probability double")
+    got = sorted((r["id"], r["value"][0]) for r in pii.resolved(likely).collect())
+    assert got == [("chain", "a"), ("chain", "c"), ("cover", "d"), ("cover", "g")]

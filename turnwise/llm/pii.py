@@ -293,14 +293,23 @@ def judged(df: DataFrame, key: str = "id", text: str = "transcription_text") ->
 
 def personal_information(df: DataFrame, key: str = "id", text: str = "transcription_text", threshold: float = 0.5) -> DataFrame:
     """(id, kind, value): each piece of personal information of each transcript, once. Of overlapping spans the likelier stays."""
-    likely = judged(df, key, text).filter(F.col("probability") >= threshold)
+    return resolved(judged(df, key, text).filter(F.col("probability") >= threshold)).select("id", "kind", "value").distinct()
+
+
+def resolved(likely: DataFrame) -> DataFrame:
+    """The spans that stay: from the likeliest on, of equal ones from the longer, each that overlaps none that stays.
+
+    Spans that hang together by overlaps are settled together; a transcript's other spans do not come into it.
+    """
+    order = Window.partitionBy("id").orderBy("start", "end", "kind", "value")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     ends = likely.withColumn("end", F.col("start") + F.length("value"))
-    # of readings that share text keep the likelier, of equal ones the longer; only neighbours can share text
-    rank = F.struct("probability", F.length("value"), F.reverse("kind"))
-    place = ends.groupBy("id", "start").agg(F.max_by(F.struct("kind", "value", "end", "probability"), rank).alias("s")).select("id", "start", "s.*").withColumn("rank", rank)
-    order = Window.partitionBy("id").orderBy("start")
-    beaten = ((F.lag("end").over(order) > F.col("start")) & (F.lag("rank").over(order) > F.col("rank"))) | ((F.lead("start").over(order) < F.col("end")) & (F.lead("rank").over(order) > F.col("rank")))
-    return place.withColumn("beaten", F.coalesce(beaten, F.lit(False))).filter(~F.col("beaten")).select("id", "kind", "value").distinct()
+    apart = F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True))
+    chained = ends.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    span = F.struct("probability", F.length("value").alias("n"), F.reverse("kind").alias("turned"), (-F.col("start")).alias("early"), "start", "end", "kind", "value")
+    kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s))))
+    grouped = chained.groupBy("id", "chain").agg(F.sort_array(F.collect_list(span), asc=False).alias("spans"))
+    return grouped.select("id", F.explode(kept).alias("s")).select("id", "s.kind", "s.value", "s.start", "s.probability")
 
 
 def redacted(df: DataFrame, key: str = "id", text: str = "transcription_text", threshold: float = 0.5) -> DataFrame:
