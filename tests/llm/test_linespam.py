@@ -32,3 +32,11 @@ def test_cases(spark):
 @pytest.mark.parametrize("text", ["word " * 100_000, "a," * 100_000, "\n" * 100_000, "x" * 300_000, "http://" * 30_000])
 def test_very_long(text):
     assert 0 <= linespam.weigh(text, frozenset(SMALL))[2] <= 1 + 1e-9
+
+
+def test_all_shapes_count_however_many():
+    links = [" ".join(["bb"] * words + [f"http://x.example/{'p' * (90 // n)}"] * n) for n in (1, 2, 3) for words in (0, 1, 2, 3, 4, 7, 10)]
+    prose = ["This is the reason and the way of it, said once."] * 30
+    total, shapes, share, top = linespam.weigh("\n".join(links + prose), frozenset(("this", "is", "the", "and", "of")))
+    assert len(top) == linespam.TOP_SHAPES < shapes
+    assert share == pytest.approx(sum(map(len, links)) / total) and sum(x for _, x in top) < linespam.SPAM_SHARE < share

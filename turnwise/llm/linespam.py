@@ -3,8 +3,8 @@
 Method: line shapes. Every line, and every piece of a long line between sentence ends, is reduced to a shape: its word count
 (in steps), how its words are capitalised, its separators and its links. Pieces of a document are grouped by shape and
 weighed by their characters. A shape is not a sentence shape if its pieces are links, tags or separated keywords, or words
-without any of the small words that hold sentences together. A page is flagged if its few heaviest non-sentence shapes, at
-most ``TOP_SHAPES``, hold at least ``SPAM_SHARE`` of its text.
+without any of the small words that hold sentences together. A page is flagged if its non-sentence shapes hold at least
+``SPAM_SHARE`` of its text; the heaviest ``TOP_SHAPES`` of them are listed.
 
 The small words are those of a given list (a fixed table), so glossaries, numbered sentences and prose with some links keep
 sentence shapes. Null, empty and blank texts are not flagged. Copies are judged like any document.
@@ -62,7 +62,7 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def weigh(text: str | None, small: frozenset[str]) -> tuple[int, int, float, list[tuple[str, float]]]:
-    """(characters, shapes, share in the heaviest non-sentence shapes, those shapes with their shares)."""
+    """(characters, shapes, share in all non-sentence shapes, the heaviest of them with their shares)."""
     total = 0
     shapes: set[str | int] = set()
     bad: Counter[str] = Counter()
@@ -97,11 +97,11 @@ def weigh(text: str | None, small: frozenset[str]) -> tuple[int, int, float, lis
             if sum(often[w] for w in words) >= MEAN_USES * len(words):
                 bad[s] += size
     top = [(s, n / total) for s, n in bad.most_common(TOP_SHAPES)] if total else []
-    return total, len(shapes), sum(x for _, x in top), top
+    return total, len(shapes), sum(bad.values()) / total if total else 0.0, top
 
 
 def line_shapes(df: DataFrame, small_words: Iterable[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: ``key``, ``n_chars`` weighed, ``n_shapes``, ``spam_share`` and the ``top`` non-sentence shapes.
+    """One row per row of ``df``: ``key``, ``n_chars`` weighed, ``n_shapes``, ``spam_share`` of all non-sentence shapes and the ``top`` ones.
 
     Speaker labels and times around the text are not weighed. Texts are read whole; extra columns are ignored.
     """
