@@ -98,3 +98,12 @@ def test_command_line(spark, source, tmp_path, small, capsys):
     assert pipeline.main(["sample", "--input", source, "--output", str(tmp_path / "s")]) == 0
     with pytest.raises(SystemExit):
         pipeline.main(["sample", "--input", source, "--output", "x", "--samples-per-month", "0"])
+
+
+def test_registered_month_rollup_covers_both_layers(spark, small):
+    from turnwise.operators import layers
+    from turnwise.queries import QUERIES
+
+    columns = QUERIES["features_month"](spark, small).columns
+    assert all(f"{m}_median" in columns for m in layers.metric_columns(True))
+    assert "_category" in QUERIES["content_category_share_month"](spark, small).columns

@@ -291,7 +291,8 @@ _query("excerpt")(lambda s, d: _read(s, d, "documents").select("doc_id", T.excer
 
 _query("segments")(lambda s, d: _texts(s, d).select("id", F.posexplode(segments.parse_segments(F.col("transcription_text"))).alias("seg_no", "seg")).select("id", "seg_no", "seg.*"))
 _query("features")(lambda s, d: layers.add_features(_texts(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text"))
-_query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d), with_b=False)), "bucket_month", layers.metric_columns(False)))
+_query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", layers.metric_columns(True)))
+_query("content_category_share_month")(lambda s, d: aggregates.category_share(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", "content_primary_category"))
 _query(
     "separator_lines",
     r"""SELECT id, CAST(sum(len(regexp_extract_all(t, '(?m)^-{20,}[ \t]*$'))) AS BIGINT) AS n FROM (SELECT id, replace(replace(coalesce(transcription_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM sample_multiline) GROUP BY 1""",
