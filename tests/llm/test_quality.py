@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from turnwise.llm import quality
@@ -46,7 +48,45 @@ def test_statistics_match_plain_python(rows):
     assert abs(r["mean_word_length"] - sum(map(len, words)) / len(words)) < 1e-9
     assert r["punctuated_share"] == 1.0 and r["n_lines"] == 1
     assert r["n_common"] == sum(w.strip(".,").lower() in COMMON for w in words)
-    assert "too_few_words" in r["reasons"] and "list_table_or_junk" not in r["reasons"]
+    assert "too_few_words" in r["reasons"] and not set(quality.CASES) & set(r["reasons"])
+
+
+# wording, separators, lengths and marks that were not looked at when the thresholds were set
+HELD_OUT = {
+    "long cells": ("\n".join(f"the second quarter report of the southern region{i};a rather long remark about the delivery of goods;{i * 37}" for i in range(20)), "table_rows"),
+    "long items": ("\n".join(f"- stainless steel kitchen knife with wooden handle size {i} shipped worldwide overnight" for i in range(20)), "list_items"),
+    "log": ("\n".join(f"2024-03-0{i} 12:00:0{i},{i}17 0x7f{i}a [{i}] {{}} 200 {i * 991} -> 0.{i}31" for i in range(1, 9)), "codes"),
+    "csv": ("\n".join(f"{i},Madrid,{i * 7.5},open,yes" for i in range(20)), "table_rows"),
+    "xml": ("\n".join(f'<a x="{i}" y="{i * 31}"/><b>{i}</b>' for i in range(20)), "codes"),
+    "shopping": ("\n".join(["dos kilos manzanas", "leche entera", "pan integral", "queso curado", "aceite oliva", "una docena huevos"] * 3), "list_items"),
+    "dashes": ("- Where did you go after the meeting?\n- To the station, and then home.\n- Did anyone see you?\n- I do not think so." * 3, None),
+    "spanish": ("Ayer fuimos al mercado y compramos pan, queso y fruta. Luego volvimos a casa y preparamos la cena juntos. " * 3, None),
+    "steps": ("\n".join(f"Step {i}: we open the lid and wait until the light is green" for i in range(1, 9)), None),
+    "sums": ("So 2 and 2 is 4, and 3 times 7 is 21, which we all know. The total was 1,250.50 in the end; 300 of it was mine.", None),
+    "aside": ("We went on and on; then we stopped; then we went on again, and it was late; nobody was in the hall.", None),
+    "repeated item": ("1. the broken door the broken door the broken door the broken door the broken door\n2. We went on.", None),
+}
+
+
+def test_held_out_wording(rows, spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in HELD_OUT.items()], "id string, transcription_text string")
+    got = {r["id"]: [x for x in r["reasons"] if x in quality.CASES] for r in quality.text_quality(df, COMMON).collect()}
+    assert {k: bool(v) for k, v in got.items()} == {k: want is not None for k, (_, want) in HELD_OUT.items()}
+    assert all(want is None or want in got[k] for k, (_, want) in HELD_OUT.items())
+
+
+def test_counts_match_plain_python_on_the_tables(spark, small):
+    common = quality.common_words(spark, f"{small}/common_words.parquet")
+    from turnwise.llm.markup import spoken
+
+    texts = [r[0] for r in spark.read.parquet(f"{small}/sample_multiline.parquet").select(spoken("transcription_text")).collect()] + [None, "", " \n\n", "\n", "a"]
+    got = quality.count(texts, quality.common_hashes(common))
+    for i, t in enumerate(texts):
+        words, lines = (t or "").split(), [x.strip() for x in (t or "").split("\n") if x.strip()]
+        tokens = re.findall(r"[^\W\d_]+", (t or ""))
+        assert got["n_words"][i] == len(words) and got["visible"][i] == sum(map(len, words)) and got["n_lines"][i] == len(lines)
+        assert got["ellipses"][i] == sum(x.endswith(("...", "…")) for x in lines)
+        assert got["tokens"][i] == len(tokens) and got["n_common"][i] == sum(w.lower() in common for w in tokens)
 
 
 def test_very_long_texts_and_empty_table(spark, rows):

@@ -13,16 +13,17 @@ The labelled sample is bounded by ``MAX_REFERENCES``; all texts are scored whole
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.markup import distinct_rows, fence
-from turnwise.llm.quality import with_junk
+from turnwise.llm.markup import distinct_rows, fence, spoken
+from turnwise.llm.quality import common_hashes, junk
 from turnwise.session import map_batches
 
 MAX_REFERENCES = 20_000
@@ -65,31 +66,43 @@ def text_grams(text: str) -> set[str]:
 
 
 def fit(references: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """Fits the machine on (lang, text) pairs. Gives ``langs``, ``grams`` (n-gram to row) and ``weights`` (a row a gram, a column a language)."""
+    """Fits the machine on (lang, text) pairs.
+
+    Gives ``langs``, ``grams`` (n-gram to row), ``weights`` (a row a gram, a column a language) and ``name``, a hash of them.
+    Only n-grams of landmarks carry weight, so memory goes with references x landmarks and the landmarks' n-grams.
+    """
     pairs = sorted({(lang, text) for lang, text in references if lang and text and text.strip()})
     pairs += [(lang, latin(text, lang)) for lang, text in pairs if re.search("[Ѐ-ӿ]", text)]
     sets = [(lang, g) for lang, text in pairs if (g := text_grams(text))]
     langs = sorted({lang for lang, _ in sets})
     if len(langs) < 2:
         raise ValueError("references of at least two languages are needed")
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(s for _, s in sets))))}
     chosen = np.unique(np.linspace(0, len(sets) - 1, min(landmarks, len(sets))).astype(int))
-    presence = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-    for row, (_, s) in enumerate(sets):
-        presence[row, [vocabulary[g] for g in s]] = 1 / np.sqrt(len(s))
-    marks = presence[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = [sets[i][1] for i in chosen]
+    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*marks)))}
+    holders: list[list[int]] = [[] for _ in vocabulary]
+    for j, own in enumerate(marks):
+        for g in own:
+            holders[vocabulary[g]].append(j)
+    norms = np.sqrt([len(own) for own in marks])
+    kernel = np.zeros((len(sets), len(marks)))
+    for row, (_, own) in enumerate(sets):
+        shared = [j for g in own if g in vocabulary for j in holders[vocabulary[g]]]
+        kernel[row] = np.bincount(np.array(shared, dtype=np.int64), minlength=len(marks)) / (norms * np.sqrt(len(own)))
+    values, vectors = np.linalg.eigh(kernel[chosen])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (presence @ marks.T) @ root
+    features = kernel @ root
     target = np.where(np.array([[lang == x for x in langs] for lang, _ in sets]), 1.0, -1.0)
     weight = 1 / np.sqrt(np.maximum(1, (target > 0).sum(0)))  # languages count alike however many references they have
     sample = np.sqrt((weight * (target > 0)).sum(1, keepdims=True))
     f, y = features * sample, target * sample
     beta = np.linalg.solve(f.T @ f + ridge * np.eye(f.shape[1]), f.T @ y)
-    folded = (marks.T @ (root @ beta)).astype(np.float32)
+    of_mark = (root @ beta) / norms[:, None]
+    folded = np.array([of_mark[own].sum(0) for own in holders], dtype=np.float32)
     folded -= folded.mean(1, keepdims=True)
-    return {"langs": langs, "grams": vocabulary, "weights": folded}
+    name = hashlib.blake2b("\x00".join([*langs, *vocabulary]).encode() + folded.tobytes(), digest_size=16).hexdigest()
+    return {"langs": langs, "grams": vocabulary, "weights": folded, "name": name}
 
 
 class Scorer:
@@ -193,27 +206,35 @@ _STRETCH = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("n_w
 
 
 def references(spark: SparkSession, reference_path: str, words_path: str | None = None) -> list[tuple[str, str]]:
-    """Labelled texts: the sentences of one table (lang, text) and, as one text a language, the words of another (lang, word)."""
-    rows = [tuple(r) for r in spark.read.parquet(reference_path).select("lang", "text").limit(MAX_REFERENCES).collect()]
+    """Labelled texts: the sentences of one table (lang, text) and, as one text a language, the words of another (lang, word).
+
+    Beyond ``MAX_REFERENCES`` sentences a fixed pseudo-random sample of them is used, the same one on every run.
+    """
+    sentences = spark.read.parquet(reference_path).select("lang", "text").distinct()
+    rows = [tuple(r) for r in sentences.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(MAX_REFERENCES).collect()]
     if words_path:
         rows += [tuple(r) for r in spark.read.parquet(words_path).groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("word")), " ")).collect()]
     return rows
 
 
-def label_languages(df: DataFrame, model: dict, key: str = "id", text: str = "_spoken") -> DataFrame:
+def label_languages(df: DataFrame, model: dict, key: str = "id", text: str = "_spoken", common: Iterable[str] | None = None) -> DataFrame:
     """One row per row of ``df``: ``id``, ``n_words`` and the ``stretches`` in order (lang, confidence, n_words).
 
-    A null, empty or wordless text has 0 words and no stretch. Extra columns are ignored. The confidence is the softmax of
+    With ``common`` words given, lists, tables and junk (``quality.junk``) count as texts without words. A null, empty or wordless text has 0 words and no stretch. Extra columns are ignored. The confidence is the softmax of
     the language scores of the stretch, weighted by words.
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    name = str(id(shipped))
+    name = model["name"]
+    known = None if common is None else common_hashes(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(name, shipped.value)
         langs = pa.array(s.langs)
         for b in batches:
-            doc, lang, confidence, words = s.stretches(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            if known is not None:
+                texts = [None if bad else t for t, bad in zip(texts, junk(texts, known))]
+            doc, lang, confidence, words = s.stretches(texts)
             n = b.num_rows
             offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
             parts = pa.StructArray.from_arrays([langs.take(pa.array(lang)), pa.array(confidence, pa.float64()), pa.array(words, pa.int64())], fields=list(_STRETCH))
@@ -245,8 +266,8 @@ def mislabelled(transcripts: DataFrame, features: DataFrame, model: dict, common
     Only transcripts of at least ``MIN_WORDS`` spoken words that are not lists, tables or junk. The recorded label agrees
     if it is the main language's code, letter case and a region suffix aside. Repeated deliveries and feature rows count once.
     """
-    spoken = with_junk(transcripts.select("id", "transcription_text"), common).filter(~F.col("_junk")).select("id", "_spoken")
-    labelled = distinct_rows(fence(language_words(label_languages(spoken, model).filter(F.col("n_words") >= MIN_WORDS))).select("id", "spoken"), "id")
+    said = transcripts.select("id", spoken(F.col("transcription_text")).alias("_spoken"))
+    labelled = distinct_rows(fence(language_words(label_languages(said, model, common=common).filter(F.col("n_words") >= MIN_WORDS))).select("id", "spoken"), "id")
     code = F.lower(F.regexp_extract(F.trim("layer_b_primary_language"), r"^(\p{L}+)(?:[-_].*)?$", 1))
     recorded = features.groupBy("id").agg(F.max(code).alias("code"))
     right = (F.size("spoken") == 1) & (F.col("spoken")[0] == F.coalesce("code", F.lit("")))

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.markup import distinct_rows
-from turnwise.llm.quality import with_junk
+from turnwise.llm.markup import distinct_rows, spoken
+from turnwise.llm.quality import common_hashes, junk
 from turnwise.session import map_batches
 
 DEPTH = 8
@@ -128,7 +128,7 @@ def observed(df: DataFrame, text: str = "transcription_text") -> DataFrame:
                 own: dict[str, list] = {}
                 labels: dict[str, list[str]] = {}
                 for line in _LINES.split(t) if t else ():
-                    m = RAW.match(line[:120])
+                    m = RAW.match(line)
                     if m is None:
                         continue
                     head = m.group()
@@ -145,7 +145,7 @@ def observed(df: DataFrame, text: str = "transcription_text") -> DataFrame:
                     use[0] += 1
                     if label:
                         use[1].append(head[label[2] : label[3]].lower())
-                        h = HEAD.match(line[:120])
+                        h = HEAD.match(line)
                         if h.group("word"):
                             labels.setdefault(h.group("word").lower(), []).append(h.group("who").lower())
                     for k, (x, y) in enumerate(times):
@@ -222,7 +222,7 @@ _RAW_SHAPES: dict[str, tuple] = {}
 
 def reading(line: str, layouts: dict[str, tuple[bool, int | None]]) -> tuple[tuple[str, str] | None, str | None, int] | None:
     """(label word and number or letter, start, end of the head) of a line whose template is among ``layouts``."""
-    m = RAW.match(line[:120])
+    m = RAW.match(line)
     if m is None:
         return None
     head = m.group()
@@ -353,19 +353,20 @@ def speaker_turns(df: DataFrame, common: list[str], with_text: bool = True, key:
     """
     labels, layouts = inferred(observed(df, text))
     words = frozenset(labels)
+    known = common_hashes(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, speakers, says = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = turns(t, words, layouts)
+            for k, t, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), junk(b.column(2).to_pylist(), known)):
+                own = turns(t, words, layouts) if not bad else None
                 if own:
                     keys.append(k)
                     speakers.append([s for s, _ in own])
                     says.append([x for _, x in own] if with_text else [])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(speakers, pa.list_(pa.string())), pa.array(says, pa.list_(pa.string()))], names=["id", "speakers", "says"])
 
-    speech = with_junk(df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")), common, "text").filter(~F.col("_junk")).select("id", "text")
+    speech = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), spoken(F.col(text)).alias("spoken"))
     rows = distinct_rows(map_batches(speech, run, "id string, speakers array<string>, says array<string>"), "id")
     if with_text:
         return rows.select("id", F.posexplode(F.arrays_zip("speakers", "says"))).select("id", (F.col("pos") + 1).cast("bigint").alias("turn_no"), F.col("col.speakers").alias("speaker"), F.col("col.says").alias("text"))
