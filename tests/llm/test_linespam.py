@@ -29,6 +29,27 @@ def test_cases(spark):
     assert linespam.spam_pages(df.limit(0), SMALL).count() == 0
 
 
+# endings, wording and layouts that are in no list of the operator
+HELD_OUT = {
+    "bare hosts": ("\n".join(f"recorder{i}.shop/deal-{i}" for i in range(20)), True),
+    "new endings": ("\n".join(f"best-tape{i}.online best-mic{i}.xyz cheap{i}.store" for i in range(12)), True),
+    "small words": ("the best shoes of the year shoes to buy in the shoes shop\n" * 12, True),
+    "markdown": ("\n".join(f"* [laptop bag {i}](/bags/{i}.html)" for i in range(30)), True),
+    "breadcrumbs": ("\n".join("Home > Shoes > Running > Shoes > Sale > Shoes" for i in range(15)), True),
+    "html": ("".join(f'<a href="https://casa{i}.casa/{i}">vuelos baratos</a> ' for i in range(30)), True),
+    "spanish tags": ("#zapatos #ofertas #zapatosbaratos #moda #rebajas " * 15, True),
+    "recipe": ("Heat the oven to 200 degrees. Put the onions in a pan and fry them in butter. Serve it with bread on a warm plate. " * 3, False),
+    "cited": ("The report (see docs.python.org/3/library) was published in May. It is on the site of the institute, www.example.com, and in the library. " * 2, False),
+    "versions": ("We moved to version 2.10.3 of the tool, e.g. for the tests, i.e. the slow ones, and to file.txt in the end. It was a good day in the office.", False),
+    "dialogue": ("Was it you? No, it was not. And the dog? The dog was in the garden. So who was it? We do not know to this day.", False),
+}
+
+
+def test_held_out_pages():
+    got = {k: linespam.weigh(t, frozenset(SMALL))[2] for k, (t, _) in HELD_OUT.items()}
+    assert {k: v >= linespam.SPAM_SHARE for k, v in got.items()} == {k: v for k, (_, v) in HELD_OUT.items()}, got
+
+
 @pytest.mark.parametrize("text", ["word " * 100_000, "a," * 100_000, "\n" * 100_000, "x" * 300_000, "http://" * 30_000])
 def test_very_long(text):
     assert 0 <= linespam.weigh(text, frozenset(SMALL))[2] <= 1 + 1e-9

@@ -1,13 +1,16 @@
 """Pages of repeated keywords, links or product tags.
 
-Method: line shapes. Every line, and every piece of a long line between sentence ends, is reduced to a shape: its word count
-(in steps), how its words are capitalised, its separators and its links. Pieces of a document are grouped by shape and
-weighed by their characters. A shape is not a sentence shape if its pieces are links, tags or separated keywords, or words
-without any of the small words that hold sentences together. A page is flagged if its non-sentence shapes hold at least
-``SPAM_SHARE`` of its text; the heaviest ``TOP_SHAPES`` of them are listed.
+Method: line shapes. Every line, and every piece of a line between sentence ends (in runs of ``PIECE_WORDS`` words where it
+is longer, as stuffing has no sentence ends), is reduced to a shape: its word count, capitals, separators and links in steps,
+and how much of it are small words (those that hold sentences together), tags, and words that come again and again. The
+shape alone decides whether it is a sentence shape (``non_sentence``): links or tags hold half of it; or it has links and no
+small word; or no small word and words used ``MEAN_USES`` times on the page on average; or one long word fills
+``STUFFED_SHARE`` of it. Pieces of a page are grouped by shape and weighed by their characters. A page is flagged if its
+non-sentence shapes hold at least ``SPAM_SHARE`` of its text; the heaviest ``TOP_SHAPES`` of them are listed.
 
 The small words are those of a given list (a fixed table), so glossaries, numbered sentences and prose with some links keep
-sentence shapes. Null, empty and blank texts are not flagged. Copies are judged like any document.
+sentence shapes. No list of host endings is used. Null, empty and blank texts are not flagged. Copies are judged like any
+document.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,77 +31,108 @@ TOP_SHAPES = 12
 SPAM_SHARE = 0.5
 PIECE_WORDS = 14
 MEAN_USES = 2.5
+STUFFED_SHARE, STUFFED_USES, STUFFED_LETTERS = 0.2, 3, 4
 SCHEMA = "n_chars bigint, n_shapes bigint, spam_share double, top array<struct<shape: string, share: double>>"
 _LINK = re.compile(
     r"(?:https?|hxxps?|ftp)://\S+|h ?t ?t ?p ?s? ?: ?/ ?/ ?\S+|\]\([^)\s]*\)|www\.\S+"
-    r"|[\w-]+(?: ?(?:\[\.\]|\(\.\)|\.| dot ) ?[\w-]+)* ?(?:\[\.\]|\(\.\)|\.| dot ) ?(?:com|net|org|info|biz|example|invalid|test|io|ru|de|pl|by|ua)\b(?:/\S*)?",
+    r"|[\w-]+(?: ?(?:\[\.\]|\(\.\)| dot ) ?[\w-]+(?:\.[\w-]+)*)+(?:/\S*)?"
+    r"|(?<![\w@.-])(?:(?-i:[a-z0-9-]{2,})\.)+(?-i:[a-z]{2,24})(?![\w@])(?:/\S*)?",
     re.I,
 )
-_LINKED = re.compile(r"[^\W_]\.[^\W\d_]|//|/ /|\[\.\]|\(\.\)|\]\(| dot ")
+_LINKED = re.compile(r"[a-z0-9-]{2}\.[a-z]{2}|//|/ /|\[\.\]|\(\.\)|\]\(|www\.| dot ", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
 _CUT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _MARK = re.compile(r"[,;:|/·•#>*»—–=+~]")
 
 
-def shape(piece: str, n: int, links: int) -> str:
-    """Word count in steps, capitals (none, first, some, all), separators by kind and step, links by step."""
+class Shape(NamedTuple):
+    """A piece without its words; all fields are steps."""
+
+    words: int  # 0 to 3, then in threes
+    capitals: str  # none -, first F, some s, all A
+    marks: str  # separators by kind and step
+    links: int  # number, up to 3
+    linked: int  # quarters of its characters in links
+    tags: int  # 2 if half of it or more are tags, 1 if some
+    small: int  # small words, up to 2
+    uses: int  # mean uses of its words on the page: 1 from MEAN_USES on
+    stuffed: int  # 1 if one long word fills it
+
+    def __str__(self) -> str:
+        return f"w{self.words} {self.capitals} {self.marks} l{self.links}/{self.linked} t{self.tags} s{self.small} u{self.uses} k{self.stuffed}"
+
+
+def non_sentence(s: Shape) -> bool:
+    return s.linked >= 2 or s.tags == 2 or s.links > 0 and s.small == 0 or s.small == 0 and s.uses == 1 or s.stuffed == 1
+
+
+def word_step(n: int) -> int:
+    return n if n < 4 else 4 + (n - 4) // 3
+
+
+def outline(piece: str) -> tuple[str, str]:
+    """Capitals and separators of a piece."""
     words = _WORD.findall(piece)
     caps = sum(w[0].isupper() for w in words)
     style = "-" if not caps else "A" if caps == len(words) > 1 else "F" if caps == 1 and words[0][0].isupper() else "s"
     marks = Counter(_MARK.findall(piece))
-    common = "".join(f"{m}{min(9, k.bit_length())}" for m, k in sorted(marks.items()) if k > 1 or m in "#|·")
-    return f"w{n if n < 4 else 4 + (n - 4) // 3 if n < 16 else 9} {style} {common} l{min(links, 3)}"
+    return style, "".join(f"{m}{min(9, k.bit_length())}" for m, k in sorted(marks.items()) if k > 1 or m in "#|·")
 
 
 def pieces(text: str) -> Iterator[str]:
-    """Lines, cut at sentence ends; what is still long is cut into runs of ``PIECE_WORDS`` words, as stuffing has no sentence ends."""
+    """Lines, cut at sentence ends; pieces of more than ``PIECE_WORDS`` words are cut into runs of so many."""
     for piece in _CUT.split(text):
         if piece and not piece.isspace():
-            if len(piece) <= 160:
+            words = piece.split()
+            if len(words) <= PIECE_WORDS:
                 yield piece
             else:
-                words = piece.split()
                 for i in range(0, len(words), PIECE_WORDS):
                     yield " ".join(words[i : i + PIECE_WORDS])
 
 
+def stuffed(words: list[str], small: frozenset[str]) -> int:
+    if len(words) < STUFFED_USES or len(set(words)) == len(words):
+        return 0
+    word, n = Counter(w for w in words if len(w) >= STUFFED_LETTERS and w not in small).most_common(1)[0] if any(len(w) >= STUFFED_LETTERS and w not in small for w in words) else ("", 0)
+    return int(n >= STUFFED_USES and n >= STUFFED_SHARE * len(words))
+
+
 def weigh(text: str | None, small: frozenset[str]) -> tuple[int, int, float, list[tuple[str, float]]]:
     """(characters, shapes, share in all non-sentence shapes, the heaviest of them with their shares)."""
     total = 0
-    shapes: set[str | int] = set()
-    bad: Counter[str] = Counter()
-    loose: list[tuple[str, int, list[str]]] = []  # pieces that nothing holds together, yet without links
+    found: list[tuple[str, int, list[str], int, int, int]] = []
+    often: Counter[str] = Counter()
     for piece in pieces(text or ""):
         size = len(piece)
         links = linked = 0
-        low = piece.lower()
-        if _LINKED.search(low):
-            found = _LINK.findall(low)
-            links, linked = len(found), sum(map(len, found))
+        rest = piece
+        if _LINKED.search(piece):
+            own = _LINK.findall(piece)
+            links, linked = len(own), sum(map(len, own))
             if links:
-                low = _LINK.sub(" ", low)
-        words = _WORD.findall(low)
+                rest = _LINK.sub(" ", piece)
+        words = _WORD.findall(rest.lower())
         if not words and not links:
             continue
         total += size
-        if not links and not small.isdisjoint(words) and "#" not in piece:
-            shapes.add(len(words))
-            continue
-        s = shape(piece, len(words), links)
-        shapes.add(s)
         tags = piece.count("#")
-        if 2 * linked >= size or tags and 2 * tags >= len(words) or links and small.isdisjoint(words):
-            bad[s] += size
-        elif small.isdisjoint(words):
-            loose.append((s, size, words))
-    if loose:
-        # keywords come again and again on a stuffed page; words of a short sentence do not
-        often = Counter(w for _, _, words in loose for w in words)
-        for s, size, words in loose:
-            if sum(often[w] for w in words) >= MEAN_USES * len(words):
-                bad[s] += size
-    top = [(s, n / total) for s, n in bad.most_common(TOP_SHAPES)] if total else []
-    return total, len(shapes), sum(bad.values()) / total if total else 0.0, top
+        held = len([w for w in words if w in small])
+        if not held:
+            often.update(words)  # keywords come again and again on a stuffed page; words of a short sentence do not
+        found.append((piece, size, words, links, min(4, 4 * linked // size), 2 if tags and 2 * tags >= len(words) else 1 if tags else 0))
+    weights: Counter[Shape] = Counter()
+    for piece, size, words, links, linked, tags in found:
+        held = 0
+        for w in words:
+            held += w in small
+        uses = int(not held and bool(words) and sum(often[w] for w in words) >= MEAN_USES * len(words))
+        plain = not links and not tags and held
+        style, marks = ("", "") if plain else outline(piece)  # a shape with small words, without links and tags is judged by its words alone
+        weights[Shape(word_step(len(words)), style, marks, min(links, 3), linked, tags, min(held, 2), uses, stuffed(words, small))] += size
+    bad = Counter({s: n for s, n in weights.items() if non_sentence(s)})
+    top = [(str(s), n / total) for s, n in bad.most_common(TOP_SHAPES)] if total else []
+    return total, len(weights), sum(bad.values()) / total if total else 0.0, top
 
 
 def line_shapes(df: DataFrame, small_words: Iterable[str], key: str = "doc_id", text: str = "text") -> DataFrame:
