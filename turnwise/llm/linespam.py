@@ -92,7 +92,7 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def stuffed(words: list[str], small: frozenset[str]) -> int:
-    if len(words) < STUFFED_USES or len(set(words)) == len(words):
+    if len(words) - len(set(words)) < STUFFED_USES - 1:
         return 0
     word, n = Counter(w for w in words if len(w) >= STUFFED_LETTERS and w not in small).most_common(1)[0] if any(len(w) >= STUFFED_LETTERS and w not in small for w in words) else ("", 0)
     return int(n >= STUFFED_USES and n >= STUFFED_SHARE * len(words))
@@ -101,13 +101,17 @@ def stuffed(words: list[str], small: frozenset[str]) -> int:
 def weigh(text: str | None, small: frozenset[str]) -> tuple[int, int, float, list[tuple[str, float]]]:
     """(characters, shapes, share in all non-sentence shapes, the heaviest of them with their shares)."""
     total = 0
-    found: list[tuple[str, int, list[str], int, int, int]] = []
+    found: list[tuple[str, int, list[str], int, int, int, int]] = []
     often: Counter[str] = Counter()
-    for piece in pieces(text or ""):
+    weights: Counter[Shape] = Counter()
+    known: dict[int, Shape] = {}
+    text = text or ""
+    any_link, any_tag = _LINKED.search(text), "#" in text
+    for piece in pieces(text):
         size = len(piece)
-        links = linked = 0
+        links = linked = tags = 0
         rest = piece
-        if _LINKED.search(piece):
+        if any_link and _LINKED.search(piece):
             own = _LINK.findall(piece)
             links, linked = len(own), sum(map(len, own))
             if links:
@@ -116,20 +120,24 @@ def weigh(text: str | None, small: frozenset[str]) -> tuple[int, int, float, lis
         if not words and not links:
             continue
         total += size
-        tags = piece.count("#")
+        if any_tag:
+            tags = piece.count("#")
         held = len([w for w in words if w in small])
+        if held and not links and not tags:
+            # with small words, without links and tags, capitals and separators do not matter
+            n = len(words)
+            key = 3 * n + min(held, 2) if n - len(set(words)) < STUFFED_USES - 1 or not stuffed(words, small) else -n
+            s = known.get(key)
+            if s is None:
+                s = known[key] = Shape(word_step(n), "", "", 0, 0, 0, min(held, 2), 0, int(key < 0))
+            weights[s] += size
+            continue
         if not held:
             often.update(words)  # keywords come again and again on a stuffed page; words of a short sentence do not
-        found.append((piece, size, words, links, min(4, 4 * linked // size), 2 if tags and 2 * tags >= len(words) else 1 if tags else 0))
-    weights: Counter[Shape] = Counter()
-    for piece, size, words, links, linked, tags in found:
-        held = 0
-        for w in words:
-            held += w in small
+        found.append((piece, size, words, links, min(4, 4 * linked // size), 2 if tags and 2 * tags >= len(words) else 1 if tags else 0, held))
+    for piece, size, words, links, linked, tags, held in found:
         uses = int(not held and bool(words) and sum(often[w] for w in words) >= MEAN_USES * len(words))
-        plain = not links and not tags and held
-        style, marks = ("", "") if plain else outline(piece)  # a shape with small words, without links and tags is judged by its words alone
-        weights[Shape(word_step(len(words)), style, marks, min(links, 3), linked, tags, min(held, 2), uses, stuffed(words, small))] += size
+        weights[Shape(word_step(len(words)), *outline(piece), min(links, 3), linked, tags, min(held, 2), uses, stuffed(words, small))] += size
     bad = Counter({s: n for s, n in weights.items() if non_sentence(s)})
     top = [(str(s), n / total) for s, n in bad.most_common(TOP_SHAPES)] if total else []
     return total, len(weights), sum(bad.values()) / total if total else 0.0, top
