@@ -12,6 +12,7 @@ from turnwise.llm import language, linespam, markup, mixing, percentiles, pii, q
 from turnwise.session import spread
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+LATEST = 253402300799  # the last second of the year 9999; a digest gives the upper end of a range of values
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -47,7 +48,7 @@ def _times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _as_times(q: DataFrame, name: str) -> DataFrame:
-    return q.select(F.col("grp").alias(name), "n", "q", F.timestamp_seconds("value").cast("timestamp_ntz").alias("created_at"), "max_rank_error")
+    return q.select(F.col("grp").alias(name), "n", "q", F.timestamp_seconds(F.least("value", F.lit(LATEST))).cast("timestamp_ntz").alias("created_at"), "max_rank_error")
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
