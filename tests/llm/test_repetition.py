@@ -43,3 +43,13 @@ def test_line_frequency_counts_distinct_documents_of_a_host(transcripts):
     got = {r["id"]: r for r in repetition.line_frequency(transcripts(rows)).collect()}
     assert all((got[f"u{i}"]["n_lines"], got[f"u{i}"]["n_removed"], got[f"u{i}"]["rejected"]) == (3, 1, False) for i in range(30))
     assert (got["x"]["n_removed"], got["x"]["rejected"]) == (0, False) and "n" not in got
+
+
+def test_an_id_under_two_hosts_is_two_documents(transcripts):
+    got = repetition.line_frequency(transcripts([("a", "h", None, "one\ntwo"), ("a", "k", None, "one\ntwo\nthree"), ("a", "h", None, "one\ntwo")])).collect()
+    assert sorted((r["id"], r["host"], r["n_lines"], r["n_removed"]) for r in got) == [("a", "h", 2, 0), ("a", "k", 3, 0)]
+
+
+def test_report_keeps_every_transcript(transcripts):
+    got = {r["id"]: (r["n_words"], r["n_lines"], r["n_removed"]) for r in repetition.repetition_report(transcripts([("a", "h", None, "one two"), ("n", None, None, None), ("e", "", "", "")])).collect()}
+    assert got == {"a": (2, 1, 0), "n": (0, 0, 0), "e": (0, 0, 0)}

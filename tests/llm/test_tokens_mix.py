@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 import tiktoken
@@ -7,9 +8,12 @@ from pyspark.sql import functions as F
 from turnwise.llm import mixing, tokens
 
 
+VOCABULARY = Path(tokens.TOKENIZER).read_bytes()
+
+
 @pytest.fixture(scope="module")
 def public():
-    return tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=tokens.load_ranks(tokens.TOKENIZER), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=tokens.load_ranks(VOCABULARY), special_tokens={})
 
 
 def test_ids_equal_the_public_library(spark, public):
@@ -24,12 +28,23 @@ def test_ids_equal_the_public_library(spark, public):
 
 
 def test_long_runs_of_one_letter(public):
-    e = tokens.Encoder(tokens.TOKENIZER)
+    e = tokens.Encoder(VOCABULARY)
     text = "a" * 20_000 + " " * 5_000 + "b"
     n, flat = e.encode([text])
     assert public.decode([int(x) for x in flat]) == text and n[0] == len(public.encode_ordinary(text))
 
 
+def test_batches_of_long_texts_are_taken_in_parts(public, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 500)
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
+    texts = [" ".join(f"w{i}x{k}" for k in range(i % 40)) for i in range(120)] + [None, ""]
+    e = tokens.Encoder(VOCABULARY)
+    n, flat = e.encode(texts)
+    ends = n.cumsum()
+    assert [flat[b - a : b].tolist() for a, b in zip(n, ends)] == [public.encode_ordinary(t) if t else [] for t in texts]
+    assert len(e.codes) < 200
+
+
 def _docs(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
     return df.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 60) - 1)))

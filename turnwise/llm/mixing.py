@@ -15,7 +15,7 @@ with no tokens are not used. Ties in the hash stay together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.tokens import TOKENIZER, token_counts
@@ -36,51 +36,58 @@ def sized(df: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return stash(counted.withColumn("_h", F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 60) - 1))), "sized")
 
 
+def _sums(docs: DataFrame, source: str) -> dict[str, int]:
+    return {r[0]: r[1] for r in docs.groupBy(source).agg(F.sum("n_tokens")).collect()}
+
+
+def _edges(docs: DataFrame, open_: list[dict], source: str, level: int) -> dict[str, tuple[int | None, int]]:
+    """Of each open source: the bucket of this level in which its rest runs out (None if it does not), and the tokens below it.
+
+    The histogram is summed up where it lies (at most ``2 ** BITS`` rows a source); a row a source comes back.
+    """
+    width = 1 << (60 - BITS * level)
+    state = docs.sparkSession.createDataFrame([(p["source"], p["below"], p["below"] + width, p["rest"]) for p in open_], "_s string, _from bigint, _to bigint, _rest bigint")
+    inside = docs.join(F.broadcast(state), (F.col(source) == F.col("_s")) & (F.col("_h") >= F.col("_from")) & (F.col("_h") < F.col("_to")))
+    counts = inside.groupBy("_s", "_rest", _bucket(level).alias("_b")).agg(F.sum("n_tokens").alias("_n"))
+    summed = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = F.col("_upto") > F.col("_rest")
+    found = summed.groupBy("_s").agg(F.min(F.when(over, F.col("_b"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("_upto"))), F.lit(0)).alias("under")).collect()
+    return {r["_s"]: (r["edge"], r["under"]) for r in found}
+
+
 def thresholds(docs: DataFrame, targets: DataFrame, source: str = "source", total_tokens: int | None = None) -> list[dict]:
-    """Per target source: rounds, threshold, budget and what there is. Collected rows are bounded by sources x buckets."""
+    """Per target source: rounds, threshold, budget and what there is. A row a source reaches the driver at each level."""
     wanted = targets.groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
     plan = {r["source"]: {"source": r["source"], "weight": float(r["weight"] or 0), "max_repeats": max(0, r["max_repeats"] or 0)} for r in wanted if r["source"] is not None}
-    own = docs.filter(F.col(source).isin(list(plan)))
-
-    def histogram(rows: DataFrame, level: int) -> dict[str, dict[int, int]]:
-        out: dict[str, dict[int, int]] = {}
-        for r in rows.groupBy(F.col(source).alias("s"), _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n")).collect():
-            out.setdefault(r["s"], {})[r["b"]] = r["n"]
-        return out
-
-    first = histogram(own, 0)
+    names = docs.sparkSession.createDataFrame([(name,) for name in plan], "_s string")
+    own = docs.join(F.broadcast(names), F.col(source) == F.col("_s"), "left_semi")
+    available = _sums(own, source)
     for name, p in plan.items():
-        p["available"] = sum(first.get(name, {}).values())
+        p["available"] = available.get(name, 0)
     total = total_tokens if total_tokens is not None else sum(p["available"] for p in plan.values())
-    open_ = {}
-    for name, p in plan.items():
+    open_ = []
+    for p in plan.values():
         p["budget"] = int(p["weight"] * total)
         rounds = p["budget"] // p["available"] if p["available"] else 0
         p["rounds"], p["below"] = min(rounds, p["max_repeats"]), 0
         if p["available"] and rounds < p["max_repeats"]:
             p["rest"] = p["budget"] - rounds * p["available"]
-            open_[name] = first[name]
+            open_.append(p)
     for level in range(LEVELS):
-        edge = []
-        for name, counts in open_.items():
-            p, shift = plan[name], 60 - BITS * (level + 1)
-            for b in range(1 << BITS):
-                n = counts.get(b, 0)
-                if n > p["rest"]:
-                    break
-                p["rest"] -= n
-                p["below"] += 1 << shift
-            else:
-                continue
-            edge.append((F.col(source) == name) & (F.col("_h") >= p["below"]) & (F.col("_h") < p["below"] + (1 << shift)))
-        if not edge or level + 1 == LEVELS:
+        if not open_:
             break
-        inside = edge[0]
-        for e in edge[1:]:
-            inside = inside | e
-        open_ = histogram(own.filter(inside), level + 1)
+        width = 1 << (60 - BITS * (level + 1))
+        found = _edges(own, open_, source, level)
+        still = []
+        for p in open_:
+            edge, under = found.get(p["source"], (None, 0))
+            p["rest"] -= under
+            p["below"] += (edge if edge is not None else 1 << BITS) * width
+            if edge is not None:
+                still.append(p)
+        open_ = still
     return list(plan.values())
 
 
@@ -88,23 +95,27 @@ PLAN = "source string, weight double, max_repeats int, available bigint, budget
 
 
 def _plan_rows(docs: DataFrame, targets: DataFrame, source: str, total_tokens: int | None) -> DataFrame:
+    """The plan as a table of at most ``MAX_SOURCES`` rows. The jobs that find it run when this is called."""
     names = [c.split()[0] for c in PLAN.split(", ")]
     return docs.sparkSession.createDataFrame([tuple(p[n] for n in names) for p in thresholds(docs, targets, source, total_tokens)], PLAN)
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", total_tokens: int | None = None) -> DataFrame:
-    """(key, source, n_tokens, copies): the documents used and how often each is; ``docs`` comes from ``sized``."""
-    plan = _plan_rows(docs, targets, source, total_tokens)
+def _chosen(docs: DataFrame, plan: DataFrame, key: str, source: str) -> DataFrame:
     joined = docs.join(F.broadcast(plan.select(F.col("source").alias(source), "rounds", "below")), source)
     copies = F.col("rounds") + F.when(F.col("_h") < F.col("below"), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("int")).filter("copies > 0").select(key, source, "n_tokens", "copies")
 
 
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", total_tokens: int | None = None) -> DataFrame:
+    """(key, source, n_tokens, copies): the documents used and how often each is; ``docs`` comes from ``sized``."""
+    return _chosen(docs, _plan_rows(docs, targets, source, total_tokens), key, source)
+
+
 def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", total_tokens: int | None = None) -> DataFrame:
     """Per target source: weight, budget, tokens available and used, documents used, most copies, the share of all used tokens reached, the share of the
     total asked for (below the weight only if it fell short) and whether it fell short."""
     plan = _plan_rows(docs, targets, source, total_tokens)
-    used = mix(docs, targets, key, source, total_tokens).groupBy(F.col(source).alias("source")).agg(
+    used = _chosen(docs, plan, key, source).groupBy(F.col(source).alias("source")).agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies")
     )
     joined = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))

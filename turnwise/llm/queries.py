@@ -80,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_turns": lambda s, d: turns.speaker_turns(_transcripts(s, d), _common(s, d)),
         "p6_templates": lambda s, d: turns.mine(_transcripts(s, d)),
         "p7_found": lambda s, d: repetition.repetitive(_transcripts(s, d)),
-        "p7_shares": lambda s, d: repetition.repeated_shares(_transcripts(s, d)).dropDuplicates(["id"]),
+        "p7_shares": lambda s, d: repetition.repetition_report(_transcripts(s, d)),
         "p7_lines": lambda s, d: repetition.line_frequency(_read(s, d, "sample_multiline")),
         "p8_ids": lambda s, d: tokens.token_ids(_documents(s, d)),
         "p9_mix": lambda s, d: mixing.mix(mixing.sized(_documents(s, d)), _read(s, d, "mix_targets")),

@@ -14,6 +14,7 @@ Null and empty texts have an empty list of ids, so every document keeps its row.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections import defaultdict
@@ -32,11 +33,13 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the vocabulary's own cut of a text into pieces
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_CHUNKS = 500_000
+CACHE_CHARS = 8_000_000
+MAX_VOCABULARY = 50_000_000
 _UNEVEN = re.compile(r" \s| $")
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+def load_ranks(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
 
 
 class PairIndex:
@@ -96,8 +99,8 @@ class PairIndex:
 class Encoder:
     """Ids of texts; keeps the ids of chunks it has met as one flat array."""
 
-    def __init__(self, path: str) -> None:
-        self.index = PairIndex(load_ranks(path))
+    def __init__(self, vocabulary: bytes) -> None:
+        self.index = PairIndex(load_ranks(vocabulary))
         self.pattern = regex.compile(PATTERN)
         self.reset()
 
@@ -128,7 +131,21 @@ class Encoder:
         return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
 
     def encode(self, texts: list[str | None], ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each text and, unless only counts are asked for, all ids one after the other."""
+        """The number of ids of each text and, unless only counts are asked for, all ids one after the other.
+
+        Texts are taken ``CACHE_CHARS`` characters (or one text) at a time, so what is kept does not grow with the batch.
+        """
+        parts, at, held = [], 0, 0
+        for i, t in enumerate(texts):
+            size = len(t) if t else 0
+            if held and held + size > CACHE_CHARS:
+                parts.append(self._encode(texts[at:i], ids))
+                at, held = i, 0
+            held += size
+        parts.append(self._encode(texts[at:], ids))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+    def _encode(self, texts: list[str | None], ids: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > CACHE_CHUNKS:
             self.reset()
         every: list[str] = []
@@ -154,10 +171,18 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(name: str, vocabulary: bytes) -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(vocabulary)
+    return _ENCODERS[name]
+
+
+def shipped(df: DataFrame, tokenizer: str):
+    """Name and content of the vocabulary file, which only the driver has to hold; the workers get it by broadcast (about 1 MB)."""
+    content = Path(tokenizer).read_bytes()
+    if len(content) > MAX_VOCABULARY:
+        raise ValueError(f"vocabulary over {MAX_VOCABULARY} bytes")
+    return hashlib.blake2b(content, digest_size=16).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -166,8 +191,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     Strings of special tokens inside a text are ordinary text. Repeated rows keep their rows; extra columns are ignored.
     """
 
+    name, vocabulary = shipped(df, tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
+        e = encoder(name, vocabulary.value)
         for b in batches:
             n, flat = e.encode(b.column(1).to_pylist())
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
@@ -180,8 +207,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of each text (0 for null and empty texts)."""
 
+    name, vocabulary = shipped(df, tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
+        e = encoder(name, vocabulary.value)
         for b in batches:
             n, _ = e.encode(b.column(len(keep)).to_pylist(), ids=False)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n)], names=[*keep, "n_tokens"])
