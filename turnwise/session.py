@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def get_spark(app: str = "turnwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,10 +30,12 @@ def get_spark(app: str = "turnwise", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names one, else (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A session on one machine (``local[...]``) that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = os.environ.get("TURNWISE_TEST_SHARED") or tempfile.mkdtemp(prefix="turnwise-shared-")
     os.environ["TURNWISE_TEST_SHARED"] = made
     return f"file://{made}"
@@ -61,12 +64,19 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Gives every core work where a scan has fewer partitions than the cluster has cores; large inputs are left alone.
+    """The rows dealt to all cores where the session asks for it with ``turnwise.spread``; as they are otherwise, whatever their size.
 
-    For the start of operators that spend far more on a row than it costs to move it.
+    For files of few row groups on one machine, before operators that spend far more on a row than it costs to move it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get("turnwise.spread", "false") == "true" else df
+
+
+def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, which is checked by reading it; as it is otherwise."""
+    spark = df.sparkSession
+    rows = df.limit(limit + 1).collect()
+    return broadcast(spark.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
 
 
 def _remove(spark: SparkSession, path: str) -> None:
