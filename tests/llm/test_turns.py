@@ -65,7 +65,7 @@ def test_label_words_do_not_depend_on_the_size_of_the_table(spark, transcripts):
 
 @pytest.mark.parametrize(
     "layout",
-    ["Tolmach 0 > one is it {i}\nTolmach 1 > two\nTolmach 0 > and three", "(00:00:09) <Tolmach #0> one is it {i}\n(00:00:11) <Tolmach #1> two\n(00:00:15) <Tolmach #0> and three", "SPEAKER_00: 00:00:02 one is it {i}\nSPEAKER_01: 00:00:04 two\nSPEAKER_00: 00:00:06 and three"],
+    ["Tolmach 0 > one is it {i}\nTolmach 1 > two\nTolmach 0 > and three", "(00:00:09) <Tolmach #0> one is it {i}\n(00:00:11) <Tolmach #1> two\n(00:00:15) <Tolmach #0> and three", "[00:01] Tolmach 0 - one is it {i}\n[00:03] Tolmach 1 - two\n[00:05] Tolmach 0 - and three", "<v Tolmach 0>one is it {i}\n<v Tolmach 1>two\n<v Tolmach 0>and three", "Tolmach 0 00:00:01\none is it {i}\nTolmach 1 00:00:04\ntwo\nTolmach 0 00:00:06\nand three", "SPEAKER_00: 00:00:02 one is it {i}\nSPEAKER_01: 00:00:04 two\nSPEAKER_00: 00:00:06 and three"],
 )
 def test_layouts_the_fixed_pattern_does_not_know_are_inferred(transcripts, layout):
     rows = [(f"u{i}", "a", None, layout.format(i=i)) for i in range(5)]

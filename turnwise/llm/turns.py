@@ -62,7 +62,7 @@ _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _CLOCK = re.compile(_TIME)
 _SEPARATOR = re.compile(r"[ \t]*-{20,}[ \t]*$")
 _LETTER = r"[^\W\d_](?=[ ]?[\])}>:|=–—-]|[ \t]*$)"
-_PIECE = re.compile(rf"{_TIME}|{_LOST}|-->|[^\W\d_]{{2,20}}+(?=[ _#№.-]{{0,2}}\d{{1,3}}(?![^\W_])|[ _#№.-]{{1,2}}{_LETTER})|(?<=[ _#№.-]){_LETTER}|\d+|[^\w\s]|_")
+_PIECE = re.compile(rf"{_TIME}|{_LOST}|-->|(?<=[<\[({{])[^\W\d_]{{1,20}}+(?= [^\W\d_]{{2,20}}[ _#№.-]{{0,2}}\d{{1,3}}(?![^\W_]))|[^\W\d_]{{2,20}}+(?=[ _#№.-]{{0,2}}\d{{1,3}}(?![^\W_])|[ _#№.-]{{1,2}}{_LETTER})|(?<=[ _#№.-]){_LETTER}|\d+|[^\w\s]|_")
 RAW = re.compile(rf"(?:[ \t﻿]*(?:{_PIECE.pattern})){{1,{DEPTH}}}")
 _JOINT = re.compile(r"[ _#№.-]*")
 _CLOSE = re.compile(r"[ \t\])}>|:;,=–—-]*")
