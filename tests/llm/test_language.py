@@ -32,6 +32,23 @@ def test_mixed_and_empty(spark, model, transcripts):
     assert language.document_languages(language.label_languages(df, model)).filter("id = 'n' and lang is null").count() == 1
 
 
+def test_other_languages_are_not_forced_into_the_fitted_ones(model):
+    foreign = [
+        "Ieri siamo andati al mare con i nostri amici e abbiamo mangiato il pesce.", "Yarın sabah erkenden kalkıp işe gideceğiz çünkü toplantı saat dokuzda.",
+        "Tegnap este sokáig beszélgettünk a kertben a szomszédokkal az időjárásról.", "Αύριο το πρωί θα πάμε στην αγορά για να αγοράσουμε ψωμί.", "Včera večer jsme dlouho seděli na zahradě a povídali si o počasí.",
+    ]
+    s = language.Scorer(model)
+    doc, lang, confidence, _ = s.stretches(foreign)
+    assert set(doc) == set(range(len(foreign))) and (lang == len(s.langs)).all() and (confidence > 0.8).all()
+
+
+def test_two_models_do_not_share_a_cache(spark):
+    df = spark.createDataFrame([("a", "eins zwei drei vier")], "id string, _spoken string").coalesce(1)
+    for names in (("x", "y"), ("v", "w")):
+        own = language.fit([(names[0], "eins zwei drei vier fünf"), (names[1], "one two three four five")])
+        assert language.label_languages(df, own).first()["stretches"][0]["lang"] == names[0]
+
+
 def test_mislabelled_rules(spark, model, transcripts):
     en = "We agreed on the new schedule after the holidays, and the rest can wait until autumn because nobody asked for it."
     ru = "Мы пересчитали старые накладные на чистом листе после праздников, и это удивило меня больше всего, но цифры нормальные."

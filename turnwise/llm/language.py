@@ -7,6 +7,9 @@ features. As the kernel is linear in presence, the fitted machine folds into one
 word's scores are the presence row of its n-grams times that matrix; words of a batch are scored in one product, and
 sentences by adding their words' rows.
 
+A text or stretch whose longer n-grams hardly occur in the references is in none of their languages (``UNKNOWN``); its confidence
+is the share of n-grams that do not occur. Close relatives of a fitted language are not told apart from it so.
+
 Cyrillic references are also used in Latin transliteration, so a language is told in whatever script it is written.
 The labelled sample is bounded by ``MAX_REFERENCES``; all texts are scored whole.
 """
@@ -35,6 +38,8 @@ SHARPNESS = 4.0
 PRIOR_WORDS = 2.5
 REPEAT_WEIGHT = 0.2
 SURE = 0.5
+UNKNOWN = "und"
+KNOWN_TEXT, KNOWN_STRETCH, KNOWN_WORDS = 0.1, 0.05, 8  # shares of known n-grams of four and more; from so many different words on
 MIN_WORDS = 15
 MIN_SHARE = 0.15
 TOKEN = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*|[.!?…\n]")
@@ -116,24 +121,28 @@ class Scorer:
     def reset(self) -> None:
         self.codes: dict[str, int] = {x: 0 for x in ".!?…\n"}
         self.rows = np.zeros((1, len(self.langs)), dtype=np.float32)
+        self.known = np.zeros((1, 2))  # n-grams of four and more of each word: in the references, and all
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words - self.codes.keys())
         if not new:
             return
         # the presence rows of the new words times the weights, as one sparse product
-        unknown, cells, starts, sizes = len(self.weights) - 1, [], [], []
+        unknown, cells, starts, sizes, known = len(self.weights) - 1, [], [], [], []
         for w in new:
             own = grams(w)
             starts.append(len(cells))
             sizes.append(len(own))
             cells += [self.grams.get(g, unknown) for g in own]
+            longer = [g in self.grams for g in own if len(g) > 3]
+            known.append((sum(longer), len(longer)))
         scores = np.add.reduceat(self.weights[cells], starts, axis=0) / np.sqrt(np.array(sizes, dtype=np.float32))[:, None]
         self.codes.update((w, len(self.rows) + i) for i, w in enumerate(new))
         self.rows = np.vstack((self.rows, scores.astype(np.float32)))
+        self.known = np.vstack((self.known, np.array(known, dtype=float)))
 
     def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Of each stretch of one language: text number, language number, confidence, words."""
+        """Of each stretch of one language: text number, language number, confidence, words. The number after the last stands for none of them."""
         if len(self.codes) > CACHE_WORDS:
             self.reset()
         tokens: list[str] = []
@@ -178,7 +187,15 @@ class Scorer:
         lang = self._settled(seg_doc, lang, confidence, n)
         first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | ~same])
         words = np.add.reduceat(n, first)
-        return seg_doc[first], lang[first], np.add.reduceat(confidence * n, first) / words, words
+        known = self.known[codes] * fresh[:, None]
+        of_text = np.add.reduceat(known, heads, axis=0)
+        of_stretch = np.add.reduceat(known, begins[first], axis=0)
+        different = fresh.astype(np.int64)
+        foreign = ((of_text[:, 0] < KNOWN_TEXT * of_text[:, 1]) & (np.add.reduceat(different, heads) >= KNOWN_WORDS))[np.searchsorted(doc[heads], seg_doc[first])]
+        foreign |= (np.add.reduceat(different, begins[first]) >= KNOWN_WORDS) & (of_stretch[:, 0] < KNOWN_STRETCH * of_stretch[:, 1])
+        share = np.add.reduceat(confidence * n, first) / words
+        unsure = 1 - of_stretch[:, 0] / np.maximum(of_stretch[:, 1], 1)
+        return seg_doc[first], np.where(foreign, len(self.langs), lang[first]), np.where(foreign, unsure, share), words
 
 
     def _settled(self, doc: np.ndarray, lang: np.ndarray, confidence: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -229,7 +246,7 @@ def label_languages(df: DataFrame, model: dict, key: str = "id", text: str = "_s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(name, shipped.value)
-        langs = pa.array(s.langs)
+        langs = pa.array([*s.langs, UNKNOWN])
         for b in batches:
             texts = b.column(1).to_pylist()
             if known is not None:
@@ -270,6 +287,7 @@ def mislabelled(transcripts: DataFrame, features: DataFrame, model: dict, common
     labelled = distinct_rows(fence(language_words(label_languages(said, model, common=common).filter(F.col("n_words") >= MIN_WORDS))).select("id", "spoken"), "id")
     code = F.lower(F.regexp_extract(F.trim("layer_b_primary_language"), r"^(\p{L}+)(?:[-_].*)?$", 1))
     recorded = features.groupBy("id").agg(F.max(code).alias("code"))
+    labelled = labelled.withColumn("spoken", F.array_remove("spoken", UNKNOWN))
     right = (F.size("spoken") == 1) & (F.col("spoken")[0] == F.coalesce("code", F.lit("")))
     return labelled.join(recorded, "id", "left").filter(~right).select("id", F.explode("spoken").alias("lang"))
 

@@ -10,7 +10,7 @@ Rules of two kinds (``RULES`` states them all):
   0.1, at most 90 % bullet lines, at most 30 % lines ending in an ellipsis, at least 80 % of words with a letter, at least 2
   stop words). They are recorded but do not reject, as a short reply or a single utterance is speech and fails several;
 * the same kind of threshold on how much of the text (by visible characters) stands in lines that are list items, table rows or
-  codes, and on words without syllables. A document that fails one of these is a case (``junk``).
+  codes, and on words without syllables or broken up by signs. A document that fails one of these is a case (``junk``).
 
 A line is a list item if it starts with a list mark, has no sentence end and is short or holds few common and few repeated
 words, or if it is one of many short lines without marks and sentence ends; a table row if it has two column separators of one kind, however
@@ -58,6 +58,7 @@ LONG_TOKEN = 40
 WORDLESS_COMMON = 0.05
 WORDLESS_TOKENS = 8
 CLUSTERS_A_WORD = 0.18
+TOKENS_A_WORD = 2
 
 # letters that do not form syllables: five consonants in a row, or a word that starts with a sign
 CLUSTER = re.compile(r"[бвгджзйклмнпрстфхцчшщъь]{5,}|(?<![^\W\d_])[ьъы]|[bcdfghjklmnpqrstvwxz]{5,}")
@@ -221,6 +222,7 @@ CASES = {
     "table_rows": lambda c: _over(c["in_rows"], c["visible"], MOST),
     "codes": lambda c: _over(c["in_codes"], c["visible"], MOST),
     "items_rows_and_codes": lambda c: _over(c["in_items"] + c["in_rows"] + c["in_codes"], c["visible"], MOST),
+    "broken_words": lambda c: (c["tokens"] >= WORDLESS_TOKENS) & (c["n_common"] < WORDLESS_COMMON * c["tokens"]) & (c["tokens"] > TOKENS_A_WORD * c["n_words"]),
     "no_syllables": lambda c: (c["tokens"] >= WORDLESS_TOKENS) & (c["n_common"] < WORDLESS_COMMON * c["tokens"]) & (c["clusters"] > CLUSTERS_A_WORD * c["tokens"]),
 }
 
