@@ -12,7 +12,7 @@ SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 def parse_created_at(text: Column, trim: bool = False) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` to a naive timestamp; null, blank and malformed text give null. ``trim`` strips blanks first."""
     t = F.trim(text) if trim else text
-    return F.when(t.rlike(SHAPE), F.try_to_timestamp(t, F.lit(FORMAT))).cast("timestamp_ntz")
+    return F.when(t.rlike(SHAPE), t.try_cast("timestamp_ntz"))
 
 
 def bucket_day(ts: Column) -> Column:

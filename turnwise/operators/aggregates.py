@@ -1,8 +1,7 @@
 """Rollups over time buckets, users and categories; distributions and histograms.
 
-Exact percentiles with linear interpolation, nulls ignored. All percentiles of a metric are asked for at once, so its
-values are gathered once. Shares use a window over counts, never over rows. Many metrics per group go through a long form
-(``quantiles_long``), so that a group's metrics are spread over tasks.
+Exact percentiles with linear interpolation, nulls ignored, by ``skew.ranked_quantiles``: no group's values are gathered in one
+task. Shares use a window over counts, never over rows.
 """
 
 from __future__ import annotations
@@ -13,16 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.dates import bucket_day, bucket_iso_week, bucket_month, parse_created_at
+from turnwise.operators.skew import ranked_quantiles
 
 QUARTILES = (0.5, 0.25, 0.75)
 EDGES_MINUTES = (0, 1, 2, 3, 5, 8, 12, 20, 30, 45, 60, 90, 120, 180)
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
-def _quantile(values: Column, q: Sequence[float]) -> Column:
-    return F.percentile(values.cast("double"), F.array(*[F.lit(float(x)) for x in q]))
-
-
 def add_buckets(df: DataFrame, ts: str = "created_at_parsed") -> DataFrame:
     """Adds bucket_day, bucket_iso_week and bucket_month."""
     return df.withColumns({"bucket_day": bucket_day(F.col(ts)), "bucket_iso_week": bucket_iso_week(F.col(ts)), "bucket_month": bucket_month(F.col(ts))})
@@ -37,18 +33,17 @@ def aggregate_buckets(df: DataFrame, keys: str | list[str], metrics: Sequence[st
     """Per group ``n_rows`` (all rows) and the median and quartiles of each metric that is there. A null key is a group."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     there = [m for m in metrics if m in df.columns]
-    gathered = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[_quantile(F.col(m), QUARTILES).alias(f"_{m}") for m in there])
-    parts = [F.col(f"_{m}")[i].alias(f"{m}_{name}") for m in there for i, name in enumerate(("median", "q1", "q3"))]
-    return gathered.select(*keys, "n_rows", *parts)
+    if not there:
+        return df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    long = ranked_quantiles(df, keys, there)
+    wide = [F.max(F.when(F.col("metric") == m, F.col(f"q_{i}"))).alias(f"{m}_{name}") for m in there for i, name in enumerate(("median", "q1", "q3"))]
+    return long.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), *wide)
 
 
 def quantiles_long(df: DataFrame, keys: str | list[str], metrics: Sequence[str]) -> DataFrame:
-    """(keys, metric, n_rows, median, q1, q3): the same numbers, one row per group and metric, computed in parallel over metrics."""
+    """(keys, metric, n_rows, median, q1, q3): the same numbers, one row per group and metric."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    there = [m for m in metrics if m in df.columns]
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in there])).alias("m"))
-    out = long.groupBy(*keys, F.col("m.metric").alias("metric")).agg(F.count("*").alias("n_rows"), _quantile(F.col("m.x"), QUARTILES).alias("q"))
-    return out.select(*keys, "metric", "n_rows", F.col("q")[0].alias("median"), F.col("q")[1].alias("q1"), F.col("q")[2].alias("q3"))
+    return ranked_quantiles(df, keys, [m for m in metrics if m in df.columns]).withColumnsRenamed({"q_0": "median", "q_1": "q1", "q_2": "q3"})
 
 
 def aggregate_user_month(df: DataFrame, metrics: Sequence[str], user: str = "telegram_user_internal_id", month: str = "bucket_month") -> DataFrame:
@@ -78,15 +73,25 @@ def created_range(df: DataFrame, created_at: str = "created_at") -> DataFrame:
     )
 
 
+def _beside_quantiles(df: DataFrame, keys: list[str], value: str, at: Sequence[float], *columns: Column) -> DataFrame:
+    """Aggregates of the rows that have a value, per group (or one row for all), beside its quantiles ``q_0``, ``q_1``, ..."""
+    rows = df.filter(F.col(value).isNotNull())
+    quantiles = ranked_quantiles(rows, keys, [value], tuple(at)).drop("metric", "n_rows")
+    plain = rows.groupBy(*keys).agg(*columns)
+    if not keys:  # one row on either side
+        return plain.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    named = quantiles.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return plain.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
 def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, mean, median, population variance and deviation, min, max and nine percentiles per group (or of all rows)."""
     x = F.col(value).cast("double")
-    rows = df.filter(F.col(value).isNotNull())
-    gathered = rows.groupBy(*(keys or [])).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.stddev_pop(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max"), _quantile(x, PERCENTILES).alias("_p")
+    gathered = _beside_quantiles(
+        df, keys or [], value, PERCENTILES, F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.stddev_pop(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max")
     )
-    points = [F.col("_p")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(PERCENTILES)]
-    return gathered.select(*(keys or []), "n", "mean", F.col("_p")[4].alias("median"), "variance", "stddev", "min", "max", *points)
+    points = [F.col(f"q_{i}").alias(f"p{round(q * 100):02d}") for i, q in enumerate(PERCENTILES)]
+    return gathered.select(*(keys or []), "n", "mean", F.col("q_4").alias("median"), "variance", "stddev", "min", "max", *points)
 
 
 def trailing_days(df: DataFrame, ts: str, days: int = 30) -> DataFrame:
@@ -118,11 +123,11 @@ def histogram(df: DataFrame, seconds: str, keys: list[str] | None = None, edges:
 
 def tail_shares(df: DataFrame, seconds: str, keys: list[str] | None = None) -> DataFrame:
     """Short and long shares from the histogram bins (values beyond the last edge count only in n), tail ratio and spread."""
-    rows = df.filter(F.col(seconds).isNotNull()).withColumn("_bin", minutes_bin(F.col(seconds) / 60.0))
-    out = rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.count_if(F.col("_bin") < 3).alias("_short"), F.count_if(F.col("_bin") >= 8).alias("_long"), _quantile(F.col(seconds), (0.25, 0.5, 0.75, 0.95)).alias("_p"))
+    rows = df.withColumn("_bin", minutes_bin(F.col(seconds) / 60.0))
+    out = _beside_quantiles(rows, keys or [], seconds, (0.25, 0.5, 0.75, 0.95), F.count("*").alias("n"), F.count_if(F.col("_bin") < 3).alias("_short"), F.count_if(F.col("_bin") >= 8).alias("_long"))
     return out.select(
         *(keys or []), "n", (F.col("_short") / F.col("n")).alias("share_3min_or_less"), (F.col("_long") / F.col("n")).alias("share_30min_or_more"),
-        F.when(F.col("_p")[1] != 0, F.col("_p")[3] / F.col("_p")[1]).alias("tail_ratio"), (F.col("_p")[2] - F.col("_p")[0]).alias("iqr"),
+        F.when(F.col("q_1") != 0, F.col("q_3") / F.col("q_1")).alias("tail_ratio"), (F.col("q_2") - F.col("q_0")).alias("iqr"),
     )
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as T
 from turnwise.functions.dates import month_key, parse_created_at
 from turnwise.operators.category import KEYWORDS
-from turnwise.session import stash
+from turnwise.operators.skew import ranked_quantiles
+from turnwise.session import small, stash
 
 _CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:\.\d+)?"
 TIMES = rf"\[\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}\s*\]|(?m:^)\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}:"
@@ -100,7 +101,7 @@ def cheap_category(sample: Column, n_words: Column, speakers: Column, switches:
 def _identified(df: DataFrame, key: str, created_at: str, text: str) -> DataFrame:
     """(transcript_id, month, created_at, text) of rows with a readable time."""
     base = df.withColumn("_at", parse_created_at(F.col(created_at), trim=True)).filter(F.col("_at").isNotNull())
-    fallback = F.concat(F.lit("row_"), F.hex(F.xxhash64(created_at, text)))
+    fallback = F.concat(F.lit("row_"), F.monotonically_increasing_id().cast("string"))  # the row's place in the table
     return base.select(
         F.when(F.trim(key) != "", F.trim(key)).otherwise(fallback).alias("transcript_id"), month_key(F.col("_at")).alias("month"), F.trim(created_at).alias("created_at"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
@@ -109,11 +110,12 @@ def _identified(df: DataFrame, key: str, created_at: str, text: str) -> DataFram
 def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", text: str = "transcription_text") -> DataFrame:
     """Rows with a readable time as candidates: transcript_id, month, created_at, cheap features and strata.
 
-    A missing id falls back to the hash of the row. Of repeated deliveries one stays; texts are not shuffled for that.
+    A missing id falls back to the row's place. Of rows of one id the one with the least hash of its content stays; texts are not
+    shuffled for that.
     """
     base = _identified(df, key, created_at, text)
     heads = F.transform(F.regexp_extract_all("text", F.lit(SPEAKERS), 1), lambda x: F.upper(x))
-    base = base.withColumns({"_sample": windows_sample(F.col("text")), "_heads": heads, "n_times": T.count(F.col("text"), TIMES), "n_separators": T.count(F.col("text"), SEPARATORS), "total_tokens": T.count(F.col("text"), WORDS)})
+    base = base.withColumns({"_rank": F.xxhash64("created_at", "text"), "_sample": windows_sample(F.col("text")), "_heads": heads, "n_times": T.count(F.col("text"), TIMES), "n_separators": T.count(F.col("text"), SEPARATORS), "total_tokens": T.count(F.col("text"), WORDS)})
     before, after = F.slice("_heads", 1, F.greatest(F.size("_heads") - 1, F.lit(0))), F.slice("_heads", 2, F.greatest(F.size("_heads") - 1, F.lit(0)))
     base = base.withColumns(
         {
@@ -136,7 +138,7 @@ def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", t
             "_cat": cheap_category(F.col("_sample"), F.col("total_tokens"), F.col("distinct_speakers"), F.col("speaker_switch_count")),
         }
     )
-    return base.withColumns(
+    full = base.withColumns(
         {
             "language": F.col("_script.language"),
             "language_confidence": F.col("_script.confidence"),
@@ -146,7 +148,9 @@ def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", t
             "dialogue_bin": dialogue_bin(F.col("distinct_speakers"), F.col("segment_count")),
             "quality_bin": quality_bin(F.col("malformed_timestamp_ratio"), F.col("unicode_replacement_count"), F.col("nonprintable_ratio"), F.col("unreasonable_speaker_churn"), F.col("repeated_char_run_ratio")),
         }
-    ).drop("text", "_sample", "_heads", "_script", "_cat", "n_times", "n_separators", "n_heads").dropDuplicates(["transcript_id"])
+    ).drop("text", "_sample", "_heads", "_script", "_cat", "n_times", "n_separators", "n_heads")
+    rest = [c for c in full.columns if c not in ("transcript_id", "_rank")]
+    return full.groupBy("transcript_id").agg(F.min_by(F.struct(*rest), F.struct("_rank", *rest)).alias("_r")).select("transcript_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def exclude(df: DataFrame, excluded: DataFrame, key: str = "transcript_id") -> DataFrame:
@@ -176,8 +180,9 @@ def valid_run_id(run_id: str) -> bool:
 
 def month_center(df: DataFrame) -> DataFrame:
     """Per month the medians of words, segments, speakers and malformed share, 0.0 where there are none."""
-    med = lambda c, name: F.coalesce(F.median(F.col(c).cast("double")), F.lit(0.0)).alias(name)
-    return df.groupBy("month").agg(med("total_tokens", "center_tokens"), med("segment_count", "center_segments"), med("distinct_speakers", "center_speakers"), med("malformed_timestamp_ratio", "center_malformed"))
+    names = {"total_tokens": "center_tokens", "segment_count": "center_segments", "distinct_speakers": "center_speakers", "malformed_timestamp_ratio": "center_malformed"}
+    long = ranked_quantiles(df, ["month"], list(names), (0.5,))
+    return long.groupBy("month").agg(*[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("q_0"))), F.lit(0.0)).alias(c) for m, c in names.items()])
 
 
 def distance() -> Column:
@@ -195,8 +200,8 @@ def anomaly() -> Column:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """Candidates with their month's center, ``distance`` and ``anomaly``; months are few beside rows."""
-    return df.join(month_center(df), "month").withColumns({"distance": distance(), "anomaly": anomaly()})
+    """Candidates with their month's center, ``distance`` and ``anomaly``. The centers, a row a month, are read first to see that they are few."""
+    return df.join(small(month_center(df)), "month").withColumns({"distance": distance(), "anomaly": anomaly()})
 
 
 def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> DataFrame:
@@ -216,14 +221,15 @@ def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> Data
     near = [F.asc("distance"), F.asc("_tie"), F.asc("transcript_id")]
     in_stratum = Window.partitionBy("month", *stratum)
     month = Window.partitionBy("month")
-    # per stratum: its size and, best first, its rows; a month's strata are ranked by their first rows only
-    rows = rows.withColumns({"_size": F.count("*").over(in_stratum), "_place": F.row_number().over(in_stratum.orderBy(*near))})
-    heads = rows.filter((F.col("_place") <= k)).withColumn("_months", F.lit(1))
-    totals = rows.groupBy("month").agg(F.count("*").alias("_month_n"))
-    # only k rows of each stratum and the k most anomalous and most central of a month can ever be chosen
-    central = rows.withColumn("_c", F.row_number().over(month.orderBy(*near))).filter(F.col("_c") <= k).drop("_c")
-    odd = rows.withColumn("_c", F.row_number().over(month.orderBy(F.desc("anomaly"), F.asc("_tie"), F.asc("transcript_id")))).filter(F.col("_c") <= k).drop("_c")
-    pool = heads.drop("_months").unionByName(central).unionByName(odd).dropDuplicates(["month", "transcript_id"]).join(totals, "month")
+    # only the k best of each stratum and the k most anomalous and most central of a month can ever be chosen; these windows stand on
+    # the bare rows, so that each task keeps k rows a group before anything is shuffled
+    first = lambda window, *order: rows.withColumn("_c", F.row_number().over(window.orderBy(*order))).filter(F.col("_c") <= k).drop("_c")
+    chosen = first(in_stratum, *near).unionByName(first(month, *near)).unionByName(first(month, F.desc("anomaly"), F.asc("_tie"), F.asc("transcript_id")))
+    sizes = rows.groupBy("month", *stratum).agg(F.count("*").alias("_size"))
+    totals = sizes.groupBy("month").agg(F.sum("_size").alias("_month_n"))
+    pool = chosen.dropDuplicates(["month", "transcript_id"]).join(sizes, ["month", *stratum]).join(totals, "month")
+    # a stratum's best row is in the pool, so its place there is its place among all
+    pool = pool.withColumn("_place", F.row_number().over(in_stratum.orderBy(*near)))
     pool = pool.withColumn("selection_reason", F.when(F.col("_month_n") <= k, F.lit("all_available_for_sparse_month")))
     dense = F.col("_month_n") > k
 

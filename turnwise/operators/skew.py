@@ -108,28 +108,55 @@ def heavy_users(df: DataFrame, user: str = "telegram_user_internal_id", share: f
     return activity.filter(F.col(user).isNotNull() & (F.col("n_rows") >= share * total)).select(user)
 
 
-def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(keys, metric, n_rows, q_0, q_1, ...): exact quantiles with linear interpolation, nulls ignored, whatever share of the rows a group holds.
+STEPS = 4096  # steps an octave of the coarse places of values
 
-    Rows are numbered within (keys, metric) in order of value, and only those at the wanted ranks are kept; a percentile
-    aggregate would gather all distinct values of a group in one task instead. A null key is a group; a metric without
-    values has null quantiles. ``n_rows`` counts all rows of the group.
+
+def _coarse(x):
+    """A whole number that never falls as ``x`` grows, the same for values within 1/4096 of an octave; null for null."""
+    size = F.floor(F.log2(F.abs(x)) * STEPS).cast("bigint") + F.lit(2000 * STEPS)
+    return F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0))
+
+
+def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75)) -> DataFrame:
+    """(keys, metric, n_rows, q_0, q_1, ...): exact quantiles with linear interpolation, whatever share of the rows a group holds.
+
+    Equal values of a group are counted before and after the shuffle, so what moves on are distinct values, spread by group and
+    value. Their counts are summed by coarse places (a bounded number a group), prefix sums of these say in which places the
+    wanted ranks lie, and only values of those places are numbered. A percentile aggregate would gather all distinct values of a
+    group in one task instead. Nulls and NaN are ignored; a null key is a group; a metric without values has null quantiles.
+    ``n_rows`` counts all rows of the group. An empty table gives none.
     """
-    name = F.to_json(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"k{i}") for i, k in enumerate(keys)]))
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    long = df.select(name.alias("_group"), F.explode(entries).alias("m")).select(F.concat_ws("\x01", "_group", "m.metric").alias("_key"), "m.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    numbered, sizes = number_rows(long, "_key", ["x"], chunk_rows)
-    joined = numbered.join(sizes, "_key")
-    places = [((F.col("n") - 1) * F.lit(float(q))).alias(f"p{i}") for i, q in enumerate(at)]
-    placed = joined.select("_key", "x", "_rank", *places)
-    wanted = [(F.col("_rank") == F.floor(f"p{i}")) | (F.col("_rank") == F.ceil(f"p{i}")) for i in range(len(at))]
-    any_wanted = wanted[0]
-    for w in wanted[1:]:
-        any_wanted = any_wanted | w
+    long = df.select(*keys, F.explode(entries).alias("m")).select(*keys, "m.metric", F.when(~F.isnan("m.x"), F.col("m.x") + 0.0).alias("x"))
+    group = [*keys, "metric"]
+    counts = long.groupBy(*group, "x").agg(F.count("*").alias("_n")).withColumn("_b", _coarse(F.col("x")))
+    places = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n_b"))
+    whole = Window.partitionBy(*group)
+    valued = F.when(F.col("_b").isNotNull(), F.col("_n_b")).otherwise(0)
+    upto = F.sum(valued).over(whole.orderBy(F.asc_nulls_first("_b")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = places.withColumns({"_before": upto - valued, "_total": F.sum(valued).over(whole), "n_rows": F.sum("_n_b").over(whole)})
+    ranks = [((F.col("_total") - 1) * F.lit(float(q))) for q in at]
+
+    def holds(low, high):
+        return [(low <= r) & (r <= high) for p in ranks for r in (F.floor(p), F.ceil(p))]
+
+    def any_of(conditions):
+        out = conditions[0]
+        for c in conditions[1:]:
+            out = out | c
+        return out
+
+    last = F.col("_before") + F.col("_n_b") - 1
+    # a group without values keeps its place of nulls, so that it is reported
+    wanted = summed.filter((F.col("_total") == 0) | F.col("_b").isNotNull() & any_of(holds(F.col("_before"), last))).drop("_n_b")
+    named = wanted.withColumnsRenamed({c: f"_w_{c}" for c in (*group, "_b")})
+    inside = counts.join(named, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in (*group, "_b")]).drop(*[f"_w_{c}" for c in (*group, "_b")])
+    run = F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = inside.withColumn("_hi", F.col("_before") + run - 1).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
+    kept = numbered.filter((F.col("_total") == 0) | any_of(holds(F.col("_lo"), F.col("_hi"))))
     ends = []
-    for i in range(len(at)):
-        ends += [F.max(F.when(F.col("_rank") == F.floor(f"p{i}"), F.col("x"))).alias(f"lo{i}"), F.max(F.when(F.col("_rank") == F.ceil(f"p{i}"), F.col("x"))).alias(f"hi{i}"), F.max(F.col(f"p{i}") - F.floor(f"p{i}")).alias(f"f{i}")]
-    found = placed.filter(any_wanted).groupBy("_key").agg(*ends).select("_key", *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q_{i}") for i in range(len(at))])
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    spine = groups.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics]))).withColumn("_key", F.concat_ws("\x01", name, "metric"))
-    return spine.join(found, "_key", "left").select(*keys, "metric", "n_rows", *[f"q_{i}" for i in range(len(at))])
+    for i, p in enumerate(ranks):
+        at_rank = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.col("x")))
+        ends += [at_rank(F.floor(p)).alias(f"_lo{i}"), at_rank(F.ceil(p)).alias(f"_hi{i}"), F.max(p - F.floor(p)).alias(f"_f{i}")]
+    found = kept.groupBy(*group).agg(F.max("n_rows").alias("n_rows"), *ends)
+    return found.select(*group, "n_rows", *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q_{i}") for i in range(len(at))])

@@ -88,23 +88,21 @@ def run(spark: SparkSession, source: str, out: str, *, run_id: str | None = None
     """Runs the batch over a CSV or Parquet source; returns the manifest. A run without rows writes manifest and dictionary only."""
     run_id = run_id or str(uuid.uuid4())
     folder = files.run_folder(out, run_id)
-    parquet = source.endswith(".parquet") or Path(source).is_dir()
-    df = spark.read.parquet(source) if parquet else files.read_csv(spark, source, max_rows)
-    build_parts(df, str(folder / "parts"), with_b)
-    parts = spark.read.parquet(str(folder / "parts"))
+    build_parts(files.read_source(spark, source, max_rows), files.join(folder, "parts"), with_b)
+    parts = spark.read.parquet(files.join(folder, "parts"))
     facts = aggregates.created_range(parts).first().asDict()
     made = manifest(run_id, files.fingerprint(source), facts, with_b)
     if facts["rows_read"]:
         for name, table in rollups(parts, with_b).items():
-            files.write_both(table, str(folder / name))
+            files.write_both(table, files.join(folder, name))
         if merge:
-            files.write_merged(parts, str(folder / "per_row_features.parquet"), facts["rows_read"], merge_max_rows)
+            files.write_merged(parts, files.join(folder, "per_row_features.parquet"), facts["rows_read"], merge_max_rows)
         if with_report:
-            days = spark.read.parquet(str(folder / "aggregate_by_day.parquet"))
+            days = spark.read.parquet(files.join(folder, "aggregate_by_day.parquet"))
             totals = aggregates.daily_total(parts)
-            (folder / "report.html").write_text(report.run_report(made, reshape.to_long(days, "bucket_day"), totals), encoding="utf-8")
-    files.write_json(folder / "manifest.json", made)
-    files.write_json(folder / "metrics_dictionary.json", dictionary(with_b))
+            files.write_text(files.join(folder, "report.html"), report.run_report(made, reshape.to_long(days, "bucket_day"), totals))
+    files.write_json(files.join(folder, "manifest.json"), made)
+    files.write_json(files.join(folder, "metrics_dictionary.json"), dictionary(with_b))
     return made
 
 
@@ -154,12 +152,12 @@ def main(args: list[str] | None = None) -> int:
         return 0 if review.analyze(spark, given.judge_json, given.index, given.output) is not None else 1
     if given.command == "durations":
         return 0 if review.durations(spark.read.parquet(f"{given.run}/parts"), given.output) is not None else 1
-    source = given.input if given.input and Path(given.input).is_dir() else files.resolve_csv(given.input)
+    source = files.resolve_csv(given.input)
     if given.command == "stage":
-        print(f"rows={files.stage_csv(spark, source, given.output)}")
+        print(f"rows={files.stage(files.read_source(spark, source), given.output)}")
         return 0
     if given.command in ("sample", "raw"):
-        rows = spark.read.parquet(source) if Path(source).is_dir() else files.require_columns(files.read_csv(spark, source))
+        rows = files.require_columns(files.read_source(spark, source))
         if given.command == "raw":
             review.summarize_raw(rows, given.output)
         else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +27,14 @@ def build_sample(spark: SparkSession, transcripts: DataFrame, out: str, *, per_m
     found = sampling.candidates(rows)
     if filters and not exact:
         found = found.filter(sampling.language_matches(F.col("language"), filters))
-    for path in excluded or []:
-        found = sampling.exclude(found, files.read_csv(spark, path))
+    if excluded:
+        ids = [files.read_csv(spark, path).select("transcript_id") for path in excluded]
+        found = sampling.exclude(found, functools.reduce(DataFrame.union, ids))
     chosen = sampling.with_excerpts(sampling.stratified_sample(found, per_month, seed), rows, max_chars)
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "llm_judge_prompt.md").write_text(report.packet(chosen, seed, per_month, max_chars), encoding="utf-8")
+    files.write_text(files.join(out, "llm_judge_prompt.md"), report.packet(chosen, seed, per_month, max_chars))
     index = chosen.select(*[F.col(c).cast("string").alias(c) for c in INDEX]).orderBy("month", "transcript_id")
-    index.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(str(folder / "llm_judge_sample_index.csv"))
-    files.write_jsonl(chosen.withColumnRenamed("excerpt", "transcript_excerpt"), str(folder / "llm_judge_transcripts.jsonl"))
+    index.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(files.join(out, "llm_judge_sample_index.csv"))
+    files.write_jsonl(chosen.withColumnRenamed("excerpt", "transcript_excerpt"), files.join(out, "llm_judge_transcripts.jsonl"))
     return chosen
 
 
@@ -56,14 +55,12 @@ def scores_frame(spark: SparkSession, data: dict) -> DataFrame:
 
 def analyze(spark: SparkSession, judge_json: str, index_csv: str, out: str) -> DataFrame:
     """Checks and joins a judge's JSON to its sample index; writes joined scores, monthly scores, failure modes and a Markdown report."""
-    data = judge.load_judge_json(Path(judge_json).read_text(encoding="utf-8-sig"))
+    data = judge.load_judge_json(files.read_text(judge_json))
     rows = judge.strict_flatten(scores_frame(spark, data), files.read_csv(spark, index_csv))
     months, modes = judge.monthly_summaries(rows), judge.failure_modes(rows)
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
     for name, table in (("joined_scores", rows), ("monthly_scores", months), ("failure_modes", modes)):
-        files.write_both(table, str(folder / name))
-    (folder / "report.md").write_text(report.judge_report(months, judge.failure_cards(rows)), encoding="utf-8")
+        files.write_both(table, files.join(out, name))
+    files.write_text(files.join(out, "report.md"), report.judge_report(months, judge.failure_cards(rows)))
     return months
 
 
@@ -74,14 +71,12 @@ def durations(parts: DataFrame, out: str, start=None, end=None, seconds: str = "
         rows = aggregates.between(rows, "created_at_parsed", start, end)
     rows = rows.withColumn("month", F.date_format("created_at_parsed", "yyyy-MM"))
     months = aggregates.summary(rows, seconds, ["month"])
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
     scopes = [("month", months), ("last_30_days", aggregates.summary(aggregates.trailing_days(rows, "created_at_parsed"), seconds)), ("overall", aggregates.summary(rows, seconds))]
     for name, table in scopes:
-        files.write_both(trends.as_text(table), str(folder / f"duration_{name}"))
+        files.write_both(trends.as_text(table), files.join(out, f"duration_{name}"))
     bins = aggregates.histogram(rows, seconds)
-    files.write_both(bins, str(folder / "duration_histogram"))
-    (folder / "durations.html").write_text(report.duration_report(months, bins), encoding="utf-8")
+    files.write_both(bins, files.join(out, "duration_histogram"))
+    files.write_text(files.join(out, "durations.html"), report.duration_report(months, bins))
     return months
 
 
