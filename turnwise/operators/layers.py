@@ -101,6 +101,12 @@ LAYER_B_NUMERIC = tuple(
 ) + tuple(f"content_script_{s}_ratio" for s in ("cyrillic", "latin", "cjk", "arabic", "digit", "other")) + ("content_file_basename_token_count", "content_category_confidence")
 
 
+DOUBLES = tuple(
+    [f"layer_a_{c}" for c in LAYER_A if c.startswith(("median", "duration")) or c.endswith(("_ratio", "_rate"))]
+    + [c for c in LAYER_B_NUMERIC if not c.endswith(("_count", "_tokens", "_mixed"))]
+)
+
+
 def metric_columns(with_b: bool = True) -> list[str]:
     """The numeric columns that roll up into quantiles."""
     return [f"layer_a_{c}" for c in LAYER_A] + (list(LAYER_B_NUMERIC) if with_b else [])

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise import oracles
 from turnwise.functions import text as T
 from turnwise.functions.dates import parse_created_at
 from turnwise.operators import aggregates, category, judge, layers, raw_summary, reshape, sampling, segments, skew, trends
@@ -284,20 +285,22 @@ _query(
     """SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, 133) || substr(t, CAST(greatest(0, floor((length(t) - 134) / 2)) AS BIGINT) + 1, 134) || substr(t, length(t) - 132, 133) END AS sample
        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 )(lambda s, d: _read(s, d, "documents").select("doc_id", T.detection_sample(F.col("text"), 400).alias("sample")))
-_query("detect_language")(lambda s, d: _texts(s, d, "documents").select("doc_id", detect(T.detection_sample(F.col("text"), 4000)).alias("l")).select("doc_id", "l.*"))
-_query("excerpt")(lambda s, d: _read(s, d, "documents").select("doc_id", T.excerpt(F.col("text"), 1500).alias("e")).select("doc_id", "e.*"))
+_query("detect_language", oracles.DETECT)(lambda s, d: rounded(_texts(s, d, "documents").select("doc_id", detect(T.detection_sample(F.col("text"), 4000)).alias("l")).select("doc_id", "l.*")))
+_query("excerpt", oracles.excerpt(1500))(lambda s, d: _read(s, d, "documents").select("doc_id", T.excerpt(F.col("text"), 1500).alias("e")).select("doc_id", "e.*"))
 
 # ---- transcripts: segments and features ----
 
-_query("segments")(lambda s, d: _texts(s, d).select("id", F.posexplode(segments.parse_segments(F.col("transcription_text"))).alias("seg_no", "seg")).select("id", "seg_no", "seg.*"))
-_query("features")(lambda s, d: layers.add_features(_texts(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text"))
+_query("segments", oracles.SEGMENTS)(lambda s, d: _texts(s, d).select("id", F.posexplode(segments.parse_segments(F.col("transcription_text"))).alias("seg_no", "seg")).select("id", "seg_no", "seg.*"))
+_FEATURES = oracles.features(_EXTENSION, _PARTS, _CLASSES)
+_ROUNDED = "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in layers.DOUBLES) + f") FROM ({_FEATURES})"
+_query("features", _ROUNDED)(lambda s, d: rounded(layers.add_features(_texts(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text")))
 _query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", layers.metric_columns(True)))
 _query("content_category_share_month")(lambda s, d: aggregates.category_share(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", "content_primary_category"))
 _query(
     "separator_lines",
     r"""SELECT id, CAST(sum(len(regexp_extract_all(t, '(?m)^-{20,}[ \t]*$'))) AS BIGINT) AS n FROM (SELECT id, replace(replace(coalesce(transcription_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM sample_multiline) GROUP BY 1""",
 )(lambda s, d: _read(s, d).groupBy("id").agg(F.sum(segments.separator_count(F.col("transcription_text"))).alias("n")))
-_query("content_category")(
+_query("content_category", oracles.CATEGORY)(
     lambda s, d: _texts(s, d).select("id", category.classify(segments.parse_segments(F.col("transcription_text"))).alias("c")).select("id", "c.*")
 )
 
@@ -312,10 +315,10 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return raw_summary.raw_rows(_texts(s, d))
 
 
-_query("raw_monthly")(lambda s, d: raw_summary.monthly(_raw(s, d)))
-_query("raw_overall")(lambda s, d: raw_summary.monthly(_raw(s, d), overall=True))
-_query("raw_trend")(lambda s, d: raw_summary.month_trend(raw_summary.monthly(_raw(s, d))))
-_query("raw_primary_labels")(lambda s, d: raw_summary.label_distribution(_raw(s, d), ["month"]))
+_query("raw_monthly", oracles.raw_monthly(_AT_TRIMMED))(lambda s, d: raw_summary.monthly(_raw(s, d)))
+_query("raw_overall", oracles.raw_overall(_AT_TRIMMED))(lambda s, d: raw_summary.monthly(_raw(s, d), overall=True))
+_query("raw_trend", oracles.raw_trend(_AT_TRIMMED))(lambda s, d: raw_summary.month_trend(raw_summary.monthly(_raw(s, d))))
+_query("raw_primary_labels", oracles.raw_primary_labels(_AT_TRIMMED))(lambda s, d: raw_summary.label_distribution(_raw(s, d), ["month"]))
 _query("top_tokens", f"SELECT word, count(*) AS n FROM ({_RAW_WORDS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 25")(lambda s, d: raw_summary.frequent_words(_raw(s, d), k=25))
 _query(
     "top_tokens_per_month",
