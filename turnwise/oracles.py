@@ -144,8 +144,8 @@ def _category_rows() -> str:
 CATEGORY = f"WITH {SEGMENT_ROWS}, {_category_rows()} SELECT id, \"primary\", confidence FROM cat JOIN src USING (rid)"
 
 
-def features(extension: str, parts: str, scripts: dict[str, str]) -> str:
-    """All features of each row; ``extension`` and ``parts`` say file names, ``scripts`` are the counted classes."""
+def features(extension: str, parts: str, scripts: dict[str, str], more: str = "") -> str:
+    """All features of each row; ``extension`` and ``parts`` say file names, ``scripts`` are the counted classes, ``more`` are further columns."""
     n = lambda p: count("body", p)
     total = "(cyrillic + latin + cjk + arabic + digit + other)"
     return rf"""WITH {SEGMENT_ROWS}, {LAYER_A_ROWS}, {_category_rows()},
@@ -158,7 +158,7 @@ def features(extension: str, parts: str, scripts: dict[str, str]) -> str:
     runs AS (SELECT rid, sum(n) FILTER (n >= 3) / sum(n) AS r FROM (SELECT rid, run, any_value(x) AS x, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY rid ORDER BY i) THEN 0 ELSE 1 END AS new
              FROM (SELECT rid, unnest(string_split(body, '')) AS x, generate_subscripts(string_split(body, ''), 1) AS i FROM said WHERE body <> ''))) GROUP BY 1, 2) WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]') GROUP BY 1),
     short AS (SELECT rid, count(*) FILTER (len({_tokens('body')}) <= 2) / count(*) AS s FROM segs WHERE NOT ({blank('body')}) GROUP BY 1)
-    SELECT id, file_name, layer_a.* EXCLUDE (rid),
+    SELECT id, file_name, {more} layer_a.* EXCLUDE (rid),
       CAST({n(chr(0xFFFD))} AS BIGINT) AS layer_b_unicode_replacement_count, CAST({n(chr(92) + 'p{C}')} - {n('[' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} AS BIGINT) AS layer_b_control_char_count, CAST({n('[' + chr(0x200B) + '-' + chr(0x200D) + chr(0xFEFF) + ']')} AS BIGINT) AS layer_b_zero_width_count,
       coalesce(({n(r"[\p{C}\p{Z}]")} - {n(r"[ \t\n\r]")}) / nullif(length(body), 0), 0.0) AS layer_b_nonprintable_ratio, coalesce(runs.r, 0.0) AS layer_b_repeated_char_run_ratio, len(w) AS layer_b_total_tokens, len(list_distinct(w)) AS layer_b_unique_tokens,
       CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) END AS layer_b_type_token_ratio, ent.h AS layer_b_hapax_ratio, ent.e AS layer_b_word_entropy_bits, list_avg(list_transform(w, lambda x: length(x))) AS layer_b_mean_word_length, CAST(list_median(list_transform(w, lambda x: length(x))) AS DOUBLE) AS layer_b_median_word_length,
@@ -225,3 +225,61 @@ def raw_trend(at: str) -> str:
 
 def raw_primary_labels(at: str) -> str:
     return f"WITH {raw(at)} SELECT month, primary_label, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (PARTITION BY month), 4) AS share FROM raw GROUP BY 1, 2"
+
+
+def month_quantiles(features_sql: str, at: str, metrics: list[str]) -> str:
+    each = ", ".join(f"round(median({m}), 6) AS {m}_median, round(quantile_cont({m}, 0.25), 6) AS {m}_q1, round(quantile_cont({m}, 0.75), 6) AS {m}_q3" for m in metrics)
+    return f"SELECT date_trunc('month', {at})::TIMESTAMP AS bucket_month, count(*) AS n_rows, {each} FROM ({features_sql}) WHERE {at} IS NOT NULL GROUP BY 1"
+
+
+def month_share(features_sql: str, at: str, column: str) -> str:
+    return f"""SELECT b AS bucket_month, c AS _category, count(*) AS n_in_category, CAST(sum(count(*)) OVER (PARTITION BY b) AS BIGINT) AS n_in_bucket, round(count(*) / sum(count(*)) OVER (PARTITION BY b), 6) AS share
+               FROM (SELECT date_trunc('month', {at})::TIMESTAMP AS b, coalesce(nullif({column}, ''), '(null)') AS c FROM ({features_sql}) WHERE {at} IS NOT NULL) GROUP BY b, c"""
+
+
+def candidates(at: str, latin: str, chars: int = 12_000) -> str:
+    """CTEs up to ``cand``: the cheap features of each transcript with a readable time."""
+    wing = chars // 3
+    windows = f"CASE WHEN length(t) <= {chars} THEN t ELSE substr(t, 1, {wing}) || substr(t, CAST(greatest(0, floor(length(t) / 2) - {wing // 2}) AS BIGINT) + 1, {wing}) || substr(t, length(t) - {wing - 1}, {wing}) END"
+    classes = {
+        "cyrillic": r"[\x{0400}-\x{052F}]", "latin": latin, "cjk": r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{065F}\x{066A}-\x{06EF}\x{06FA}-\x{07BF}\x{07CA}-\x{08FF}]",
+        "nd": r"\p{Nd}", "letters": r"\p{L}", "in_cyrillic": r"[\x{0400}-\x{0481}\x{048A}-\x{052F}]",
+    }
+    hits = ", ".join(f"struct_pack(n := {' + '.join(f'CAST(contains(low, {_q(w)}) AS INT)' for w in words)}, c := '{c}')" for c, words in category.KEYWORDS.items())
+    words = r"\p{L}{2,}(?:['-]\p{L}+)?"
+    share = {k: f"{k} / total" for k in ("cyrillic", "latin", "cjk", "arabic")}
+    best = f"greatest({', '.join(share.values())})"
+    named = " ".join(f"WHEN {v} = {best} AND {best} > 0 THEN '{k}_dominant'" for k, v in share.items())
+    return rf"""
+    cand_base AS (SELECT DISTINCT ON (trim(id)) trim(id) AS transcript_id, strftime({at}, '%Y-%m') AS month, trim(created_at) AS created_at, coalesce(transcription_text, '') AS t FROM sample_multiline WHERE {at} IS NOT NULL),
+    cand_text AS (SELECT *, {windows} AS s, lower({windows}) AS low, regexp_replace(t, '\r\n|[\r\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS l FROM cand_base),
+    cand_counts AS (SELECT *, list_transform(regexp_extract_all(l, '(?im)^\s*\[?\s*(SPEAKER_\d+|SPEAKER_[A-Z]{{1,3}})\s*\]?\s*$', 1), lambda x: upper(x)) AS heads, {count('l', r"\[\s*" + CLOCK + r"\s*[-–—]\s*" + CLOCK + r"\s*\]|(?m:^)\s*" + CLOCK + r"\s*[-–—]\s*" + CLOCK + ":")} AS n_times,
+      {count('l', r"(?m)^-{20,}\s*$")} AS n_separators, {count('t', words)} AS total_tokens, {', '.join(f'{count("s", p)} AS {k}' for k, p in classes.items())},
+      coalesce(({count('s', '[' + chr(92) + 'p{C}' + chr(92) + 'p{Z}]')} - {count('s', '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}) / nullif(length(s), 0), 0.0) AS nonprintable_ratio, {count('s', chr(0xFFFD))} AS unicode_replacement_count FROM cand_text),
+    cand_runs AS (SELECT transcript_id, sum(n) FILTER (n >= 3) / sum(n) AS r FROM (SELECT transcript_id, run, any_value(x) AS x, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY transcript_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY transcript_id ORDER BY i) THEN 0 ELSE 1 END AS new
+      FROM (SELECT transcript_id, unnest(string_split(s, '')) AS x, generate_subscripts(string_split(s, ''), 1) AS i FROM cand_text WHERE s <> ''))) GROUP BY 1, 2) WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]') GROUP BY 1),
+    cand_more AS (SELECT c.*, coalesce(r, 0.0) AS repeated_char_run_ratio, len(heads) AS n_heads, len(list_distinct(heads)) AS distinct_speakers, len(list_filter(list_zip(heads[1:len(heads) - 1], heads[2:]), lambda p: p[1] <> p[2])) AS speaker_switch_count,
+      greatest(n_times, len(heads), n_separators) AS segment_count, greatest(1, cyrillic + latin + cjk + arabic + (letters - in_cyrillic - latin - cjk - arabic) + nd) AS total, list_reverse_sort([{hits}])[1] AS hit FROM cand_counts c LEFT JOIN cand_runs USING (transcript_id)),
+    cand_rates AS (SELECT *, CASE WHEN n_heads = 0 THEN 0.0 WHEN n_times = 0 THEN 1.0 ELSE greatest(0.0, (n_heads - n_times) / n_heads) END AS malformed_timestamp_ratio, speaker_switch_count / greatest(1, segment_count) AS speaker_switch_rate, speaker_switch_count > greatest(5, segment_count) AS unreasonable_speaker_churn,
+      distinct_speakers >= 2 AND speaker_switch_count >= 3 AS talk, {share['cyrillic']} >= 0.2 AND {share['latin']} >= 0.2 AS two FROM cand_more),
+    cand AS (SELECT transcript_id, month, created_at, total_tokens, distinct_speakers, speaker_switch_count, nonprintable_ratio, repeated_char_run_ratio, unicode_replacement_count, segment_count, malformed_timestamp_ratio, speaker_switch_rate, unreasonable_speaker_churn,
+      CASE WHEN two THEN 'mixed_cyrillic_latin' {named} ELSE 'unknown' END AS language, CASE WHEN two THEN least(1.0, {share['cyrillic']} + {share['latin']}) ELSE {best} END AS language_confidence,
+      CASE WHEN hit.n > 0 THEN hit.c WHEN talk THEN 'dialogue_meeting' WHEN total_tokens < 15 THEN 'short_note' WHEN total_tokens < 60 THEN 'quick_message' ELSE 'general_monologue' END AS content_category,
+      CASE WHEN hit.n > 0 THEN least(1.0, hit.n / 4) WHEN talk THEN least(1.0, ln(1 + speaker_switch_count) / ln(21)) WHEN total_tokens < 15 THEN 0.6 WHEN total_tokens < 60 THEN 0.5 ELSE 0.4 END AS category_confidence,
+      CASE WHEN total_tokens < 20 THEN 'very_short' WHEN total_tokens < 120 THEN 'short' WHEN total_tokens < 500 THEN 'medium' WHEN total_tokens < 1200 THEN 'long' ELSE 'very_long' END AS length_bin,
+      CASE WHEN distinct_speakers <= 1 THEN 'monologue_or_single_speaker' WHEN distinct_speakers > 2 THEN 'multi_speaker' WHEN segment_count < 20 THEN 'two_speaker_light' ELSE 'two_speaker_dense' END AS dialogue_bin,
+      CASE WHEN malformed_timestamp_ratio > 0.2 OR unicode_replacement_count > 0 OR nonprintable_ratio > 0.01 OR unreasonable_speaker_churn THEN 'structural_or_text_anomaly' WHEN malformed_timestamp_ratio > 0 OR repeated_char_run_ratio > 0.05 THEN 'minor_artifact_signal' ELSE 'typical' END AS quality_bin FROM cand_rates),
+    centers AS (SELECT month, coalesce(median(total_tokens), 0.0) AS center_tokens, coalesce(median(segment_count), 0.0) AS center_segments, coalesce(median(distinct_speakers), 0.0) AS center_speakers, coalesce(median(malformed_timestamp_ratio), 0.0) AS center_malformed FROM cand GROUP BY 1)"""
+
+
+def month_center(at: str, latin: str) -> str:
+    return f"WITH {candidates(at, latin)} SELECT month, center_tokens, center_segments, center_speakers, round(center_malformed, 6) AS center_malformed FROM centers"
+
+
+def sample_candidates(at: str, latin: str) -> str:
+    logs = lambda a, b: f"abs(ln(1 + {a}) - ln(1 + {b}))"
+    rounded = ("nonprintable_ratio", "repeated_char_run_ratio", "malformed_timestamp_ratio", "speaker_switch_rate", "language_confidence", "category_confidence", "center_malformed")
+    return f"""WITH {candidates(at, latin)} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}),
+      round({logs('total_tokens', 'center_tokens')} + {logs('segment_count', 'center_segments')} + 0.4 * abs(distinct_speakers - center_speakers) + 2.0 * abs(malformed_timestamp_ratio - center_malformed), 6) AS distance,
+      round(5.0 * malformed_timestamp_ratio + 0.5 * speaker_switch_rate + 3.0 * repeated_char_run_ratio + 10.0 * nonprintable_ratio + 0.5 * unicode_replacement_count + CASE WHEN unreasonable_speaker_churn THEN 2.0 ELSE 0.0 END + 0.2 * {logs('total_tokens', 'greatest(center_tokens, 1.0)')}, 6) AS anomaly
+      FROM cand JOIN centers USING (month)"""

@@ -294,8 +294,17 @@ _query("segments", oracles.SEGMENTS)(lambda s, d: _texts(s, d).select("id", F.po
 _FEATURES = oracles.features(_EXTENSION, _PARTS, _CLASSES)
 _ROUNDED = "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in layers.DOUBLES) + f") FROM ({_FEATURES})"
 _query("features", _ROUNDED)(lambda s, d: rounded(layers.add_features(_texts(s, d).select("id", "file_name", "transcription_text")).drop("transcription_text")))
-_query("features_month")(lambda s, d: aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", layers.metric_columns(True)))
-_query("content_category_share_month")(lambda s, d: aggregates.category_share(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", "content_primary_category"))
+_DATED = oracles.features(_EXTENSION, _PARTS, _CLASSES, "created_at,")
+_query("features_month", oracles.month_quantiles(_DATED, _AT, layers.metric_columns(True)))(
+    lambda s, d: rounded(aggregates.aggregate_buckets(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", layers.metric_columns(True)))
+)
+_query("content_category_share_month", oracles.month_share(_DATED, _AT, "content_primary_category"))(lambda s, d: _content_shares(s, d))
+
+
+def _content_shares(s: SparkSession, d: str) -> DataFrame:
+    return rounded(aggregates.category_share(aggregates.valid_times(layers.add_features(_texts(s, d))), "bucket_month", "content_primary_category"))
+
+
 _query(
     "separator_lines",
     r"""SELECT id, CAST(sum(len(regexp_extract_all(t, '(?m)^-{20,}[ \t]*$'))) AS BIGINT) AS n FROM (SELECT id, replace(replace(coalesce(transcription_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM sample_multiline) GROUP BY 1""",
@@ -344,8 +353,8 @@ _query(
     rf"""WITH t AS (SELECT DISTINCT ON (trim(id)) trim(id) AS transcript_id, len(regexp_extract_all(coalesce(transcription_text, ''), '\p{{L}}{{2,}}(?:[''-]\p{{L}}+)?')) AS n FROM sample_multiline WHERE {_AT_TRIMMED} IS NOT NULL)
          SELECT transcript_id, CAST(n AS BIGINT) AS total_tokens, CASE WHEN n < 20 THEN 'very_short' WHEN n < 120 THEN 'short' WHEN n < 500 THEN 'medium' WHEN n < 1200 THEN 'long' ELSE 'very_long' END AS length_bin FROM t""",
 )(lambda s, d: sampling.candidates(_texts(s, d)).select("transcript_id", "total_tokens", "length_bin"))
-_query("sample_candidates")(lambda s, d: sampling.scored(stash(sampling.candidates(_texts(s, d)), "candidates")))
-_query("month_center")(lambda s, d: sampling.month_center(sampling.candidates(_texts(s, d))))
+_query("sample_candidates", oracles.sample_candidates(_AT_TRIMMED, _CLASSES["latin"]))(lambda s, d: rounded(sampling.scored(stash(sampling.candidates(_texts(s, d)), "candidates"))))
+_query("month_center", oracles.month_center(_AT_TRIMMED, _CLASSES["latin"]))(lambda s, d: rounded(sampling.month_center(sampling.candidates(_texts(s, d)))))
 
 
 def _sample(s: SparkSession, d: str) -> DataFrame:
