@@ -65,6 +65,14 @@ def p4_days(spark: SparkSession, d: str) -> DataFrame:
     return _as_times(percentiles.quantiles(percentiles.regroup(days, F.substring("grp", 1, 7)), QUANTILES), "month")
 
 
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of ``p3_quality`` that SQL can count too, rounded, and two of the published rules."""
+    names = ("mean_word_length", "symbol_ratio", "punctuated_share", "ellipsis_share", "letter_share", "common_share")
+    found = quality.text_quality(_transcripts(spark, d), _common(spark, d)).dropDuplicates(["id"])
+    rules = [F.array_contains("reasons", r).alias(r) for r in ("too_few_words", "no_common_words")]
+    return found.select("id", "n_words", "n_lines", "n_common", *[F.round(c, 6).alias(c) for c in names], *rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: language.mislabelled(_transcripts(s, d), _read(s, d, "feature_rows"), _language_model(s, d), _common(s, d)),
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_segments": lambda s, d: language.segments(_labelled(s, d)),
         "p3_found": lambda s, d: quality.junk_transcripts(_transcripts(s, d), _common(s, d)),
         "p3_quality": lambda s, d: quality.text_quality(_transcripts(s, d), _common(s, d)).dropDuplicates(["id"]),
+        "p3_statistics": p3_statistics,
         "p4_percentiles": p4_percentiles,
         "p4_days": p4_days,
         "p5_found": lambda s, d: pii.personal_information(_transcripts(s, d)),
@@ -80,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_turns": lambda s, d: turns.speaker_turns(_transcripts(s, d), _common(s, d)),
         "p6_templates": lambda s, d: turns.mine(_transcripts(s, d)),
         "p7_found": lambda s, d: repetition.repetitive(_transcripts(s, d)),
-        "p7_shares": lambda s, d: repetition.repetition_report(_transcripts(s, d)),
+        "p7_shares": lambda s, d: repetition.repetition_report(_transcripts(s, d)).withColumn("repeated_share", F.round("repeated_share", 6)),
         "p7_lines": lambda s, d: repetition.line_frequency(_read(s, d, "sample_multiline")),
         "p8_ids": lambda s, d: tokens.token_ids(_documents(s, d)),
         "p9_mix": lambda s, d: mixing.mix(mixing.sized(_documents(s, d)), _read(s, d, "mix_targets")),
