@@ -58,6 +58,16 @@ def modes_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda m: ~m.isin("", "none", "excerpt_limited"))
 
 
+def number(text: Column) -> Column:
+    """Text as a number; null and blank text is 0. Other text that is no number is null."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(0.0)).otherwise(F.trim(text).try_cast("double"))
+
+
+def whole(value: Column) -> Column:
+    """A number rounded half to even; null is 0."""
+    return F.bround(F.coalesce(value, F.lit(0.0)), 0).cast("bigint")
+
+
 def normalised_mode(mode: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(mode)), r"[\s-]+", "_")
 

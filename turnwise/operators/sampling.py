@@ -8,6 +8,7 @@ of rows or the number of tasks. Every step is a window over (month, stratum) wit
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -153,9 +154,15 @@ def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", t
     return full.groupBy("transcript_id").agg(F.min_by(F.struct(*rest), F.struct("_rank", *rest)).alias("_r")).select("transcript_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def excluded_ids(tables: list[DataFrame]) -> DataFrame:
+    """The ids of several tables (column transcript_id) once each, trimmed; null and blank ids are left out."""
+    ids = functools.reduce(DataFrame.union, [t.select(F.trim("transcript_id").alias("transcript_id")) for t in tables])
+    return ids.filter("transcript_id <> ''").distinct()
+
+
 def exclude(df: DataFrame, excluded: DataFrame, key: str = "transcript_id") -> DataFrame:
     """Rows whose id is in none of the given ids (trimmed; null and blank ids exclude nothing)."""
-    ids = excluded.select(F.trim("transcript_id").alias(key)).filter(F.col(key) != "").distinct()
+    ids = excluded_ids([excluded]).withColumnRenamed("transcript_id", key)
     return df.join(ids, key, "left_anti")
 
 

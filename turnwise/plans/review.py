@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +26,7 @@ def build_sample(spark: SparkSession, transcripts: DataFrame, out: str, *, per_m
     if filters and not exact:
         found = found.filter(sampling.language_matches(F.col("language"), filters))
     if excluded:
-        ids = [files.read_csv(spark, path).select("transcript_id") for path in excluded]
-        found = sampling.exclude(found, functools.reduce(DataFrame.union, ids))
+        found = sampling.exclude(found, sampling.excluded_ids([files.read_csv(spark, path) for path in excluded]))
     chosen = sampling.with_excerpts(sampling.stratified_sample(found, per_month, seed), rows, max_chars)
     files.write_text(files.join(out, "llm_judge_prompt.md"), report.packet(chosen, seed, per_month, max_chars))
     index = chosen.select(*[F.col(c).cast("string").alias(c) for c in INDEX]).orderBy("month", "transcript_id")

@@ -15,7 +15,7 @@ from turnwise.functions import text as T
 from turnwise.functions.dates import parse_created_at
 from turnwise.operators import aggregates, category, judge, layers, raw_summary, reshape, sampling, segments, skew, trends
 from turnwise.operators.language import detect
-from turnwise.session import shared_dir, spread, stash
+from turnwise.session import scratch, spread, stash
 from turnwise.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,11 +458,128 @@ _query("exact_language")(lambda s, d: trends.exact_language(_texts(s, d), ["ru",
 # ---- files ----
 
 
-@_query("csv_round_trip", "SELECT id, count(*) AS n, count(transcription_text) FILTER (transcription_text <> '') AS with_text FROM sample_multiline GROUP BY 1")
+_COUNTED = "SELECT id, count(*) AS n, count(transcription_text) FILTER (transcription_text <> '') AS with_text FROM sample_multiline GROUP BY 1"
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("transcription_text") != "").alias("with_text"))
+
+
+def _as_csv(df: DataFrame, what: str = "csv") -> str:
+    """The table as CSV with quoted line ends; the place it went to."""
+    path = scratch(df.sparkSession, what)
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _in_order(s: SparkSession, d: str) -> DataFrame:
+    """One row per id, in one file and in the order of the ids."""
+    return _read(s, d).groupBy("id").agg(F.min("created_at").alias("created_at")).withColumn("transcription_text", F.lit("a\nb")).orderBy("id").coalesce(1)
+
+
+@_query("csv_round_trip", _COUNTED)
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """The transcripts written as CSV with quoted line ends and read back."""
-    import uuid
+    return _counted(files.require_columns(files.read_csv(s, _as_csv(_read(s, d)))))
+
+
+@_query("csv_marked_header", "SELECT 'id' AS first_column, count(*) AS n FROM sample_multiline")
+def _csv_marked_header(s: SparkSession, d: str) -> DataFrame:
+    """A CSV whose header starts with a byte order mark."""
+    df = files.read_csv(s, _as_csv(_read(s, d).withColumnRenamed("id", "\ufeffid")))
+    return df.agg(F.lit(df.columns[0]).alias("first_column"), F.count("id").alias("n"))
+
+
+@_query("csv_first_rows", "SELECT DISTINCT id FROM sample_multiline ORDER BY id LIMIT 250")
+def _csv_first_rows(s: SparkSession, d: str) -> DataFrame:
+    """The row cap of the batch run."""
+    return files.read_csv(s, _as_csv(_in_order(s, d)), 250).select("id")
+
+
+@_query("csv_row_numbers", "SELECT id, row_number() OVER (ORDER BY id) AS source_row_number FROM (SELECT DISTINCT id FROM sample_multiline)")
+def _csv_row_numbers(s: SparkSession, d: str) -> DataFrame:
+    return files.with_row_number(files.read_csv(s, _as_csv(_in_order(s, d)))).select("id", "source_row_number")
+
+
+@_query("csv_logical_rows", "SELECT count(*) AS n FROM sample_multiline")
+def _csv_logical_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a CSV whose cells hold line ends."""
+    return s.createDataFrame([(files.logical_rows(s, _as_csv(_read(s, d))),)], "n bigint")
+
+
+@_query("missing_columns", "SELECT unnest(['created_at', 'transcription_text']) AS missing")
+def _missing_columns(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(c,) for c in files.missing_columns(_read(s, d).select("id"))], "missing string")
 
-    path = f"{shared_dir(s)}/turnwise/csv-{uuid.uuid4().hex}"
-    _read(s, d).write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return files.require_columns(files.read_csv(s, path)).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("transcription_text") != "").alias("with_text"))
+
+@_query("staged_csv", _COUNTED)
+def _staged_csv(s: SparkSession, d: str) -> DataFrame:
+    """CSV to Parquet without features."""
+    path = scratch(s, "staged")
+    files.stage_csv(s, _as_csv(_read(s, d)), path)
+    return _counted(files.read_source(s, path))
+
+
+@_query("parquet_parts", _COUNTED)
+def _parquet_parts(s: SparkSession, d: str) -> DataFrame:
+    """Parts of at most 1,000 rows, read back from their folder."""
+    path = scratch(s, "parts")
+    files.write_parts(_read(s, d), path, 1000)
+    return _counted(files.read_source(s, path))
+
+
+@_query("merged_rows", _COUNTED)
+def _merged_rows(s: SparkSession, d: str) -> DataFrame:
+    """All rows as one file."""
+    path = scratch(s, "merged") + ".parquet"
+    files.write_merged(_read(s, d), path, 1)
+    return _counted(files.read_source(s, path))
+
+
+@_query("json_lines", _COUNTED)
+def _json_lines(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "lines")
+    files.write_jsonl(_read(s, d), path)
+    return _counted(s.read.schema(_read(s, d).schema).json(path))
+
+
+@_query("both_sinks", "SELECT sink, _category, n FROM (SELECT coalesce(nullif(layer_b_primary_language, ''), '(null)') AS _category, count(*) AS n FROM feature_rows WHERE created_at_parsed IS NOT NULL GROUP BY 1), (SELECT unnest(['csv', 'parquet']) AS sink)")
+def _both_sinks(s: SparkSession, d: str) -> DataFrame:
+    """An aggregate written as Parquet and CSV, both read back."""
+    path = scratch(s, "both")
+    counts = reshape.category_totals(_month_shares(s, d)).select("_category", F.col("total").alias("n"))
+    files.write_both(counts, path)
+    csv = files.read_csv(s, f"{path}.csv").select(F.lit("csv").alias("sink"), F.col("_category"), F.col("n").cast("bigint").alias("n"))
+    return csv.unionByName(s.read.parquet(f"{path}.parquet").select(F.lit("parquet").alias("sink"), "_category", "n"))
+
+
+# ---- filters, labels and numbers ----
+
+_CAND = oracles.candidates(_AT_TRIMMED, _CLASSES["latin"])
+_query("language_filter", f"WITH {_CAND} SELECT transcript_id FROM cand WHERE language IN ('ru', 'cyrillic_dominant', 'mixed_cyrillic_latin')")(
+    lambda s, d: sampling.candidates(_texts(s, d)).filter(sampling.language_matches(F.col("language"), sampling.language_filters("Russian, RUS"))).select("transcript_id")
+)
+_query("dialogue_bins", f"WITH {_CAND} SELECT dialogue_bin, count(*) AS n FROM cand GROUP BY 1")(lambda s, d: sampling.candidates(_texts(s, d)).groupBy("dialogue_bin").agg(F.count("*").alias("n")))
+_query("quality_bins", f"WITH {_CAND} SELECT quality_bin, count(*) AS n FROM cand GROUP BY 1")(lambda s, d: sampling.candidates(_texts(s, d)).groupBy("quality_bin").agg(F.count("*").alias("n")))
+_query(
+    "exclusion_union",
+    "SELECT DISTINCT trim(transcript_id) AS transcript_id FROM (SELECT transcript_id FROM excluded_ids UNION ALL SELECT transcript_id FROM judge_index) WHERE trim(transcript_id) <> ''",
+)(lambda s, d: sampling.excluded_ids([_read(s, d, "excluded_ids"), _read(s, d, "judge_index")]))
+_query("failure_mode_names", f"SELECT CASE failure_mode WHEN 'coarse_timestamps' THEN 'Coarse timestamps' ELSE failure_mode END AS failure_mode, count(*) AS n FROM ({_MODE_ROWS}) GROUP BY 1")(
+    lambda s, d: trends.renamed_modes(judge.failure_modes(_flat(s, d)), {"coarse_timestamps": "Coarse timestamps"}).groupBy("failure_mode").agg(F.sum("count").alias("n"))
+)
+_query(
+    "normalised_modes",
+    "SELECT regexp_replace(lower(trim(m)), '[\\s-]+', '_', 'g') AS mode, count(*) AS n FROM (SELECT unnest(primary_failure_modes) AS m FROM judge_scores) WHERE m IS NOT NULL GROUP BY 1",
+)(lambda s, d: _read(s, d, "judge_scores").select(F.explode("primary_failure_modes").alias("m")).filter("m IS NOT NULL").groupBy(judge.normalised_mode(F.col("m")).alias("mode")).agg(F.count("*").alias("n")))
+_query(
+    "metric_texts",
+    "SELECT metric, count(*) AS n, bool_or(metric = 'layer_a_segment_count') AS described FROM (SELECT DISTINCT telegram_user_internal_id, date_trunc('month', created_at_parsed) AS m FROM feature_rows WHERE created_at_parsed IS NOT NULL), (SELECT unnest(['layer_a_segment_count', 'layer_b_total_tokens']) AS metric) GROUP BY 1",
+)(
+    lambda s, d: trends.describe(
+        aggregates.quantiles_long(_features(s, d), ["telegram_user_internal_id", "bucket_month"], ["layer_a_segment_count", "layer_b_total_tokens"]), [{"name": "layer_a_segment_count", "description": "segments"}]
+    ).groupBy("metric").agg(F.count("*").alias("n"), F.max(F.col("description").isNotNull()).alias("described"))
+)
+_query("safe_numbers", "SELECT transcript_id, coalesce(try_cast(trim(transcription_quality_score::VARCHAR) AS DOUBLE), 0.0) AS score, CAST(round_even(coalesce(judge_confidence / 2.0, 0.0), 0) AS BIGINT) AS half FROM judge_scores")(
+    lambda s, d: _read(s, d, "judge_scores").select("transcript_id", judge.number(F.col("transcription_quality_score").cast("string")).alias("score"), judge.whole(F.col("judge_confidence") / 2.0).alias("half"))
+)

@@ -47,12 +47,18 @@ def stash(df: DataFrame, what: str = "stage") -> DataFrame:
     The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnwise/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/turnwise/{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with this package on the Python path of the workers, wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
