@@ -112,8 +112,11 @@ def metric_columns(with_b: bool = True) -> list[str]:
     return [f"layer_a_{c}" for c in LAYER_A] + (list(LAYER_B_NUMERIC) if with_b else [])
 
 
-def add_features(df: DataFrame, text: str = "transcription_text", file_name: str | None = "file_name", with_b: bool = True, languages: dict[str, list[str]] | None = None, max_chars: int = 4000) -> DataFrame:
-    """``df`` with the layer A and, if asked for, layer B columns. Booleans become 0 and 1. Other columns pass through."""
+def add_features(df: DataFrame, text: str = "transcription_text", file_name: str | None = "file_name", with_b: bool = True, languages: dict[str, list[str]] | None = None, max_chars: int = 0) -> DataFrame:
+    """``df`` with the layer A and, if asked for, layer B columns. Booleans become 0 and 1. Other columns pass through.
+
+    Languages are told from whole texts, or from samples of ``max_chars`` characters if that is positive.
+    """
     out = df.withColumn("_segs", parse_segments(F.col(text)))
     out = out.withColumns({f"layer_a_{k}": v for k, v in layer_a(F.col("_segs"), F.col(text)).items()})
     if with_b:

@@ -19,7 +19,7 @@ NOISE = r"(?iU)\b(?:ээ+|мм+|uh+|um+|aaa+|ага+)\b|\[(?:noise|music|silence
 PLACEHOLDER = r"(?iU)\b(?:тест|test|sample|пример|пусто|без текста)\b"
 SPEAKER = r"(?U)\[?SPEAKER_\d{2}\]?"
 TIMES = r"(?U)\[\d{2}:\d{2}:\d{2}\s*-\s*\d{2}:\d{2}:\d{2}\]|\d{2}:\d{2}:\d{2}\s*-\s*\d{2}:\d{2}:\d{2}\s*:"
-TOKENS_A_ROW, MAX_TOKEN = 200, 25
+MAX_TOKEN = 25
 FLAGS = ("has_speaker", "has_timestamp", "malformed", "noise", "empty", "placeholder")
 
 
@@ -50,11 +50,12 @@ def dominance(cyr: Column, lat: Column) -> Column:
     return F.when(cyr > 1.3 * lat, "cyr").when(lat > 1.3 * cyr, "lat").otherwise("mixed")
 
 
-def raw_rows(df: DataFrame, created_at: str = "created_at", text: str = "transcription_text") -> DataFrame:
-    """Rows with a readable time: month, flags, counts, labels, primary label and counted words."""
+def raw_rows(df: DataFrame, created_at: str = "created_at", text: str = "transcription_text", tokens_a_row: int | None = None) -> DataFrame:
+    """Rows with a readable time: month, flags, counts, labels, primary label and counted words (all, or the first ``tokens_a_row``)."""
     at = parse_created_at(F.col(created_at), trim=True)
     rows = df.select(month_key(at).alias("month"), F.coalesce(text, F.lit("")).alias("_t")).filter(F.col("month").isNotNull())
-    kept = F.slice(F.filter(raw_tokens(F.col("_t")), lambda w: ~w.isin(STOPWORDS) & (F.length(w) <= MAX_TOKEN)), 1, TOKENS_A_ROW)
+    kept = F.filter(raw_tokens(F.col("_t")), lambda w: ~w.isin(STOPWORDS) & (F.length(w) <= MAX_TOKEN))
+    kept = kept if tokens_a_row is None else F.slice(kept, 1, tokens_a_row)
     rows = rows.withColumns(quality_flags(F.col("_t"))).withColumns({"labels": raw_labels(F.col("_t")), "words": kept})
     return rows.withColumns({"primary_label": raw_primary(F.col("_t"), F.col("labels")), "dominance": dominance(F.col("cyr"), F.col("lat"))}).drop("_t")
 
@@ -83,7 +84,7 @@ def label_hits(rows: DataFrame, keys: list[str] | None = None, k: int = 10) -> D
 
 
 def frequent_words(rows: DataFrame, keys: list[str] | None = None, k: int = 12) -> DataFrame:
-    """The k most frequent words (of the first words of each row, stop words left out)."""
+    """The k most frequent words (stop words left out)."""
     return top_k(rows.select(*(keys or []), F.explode("words").alias("word")).groupBy(*(keys or []), "word").agg(F.count("*").alias("n")), "word", k, keys)
 
 

@@ -26,7 +26,6 @@ TIMES = rf"\[\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}\s*\]|(?m:^)\s*{_CLOCK}\s*[-–
 SPEAKERS = r"(?im)^\s*\[?\s*(SPEAKER_\d+|SPEAKER_[A-Z]{1,3})\s*\]?\s*$"
 SEPARATORS = r"(?m)^-{20,}\s*$"
 WORDS = r"\p{L}{2,}(?:['-]\p{L}+)?"
-SAMPLE_CHARS = 12_000
 
 # fixed values: other names of language filters
 LANGUAGE_ALIASES = {"russian": "ru", "rus": "ru", "ru-ru": "ru", "cyrillic": "cyrillic_dominant", "cyrillic-heavy": "cyrillic_dominant"}
@@ -46,7 +45,10 @@ def quality_bin(malformed: Column, replaced: Column, nonprintable: Column, churn
     return F.when(bad, "structural_or_text_anomaly").when((zero(malformed) > 0) | (zero(runs) > 0.05), "minor_artifact_signal").otherwise("typical")
 
 
-def windows_sample(text: Column, max_chars: int = SAMPLE_CHARS) -> Column:
+def windows_sample(text: Column, max_chars: int) -> Column:
+    """The whole text or, with a positive ``max_chars``, three windows of a longer one."""
+    if max_chars <= 0:
+        return text
     wing = max_chars // 3
     start = F.greatest(F.lit(0), F.floor(F.length(text) / 2) - wing // 2).cast("int")
     return F.when(F.length(text) <= max_chars, text).otherwise(F.concat(F.substring(text, 1, wing), F.substring(text, start + 1, F.lit(wing)), F.right(text, F.lit(wing))))
@@ -108,15 +110,17 @@ def _identified(df: DataFrame, key: str, created_at: str, text: str) -> DataFram
     )
 
 
-def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", text: str = "transcription_text") -> DataFrame:
+def candidates(df: DataFrame, key: str = "id", created_at: str = "created_at", text: str = "transcription_text", sample_chars: int = 0) -> DataFrame:
     """Rows with a readable time as candidates: transcript_id, month, created_at, cheap features and strata.
 
+    Scripts, categories and oddities are told from whole texts, or from windows of ``sample_chars`` characters if that is positive.
+
     A missing id falls back to the row's place. Of rows of one id the one with the least hash of its content stays; texts are not
     shuffled for that.
     """
     base = _identified(df, key, created_at, text)
     heads = F.transform(F.regexp_extract_all("text", F.lit(SPEAKERS), 1), lambda x: F.upper(x))
-    base = base.withColumns({"_rank": F.xxhash64("created_at", "text"), "_sample": windows_sample(F.col("text")), "_heads": heads, "n_times": T.count(F.col("text"), TIMES), "n_separators": T.count(F.col("text"), SEPARATORS), "total_tokens": T.count(F.col("text"), WORDS)})
+    base = base.withColumns({"_rank": F.xxhash64("created_at", "text"), "_sample": windows_sample(F.col("text"), sample_chars), "_heads": heads, "n_times": T.count(F.col("text"), TIMES), "n_separators": T.count(F.col("text"), SEPARATORS), "total_tokens": T.count(F.col("text"), WORDS)})
     before, after = F.slice("_heads", 1, F.greatest(F.size("_heads") - 1, F.lit(0))), F.slice("_heads", 2, F.greatest(F.size("_heads") - 1, F.lit(0)))
     base = base.withColumns(
         {

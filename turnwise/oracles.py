@@ -88,6 +88,8 @@ LAYER_A_ROWS = f"""
 
 
 def sample(t: str, n: int) -> str:
+    if n <= 0:
+        return t
     wing = n // 3
     mid = n - 2 * wing
     return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE substr({t}, 1, {wing}) || substr({t}, CAST(greatest(0, floor((length({t}) - {mid}) / 2)) AS BIGINT) + 1, {mid}) || substr({t}, length({t}) - {wing - 1}, {wing}) END"
@@ -104,7 +106,7 @@ def language_rows(source: str, key: str, text: str) -> str:
         words = ", ".join(_q(w) for w in table[iso])
         counted.append(f"('{iso}', greatest({there} / greatest(cyrillic + latin, 1) * (0.05 + 2 * (len(list_filter(words, lambda w: w IN ({words}))) / greatest(len(words), 1)) + 2 * (CASE WHEN {there} > 0 THEN {own} ELSE 0 END) / greatest(cyrillic + latin, 1)), 0.0))")
     return rf"""
-    lang_low AS (SELECT {key}, lower({sample(text, 4000)}) AS low FROM {source}),
+    lang_low AS (SELECT {key}, lower({text}) AS low FROM {source}),
     lang_count AS (SELECT *, {chars_of('low', '[' + chr(92) + 'p{Cyrillic}]+')} AS cyrillic, {chars_of('low', '[' + chr(92) + 'p{Latin}]+')} AS latin, regexp_extract_all(low, '\p{{L}}+') AS words FROM lang_low),
     lang_each AS (SELECT {key}, cyrillic, latin, unnest([{', '.join(f"struct_pack(iso := {c[1:c.index(',')]}, score := {c[c.index(',') + 2:-1]})" for c in counted)}]) AS s FROM lang_count),
     lang_rank AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s.score DESC, s.iso DESC) AS r, sum(s.score) OVER (PARTITION BY {key}) AS total FROM lang_each),
@@ -237,10 +239,10 @@ def month_share(features_sql: str, at: str, column: str) -> str:
                FROM (SELECT date_trunc('month', {at})::TIMESTAMP AS b, coalesce(nullif({column}, ''), '(null)') AS c FROM ({features_sql}) WHERE {at} IS NOT NULL) GROUP BY b, c"""
 
 
-def candidates(at: str, latin: str, chars: int = 12_000) -> str:
+def candidates(at: str, latin: str, chars: int = 0) -> str:
     """CTEs up to ``cand``: the cheap features of each transcript with a readable time."""
     wing = chars // 3
-    windows = f"CASE WHEN length(t) <= {chars} THEN t ELSE substr(t, 1, {wing}) || substr(t, CAST(greatest(0, floor(length(t) / 2) - {wing // 2}) AS BIGINT) + 1, {wing}) || substr(t, length(t) - {wing - 1}, {wing}) END"
+    windows = "t" if chars <= 0 else f"CASE WHEN length(t) <= {chars} THEN t ELSE substr(t, 1, {wing}) || substr(t, CAST(greatest(0, floor(length(t) / 2) - {wing // 2}) AS BIGINT) + 1, {wing}) || substr(t, length(t) - {wing - 1}, {wing}) END"
     classes = {
         "cyrillic": r"[\x{0400}-\x{052F}]", "latin": latin, "cjk": r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{065F}\x{066A}-\x{06EF}\x{06FA}-\x{07BF}\x{07CA}-\x{08FF}]",
         "nd": r"\p{Nd}", "letters": r"\p{L}", "in_cyrillic": r"[\x{0400}-\x{0481}\x{048A}-\x{052F}]",

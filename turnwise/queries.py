@@ -119,20 +119,29 @@ def _month_shares(s: SparkSession, d: str) -> DataFrame:
     return aggregates.category_share(_features(s, d), "bucket_month", "layer_b_primary_language")
 
 
-_PIVOTED = ("ru", "en", "uk", "de", "pl", "be", "(null)")
+_PIVOTED = ("ru", "en", "uk", "de", "pl", "be", "(null)", "(other)")
+_FOLDED = f"SELECT bucket_month, CASE WHEN _category IN ({', '.join(repr(c) for c in _PIVOTED)}) THEN _category ELSE '(other)' END AS _category, sum(share) AS share FROM ({_SHARES}) GROUP BY 1, 2"
+
+
+def _folded_shares(s: SparkSession, d: str) -> DataFrame:
+    """Monthly shares with all languages outside the columns of the pivot as ``(other)``."""
+    named = F.when(F.col("_category").isin(*_PIVOTED), F.col("_category")).otherwise("(other)")
+    return _month_shares(s, d).groupBy("bucket_month", named.alias("_category")).agg(F.sum("share").alias("share"))
+
+
 _query(
     "share_pivot",
-    "SELECT bucket_month, " + ", ".join(f"coalesce(max(round(share, 6)) FILTER (_category = '{c}'), 0.0) AS \"{c}\"" for c in _PIVOTED) + f" FROM ({_SHARES}) GROUP BY 1",
-)(lambda s, d: rounded(reshape.share_pivot(_month_shares(s, d), "bucket_month", list(_PIVOTED))))
+    "SELECT bucket_month, " + ", ".join(f"coalesce(max(round(share, 6)) FILTER (_category = '{c}'), 0.0) AS \"{c}\"" for c in _PIVOTED) + f" FROM ({_FOLDED}) GROUP BY 1",
+)(lambda s, d: rounded(reshape.share_pivot(_folded_shares(s, d), "bucket_month", list(_PIVOTED))))
 _query(
     "share_pivot_percent",
-    "SELECT bucket_month, " + ", ".join(f"coalesce(max(round_even(share * 100, 2)) FILTER (_category = '{c}'), 0.0) AS \"{c}\"" for c in _PIVOTED) + f" FROM ({_SHARES}) GROUP BY 1",
-)(lambda s, d: rounded(reshape.share_pivot(_month_shares(s, d), "bucket_month", list(_PIVOTED), percent=True)))
+    "SELECT bucket_month, " + ", ".join(f"coalesce(max(round_even(share * 100, 2)) FILTER (_category = '{c}'), 0.0) AS \"{c}\"" for c in _PIVOTED) + f" FROM ({_FOLDED}) GROUP BY 1",
+)(lambda s, d: rounded(reshape.share_pivot(_folded_shares(s, d), "bucket_month", list(_PIVOTED), percent=True)))
 _query(
     "topk_plus_other",
     f"""WITH s AS ({_SHARES}), r AS (SELECT _category, row_number() OVER (ORDER BY sum(share) DESC, _category) AS n FROM s GROUP BY 1)
-        SELECT bucket_month, CASE WHEN n <= 3 THEN _category ELSE '(other languages)' END AS _category, round(sum(share), 6) AS share FROM s JOIN r USING (_category) GROUP BY 1, 2""",
-)(lambda s, d: rounded(reshape.top_categories_and_other(_month_shares(s, d), "bucket_month", 3)))
+        SELECT bucket_month, CASE WHEN n <= 12 THEN _category ELSE '(other languages)' END AS _category, round(sum(share), 6) AS share FROM s JOIN r USING (_category) GROUP BY 1, 2""",
+)(lambda s, d: rounded(reshape.top_categories_and_other(_month_shares(s, d), "bucket_month", 12)))
 _query("category_totals", f"SELECT _category, CAST(sum(n_in_category) AS BIGINT) AS total FROM ({_SHARES}) GROUP BY 1")(lambda s, d: reshape.category_totals(_month_shares(s, d)))
 _query(
     "share_spans",
@@ -170,11 +179,11 @@ _query("parse_created_at", f"SELECT id, {_AT} AS created_at_parsed FROM sample_m
 
 _PCT = ", ".join(f"round(quantile_cont({DURATION}, {q}), 6) AS p{round(q * 100):02d}" for q in aggregates.PERCENTILES)
 _SUMMARY = f"count(*) AS n, round(avg({DURATION}), 6) AS mean, round(median({DURATION}), 6) AS median, round(var_pop({DURATION}), 3) AS variance, round(stddev_pop({DURATION}), 6) AS stddev, round(min({DURATION}), 6) AS min, round(max({DURATION}), 6) AS max, {_PCT}"
-_SANE = f"created_at_parsed IS NOT NULL AND {DURATION} BETWEEN 0 AND 86400"
+_SANE = f"created_at_parsed IS NOT NULL AND {DURATION} IS NOT NULL"
 
 
 def _durations(s: SparkSession, d: str) -> DataFrame:
-    return _features(s, d).filter(F.col(DURATION).between(0, 86400)).withColumn("month", F.date_format("created_at_parsed", "yyyy-MM"))
+    return _features(s, d).filter(F.col(DURATION).isNotNull()).withColumn("month", F.date_format("created_at_parsed", "yyyy-MM"))
 
 
 def _summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -206,8 +215,8 @@ _query(
 )(lambda s, d: rounded(aggregates.tail_shares(_durations(s, d), DURATION, ["month"])))
 _query(
     "median_extreme_months",
-    f"WITH m AS (SELECT strftime(created_at_parsed, '%Y-%m') AS month, median({DURATION}) AS x, count(*) AS n FROM feature_rows WHERE {_SANE} GROUP BY 1) SELECT arg_max(month, x) AS longest, arg_min(month, x) AS shortest, arg_min(month, n) AS thinnest FROM m",
-)(lambda s, d: aggregates.summary(_durations(s, d), DURATION, ["month"]).agg(F.max_by("month", "median").alias("longest"), F.min_by("month", "median").alias("shortest"), F.min_by("month", "n").alias("thinnest")))
+    f"WITH m AS (SELECT strftime(created_at_parsed, '%Y-%m') AS month, median({DURATION}) AS x, count(*) AS n FROM feature_rows WHERE {_SANE} GROUP BY 1) SELECT (SELECT month FROM m ORDER BY x DESC, month LIMIT 1) AS longest, (SELECT month FROM m ORDER BY x, month LIMIT 1) AS shortest, (SELECT month FROM m ORDER BY n, month LIMIT 1) AS thinnest",
+)(lambda s, d: aggregates.summary(_durations(s, d), DURATION, ["month"]).agg(F.min_by("month", F.struct(-F.col("median"), "month")).alias("longest"), F.min_by("month", F.struct("median", "month")).alias("shortest"), F.min_by("month", F.struct("n", "month")).alias("thinnest")))
 _query(
     "first_last_delta",
     f"WITH m AS (SELECT strftime(created_at_parsed, '%Y-%m') AS month, median({DURATION}) AS x FROM feature_rows WHERE {_SANE} GROUP BY 1) SELECT count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE round_even(arg_max(x, month) - arg_min(x, month), 3) END AS delta FROM m",
@@ -285,7 +294,7 @@ _query(
     """SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, 133) || substr(t, CAST(greatest(0, floor((length(t) - 134) / 2)) AS BIGINT) + 1, 134) || substr(t, length(t) - 132, 133) END AS sample
        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 )(lambda s, d: _read(s, d, "documents").select("doc_id", T.detection_sample(F.col("text"), 400).alias("sample")))
-_query("detect_language", oracles.DETECT)(lambda s, d: rounded(_texts(s, d, "documents").select("doc_id", detect(T.detection_sample(F.col("text"), 4000)).alias("l")).select("doc_id", "l.*")))
+_query("detect_language", oracles.DETECT)(lambda s, d: rounded(_texts(s, d, "documents").select("doc_id", detect(F.col("text")).alias("l")).select("doc_id", "l.*")))
 _query("excerpt", oracles.excerpt(1500))(lambda s, d: _read(s, d, "documents").select("doc_id", T.excerpt(F.col("text"), 1500).alias("e")).select("doc_id", "e.*"))
 
 # ---- transcripts: segments and features ----
@@ -317,7 +326,7 @@ _query("content_category", oracles.CATEGORY)(
 
 _RAW = f"SELECT strftime({_AT_TRIMMED}, '%Y-%m') AS month, lower(coalesce(transcription_text, '')) AS t FROM sample_multiline WHERE {_AT_TRIMMED} IS NOT NULL"
 _STOPPED = ", ".join(f"'{w}'" for w in raw_summary.STOPWORDS)
-_RAW_WORDS = f"SELECT month, unnest(list_slice(list_filter(regexp_extract_all(t, '[A-Za-zА-Яа-яЁёІіЇїЄє''-]{{3,}}'), lambda w: w NOT IN ({_STOPPED}) AND length(w) <= 25), 1, 200)) AS word FROM ({_RAW})"
+_RAW_WORDS = f"SELECT month, unnest(list_filter(regexp_extract_all(t, '[A-Za-zА-Яа-яЁёІіЇїЄє''-]{{3,}}'), lambda w: w NOT IN ({_STOPPED}) AND length(w) <= 25)) AS word FROM ({_RAW})"
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
@@ -449,11 +458,14 @@ _query(
                count(*) FILTER (least({_S}) >= 4) AS n_strong, count(*) FILTER (least({_S}) <= 2) AS n_low, count(*) FILTER (list_contains(string_split(primary_failure_modes, '|'), 'coarse_timestamps')) AS n_coarse
         FROM l JOIN f ON f.month = l.month GROUP BY ALL""",
 )(lambda s, d: trends.last_month_panel(_flat(s, d), judge.monthly_summaries(_flat(s, d))))
+_TEXTS = ", ".join(f"printf('%.6f', {c}) AS {c}" for c in ("mean", "median", "variance", "stddev", "min", "max", *(f"p{round(q * 100):02d}" for q in aggregates.PERCENTILES)))
+_query("duration_stats_text", f"SELECT month, n, {_TEXTS} FROM (SELECT strftime(created_at_parsed, '%Y-%m') AS month, {_SUMMARY} FROM feature_rows WHERE {_SANE} GROUP BY 1)")(
+    lambda s, d: trends.as_text(_summary(_durations(s, d), ["month"]))
+)
 _query(
-    "duration_stats_text",
-    f"SELECT strftime(created_at_parsed, '%Y-%m') AS month, count(*) AS n, printf('%.6f', avg({DURATION})) AS mean, printf('%.6f', max({DURATION})) AS max FROM feature_rows WHERE {_SANE} GROUP BY 1",
-)(lambda s, d: trends.as_text(aggregates.summary(_durations(s, d), DURATION, ["month"]).select("month", "n", "mean", "max")))
-_query("exact_language")(lambda s, d: trends.exact_language(_texts(s, d), ["ru", "uk"]).select("id", "language", "language_confidence"))
+    "exact_language",
+    f"WITH src AS (SELECT row_number() OVER () AS rid, id, coalesce(transcription_text, '') AS t FROM sample_multiline), {oracles.language_rows('src', 'rid', 't')} SELECT id, iso AS language, round(confidence, 6) AS language_confidence FROM lang JOIN src USING (rid) WHERE iso IN ('ru', 'uk') AND confidence >= 0.5",
+)(lambda s, d: rounded(trends.exact_language(_texts(s, d), ["ru", "uk"]).select("id", "language", "language_confidence")))
 
 # ---- files ----
 
