@@ -57,6 +57,45 @@ def test_run_without_users_and_without_rows(spark, tmp_path):
         files.run_folder("x", "../y")
 
 
+def test_bundle_warns_about_what_is_missing(spark, source, tmp_path):
+    pipeline.run(spark, source, str(tmp_path), run_id="b")
+    folder = str(tmp_path / "b")
+    names = {p.name for p in (tmp_path / "b" / "figures").iterdir()}
+    assert {"layer_a_segment_count_month.svg", "primary_language_share_week.svg"} <= names
+    page = (tmp_path / "b" / "report.html").read_text()
+    assert "Отчёт" in page and "Число сегментов диаризации" in page and '<rect class="n"' in page and "Доли языков" in page
+    assert (tmp_path / "b" / "research.html").is_file()
+    import shutil
+
+    shutil.rmtree(tmp_path / "b" / "aggregate_by_week.parquet")
+    assert pipeline.visual_bundle(folder, {"run_id": "b"}, buckets=("week", "year")) == ["aggregate_by_week.parquet is missing", "unknown bucket year"]
+
+
+def test_dictionary_and_names():
+    from turnwise.operators.layers import metric_columns
+    from turnwise.plans.dictionary import descriptions, dictionary
+
+    value = dictionary()
+    assert len(value["metrics"]) == 42 and set(metric_columns(True)) <= {m["name"] for m in value["metrics"]}
+    assert "диаризации" in descriptions(value)["layer_a_segment_count"] and all(m["description"] and m["description_ru"] for m in value["metrics"])
+    assert {m["layer"] for m in dictionary(False)["metrics"]} == {"A"}
+    assert report.slug("a b/c") == "a_b_c" and report.title("layer_a_segment_count") == "segment count"
+    assert report.metric_names(["x_median", "x_q1", "x_q3", "y_median"]) == ["x"]
+
+
+def test_progress_and_environment(spark, caplog):
+    from turnwise.plans import progress
+
+    assert [progress.target_rows(*x) for x in ((100, 50), (100, None), (None, 10), (None, None))] == [50, 100, 10, None]
+    assert progress.line("features", 50, 100, 10.0) == "[features] rows=50 rows_a_second=5 elapsed=10s left=50 eta=10s"
+    assert progress.pairs(a=1, b=None, c="x\ny") == "a=1 c=x y" and progress.wanted(True, True) is False
+    with progress.Tasks(spark, "x", True, 0.01):
+        spark.range(10).count()
+    assert pipeline.from_environment({"INPUT_CSV": "a.csv", "LAYER_B": "0", "PROGRESS": "1", "MAX_ROWS": "", "RUN_ID": "r"}) == ["run", "--input", "a.csv", "--run-id", "r", "--no-layer-b", "--progress"]
+    with pytest.raises(SystemExit):
+        pipeline.main(["run", "--run-id", "../x"])
+
+
 def test_durations_print():
     assert [report.format_duration(x) for x in (45, 90, 3700, -1, None, float("nan"))] == ["45s", "1m30s", "1h01m40s", "?", "?", "?"]
     assert report.line_chart([("a", None, None, None)], "x") == "" and "<svg" in report.line_chart([("a", 1.0, 0.5, 2.0), ("b", 2.0, None, None)], "x")

@@ -25,6 +25,10 @@ def test_sample_then_analysis(spark, transcripts, tmp_path):
     path.write_text(json.dumps(data).replace('\\"', '"'))
     months = review.analyze(spark, str(path), index, str(tmp_path / "a")).collect()
     assert all(r["mean_transcription_quality_score"] == 4.0 for r in months)
+    page = (tmp_path / "a" / "report.html").read_text()
+    assert "<svg" in page and "Last month" in page and "Weakest transcript" in (tmp_path / "a" / "report.md").read_text()
+    prompt = (tmp_path / "s" / "llm_judge_prompt.md").read_text()
+    assert "rubric_version" in prompt and "`judge_confidence`" in prompt and '"selection_reason"' in prompt
     assert {"joined_scores.csv", "monthly_scores.parquet", "failure_modes.csv", "report.md"} <= {p.name for p in (tmp_path / "a").iterdir()}
     again = review.build_sample(spark, transcripts, str(tmp_path / "s2"), per_month=2, excluded=[index])
     assert not {r["transcript_id"] for r in rows} & {r["transcript_id"] for r in again.collect()}

@@ -139,12 +139,18 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("selection_reason").agg(F.count("*").alias("n"))
 
 
+def _from_worst():
+    return Window.partitionBy("month").orderBy(F.col(SCORES[0]) + F.col(SCORES[1]) + F.col(SCORES[3]), F.col(SCORES[2]), F.desc("judge_confidence"), F.asc("transcript_id"), F.asc("evidence"), F.asc("primary_failure_modes"))
+
+
 def worst_of_month(rows: DataFrame) -> DataFrame:
     """The review with the lowest scores of each month."""
-    order = Window.partitionBy("month").orderBy(
-        F.col(SCORES[0]) + F.col(SCORES[1]) + F.col(SCORES[3]), F.col(SCORES[2]), F.desc("judge_confidence"), F.asc("transcript_id")
-    )
-    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    return rows.withColumn("_r", F.row_number().over(_from_worst())).filter("_r = 1").drop("_r")
+
+
+def low_examples(rows: DataFrame, k: int = 4) -> DataFrame:
+    """Of each month at most ``k`` reviews with a score of 2 or less, worst first, with their ``place``."""
+    return rows.filter(F.least(*SCORES) <= 2).withColumn("place", F.row_number().over(_from_worst())).filter(F.col("place") <= k)
 
 
 def score_deltas(summaries: DataFrame, score: str = SCORES[0]) -> DataFrame:

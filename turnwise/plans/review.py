@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.operators import aggregates, judge, raw_summary, sampling, trends
+from turnwise.operators import aggregates, judge, raw_summary, reshape, sampling, trends
 from turnwise.plans import report
 from turnwise.sources import files
 
@@ -57,7 +57,9 @@ def analyze(spark: SparkSession, judge_json: str, index_csv: str, out: str) -> D
     months, modes = judge.monthly_summaries(rows), judge.failure_modes(rows)
     for name, table in (("joined_scores", rows), ("monthly_scores", months), ("failure_modes", modes)):
         files.write_both(table, files.join(out, name))
-    files.write_text(files.join(out, "report.md"), report.judge_report(months, judge.failure_cards(rows)))
+    cards, worst = judge.failure_cards(rows), judge.worst_of_month(rows)
+    files.write_text(files.join(out, "report.md"), report.judge_report(months, cards, judge.score_deltas(months), worst, judge.top_failure_modes(rows)))
+    files.write_text(files.join(out, "report.html"), report.judge_page(months, cards, trends.last_month_panel(rows, months), worst, judge.low_examples(rows), judge.reason_counts(rows)))
     return months
 
 
@@ -73,10 +75,24 @@ def durations(parts: DataFrame, out: str, start=None, end=None, seconds: str = "
         files.write_both(trends.as_text(table), files.join(out, f"duration_{name}"))
     bins = aggregates.histogram(rows, seconds)
     files.write_both(bins, files.join(out, "duration_histogram"))
-    files.write_text(files.join(out, "durations.html"), report.duration_report(months, bins))
+    files.write_text(files.join(out, "durations.html"), report.duration_report(months, bins, aggregates.tail_shares(rows, seconds, ["month"])))
     return months
 
 
+def research(parts: DataFrame, out: str, seconds: str = "layer_a_duration_covered_seconds") -> None:
+    """The closing report over feature parts: monthly shares of languages and categories, what moves, months that stand out, durations."""
+    rows = aggregates.add_buckets(parts.filter(F.col("created_at_parsed").isNotNull())).withColumn("month", F.date_format("created_at_parsed", "yyyy-MM"))
+    shares = {c: aggregates.category_share(rows, "bucket_month", c) for c in ("layer_b_primary_language", "content_primary_category")}
+    folded = [reshape.top_categories_and_other(x, "bucket_month") for x in shares.values()]
+    months = aggregates.summary(rows, seconds, ["month"])
+    first = lambda df: (df.collect() or [None])[0]
+    stand_out = first(months.agg(F.max_by("month", F.struct("median", "month")).alias("longest"), F.min_by("month", F.struct("median", "month")).alias("shortest"), F.min_by("month", F.struct("n", "month")).alias("thinnest")))
+    mover = first(trends.biggest_mover(shares["layer_b_primary_language"], "bucket_month"))
+    facts = {f"{k} month": stand_out[k] for k in ("longest", "shortest", "thinnest")} | {"language that moves most beside Russian": mover and mover["_category"]}
+    moved = reshape.share_spans(shares["content_primary_category"], "bucket_month")
+    files.write_text(files.join(out, "research.html"), report.research_report(*folded, facts, months, moved))
+
+
 def summarize_raw(transcripts: DataFrame, to: str) -> dict:
     """The raw summary as one JSON: per month and overall figures, labels, frequent words and the trend. A row a month is collected."""
     rows = raw_summary.raw_rows(transcripts)
