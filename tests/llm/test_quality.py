@@ -96,3 +96,15 @@ def test_very_long_texts_and_empty_table(spark, rows):
     df = spark.createDataFrame([(str(i), None, None, None, None, t) for i, t in enumerate(long)], TRANSCRIPT)
     assert quality.text_quality(df, COMMON).count() == len(long)
     assert quality.text_quality(rows.limit(0), COMMON).count() == 0
+
+
+def test_parts_give_the_same_counts(monkeypatch):
+    from turnwise.llm import language, markup, repetition
+
+    texts = [t for t, _ in CASES.values()] + [None, "", PROSE * 40] * 3
+    model = language.fit([("en", PROSE), ("es", "ayer fuimos al mercado y compramos pan"), ("de", "wir haben den Plan geändert und es ist gut")])
+    whole = [quality.count(texts, quality.common_hashes(COMMON)), repetition.covered(texts), language.Scorer(model).stretches(texts)]
+    monkeypatch.setattr(markup, "PART_CHARS", 300)
+    cut = [quality.count(texts, quality.common_hashes(COMMON)), repetition.covered(texts), language.Scorer(model).stretches(texts)]
+    assert all((whole[0][f] == cut[0][f]).all() for f in quality.FIELDS)
+    assert all((a == b).all() for k in (1, 2) for a, b in zip(whole[k], cut[k]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.markup import distinct_rows, fence, spoken
+from turnwise.llm.markup import distinct_rows, fence, parts, spoken
 from turnwise.llm.quality import common_hashes, junk
 from turnwise.session import map_batches
 
@@ -142,6 +142,14 @@ class Scorer:
         self.known = np.vstack((self.known, np.array(known, dtype=float)))
 
     def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """``_stretches`` of a batch, taken in parts."""
+        found = []
+        for part in parts(texts):
+            doc, *rest = self._stretches(texts[part])
+            found.append((doc + part.start, *rest))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _stretches(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Of each stretch of one language: text number, language number, confidence, words. The number after the last stands for none of them."""
         if len(self.codes) > CACHE_WORDS:
             self.reset()

@@ -5,6 +5,8 @@ The patterns are Java regular expressions for the column helpers and, where both
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,21 @@ def spoken(text: Column) -> Column:
     return F.regexp_replace(headless(text), SOUND, " ")
 
 
+PART_CHARS = 2_000_000
+
+
+def parts(texts: list[str | None]) -> Iterator[slice]:
+    """The texts of a batch in parts of at most ``PART_CHARS`` characters (or one text), so that arrays over them stay small however long texts are."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if held and held + size > PART_CHARS:
+            yield slice(at, i)
+            at, held = i, 0
+        held += size
+    yield slice(at, len(texts))
+
+
 def fence(df: DataFrame) -> DataFrame:
     """The same rows behind a generator: filters above it are not pushed below, where they would repeat costly expressions."""
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

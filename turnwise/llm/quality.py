@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.markup import spoken
+from turnwise.llm.markup import parts, spoken
 from turnwise.session import map_batches
 
 MAX_COMMON_WORDS = 10_000

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.markup import fence, spoken
+from turnwise.llm.markup import fence, parts, spoken
 from turnwise.session import map_batches, stash
 
 RUN = 4
@@ -37,6 +37,11 @@ _CODES: dict[str, int] = {}
 
 def covered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: its words, and how many lie in runs of ``RUN`` or more words said earlier in it (case and punctuation aside)."""
+    found = [_covered(texts[part]) for part in parts(texts)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _covered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(_CODES) > CACHE_WORDS:
         _CODES.clear()
     words: list[str] = []
