@@ -28,7 +28,7 @@ def spoken(text: Column) -> Column:
     return F.regexp_replace(headless(text), SOUND, " ")
 
 
-PART_CHARS = 2_000_000
+PART_CHARS = 400_000
 
 
 def parts(texts: list[str | None]) -> Iterator[slice]:
