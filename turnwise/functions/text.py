@@ -70,26 +70,39 @@ def nonprintable_ratio(c: Column) -> Column:
     return F.coalesce(ratio(count_chars(c, r"[[\p{C}\p{Z}]&&[^ \t\n\r]]"), F.length(_text(c))), F.lit(0.0))
 
 
+LATIN = r"[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{1E00}-\x{1EFF}]"
 SCRIPTS = {
-    "digit": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]",
     "cyrillic": r"[\x{0400}-\x{052F}]",
-    "latin": r"[\p{L}&&[\x{0041}-\x{024F}\x{1E00}-\x{1EFF}]]",
+    "latin": LATIN,
+    "digit": r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]",
     "cjk": r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]",
     "arabic": r"[[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]&&[^\p{Nd}]]",
+    "other": r"\p{L}",
 }
-_OTHER = r"[\p{L}&&[^\x{0041}-\x{024F}\x{1E00}-\x{1EFF}\x{0400}-\x{052F}\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]]"
+
+
+def class_counts(c: Column, classes: dict[str, str], use) -> Column:
+    """``use`` of a struct with how many characters are of each class, every one counted for the first class it is of.
+
+    What is counted is cut out before the next class is looked for, so the rarer classes are sought in what little is left.
+    """
+    names = list(classes)
+
+    def step(left: Column, i: int, counts: list[Column]) -> Column:
+        if i == len(names):
+            return use(F.struct(*[n.alias(k) for n, k in zip(counts, names)]))
+        return bind(F.regexp_replace(left, f"{classes[names[i]]}++", ""), lambda rest: step(rest, i + 1, [*counts, (F.length(left) - F.length(rest)).cast("bigint")]))
+
+    return bind(_text(c), lambda t: step(t, 0, []))
 
 
 def script_ratios(c: Column) -> Column:
     """A struct of six shares (cyrillic, latin, cjk, arabic, digit, other) of the counted characters; all 0 if none counts."""
-    n = {name: count_chars(c, pattern) for name, pattern in (SCRIPTS | {"other": _OTHER}).items()}
-    counts = F.struct(*[v.alias(k) for k, v in n.items()])
-
     def shares(s: Column) -> Column:
-        total = sum((s[k] for k in list(n)[1:]), s["digit"])
+        total = sum((s[k] for k in list(SCRIPTS)[1:]), s["cyrillic"])
         return F.struct(*[F.coalesce(ratio(s[k], total), F.lit(0.0)).alias(k) for k in ("cyrillic", "latin", "cjk", "arabic", "digit", "other")])
 
-    return F.transform(F.array(counts), shares)[0]
+    return class_counts(c, SCRIPTS, lambda counts: bind(counts, shares))
 
 
 def tokens(c: Column) -> Column:

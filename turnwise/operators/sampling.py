@@ -56,10 +56,7 @@ def windows_sample(text: Column, max_chars: int) -> Column:
 
 def script_proxy(sample: Column) -> Column:
     """(language, confidence, mixed) by scripts only."""
-    latin = r"[\p{L}&&[\x{0041}-\x{024F}\x{1E00}-\x{1EFF}]]"
-    other = r"[\p{L}&&[^\x{0041}-\x{024F}\x{1E00}-\x{1EFF}\x{0400}-\x{052F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0600}-\x{08FF}]]"
-    n = {"cyrillic": r"[\x{0400}-\x{052F}]", "latin": latin, "cjk": r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{08FF}&&[^\p{Nd}]]", "rest": other + r"|\p{Nd}"}
-    bound = F.array(F.struct(*[T.count_chars(sample, p).alias(k) for k, p in n.items()]))
+    classes = {"cyrillic": r"[\x{0400}-\x{052F}]", "latin": T.LATIN, "cjk": r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]", "arabic": r"[\x{0600}-\x{08FF}&&[^\p{Nd}]]", "rest": r"[\p{L}\p{Nd}]"}
 
     def pick(s: Column) -> Column:
         total = F.greatest(F.lit(1), s["cyrillic"] + s["latin"] + s["cjk"] + s["arabic"] + s["rest"])
@@ -75,7 +72,7 @@ def script_proxy(sample: Column) -> Column:
             mixed.alias("mixed"),
         )
 
-    return F.transform(bound, pick)[0]
+    return T.class_counts(sample, classes, lambda counts: T.bind(counts, pick))
 
 
 def cheap_category(sample: Column, n_words: Column, speakers: Column, switches: Column) -> Column:
