@@ -37,9 +37,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+# fixed values: the characters with the Unicode property White_Space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_text(c), F.lit(WHITE))
 
 
 def split_lines(c: Column) -> Column:
