@@ -46,7 +46,7 @@ def describe(long: DataFrame, entries: list[dict]) -> DataFrame:
 
 def as_text(df: DataFrame) -> DataFrame:
     """Doubles as text with six decimals, for CSV files."""
-    return df.select(*[F.format_string("%.6f", F.bround(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.format_string("%.6f", F.bround(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def renamed_modes(df: DataFrame, names: dict[str, str], column: str = "failure_mode") -> DataFrame:

@@ -458,7 +458,7 @@ _query(
                count(*) FILTER (least({_S}) >= 4) AS n_strong, count(*) FILTER (least({_S}) <= 2) AS n_low, count(*) FILTER (list_contains(string_split(primary_failure_modes, '|'), 'coarse_timestamps')) AS n_coarse
         FROM l JOIN f ON f.month = l.month GROUP BY ALL""",
 )(lambda s, d: trends.last_month_panel(_flat(s, d), judge.monthly_summaries(_flat(s, d))))
-_TEXTS = ", ".join(f"printf('%.6f', {c}) AS {c}" for c in ("mean", "median", "variance", "stddev", "min", "max", *(f"p{round(q * 100):02d}" for q in aggregates.PERCENTILES)))
+_TEXTS = ", ".join(f"printf('%.6f', {c} + 0.0) AS {c}" for c in ("mean", "median", "variance", "stddev", "min", "max", *(f"p{round(q * 100):02d}" for q in aggregates.PERCENTILES)))
 _query("duration_stats_text", f"SELECT month, n, {_TEXTS} FROM (SELECT strftime(created_at_parsed, '%Y-%m') AS month, {_SUMMARY} FROM feature_rows WHERE {_SANE} GROUP BY 1)")(
     lambda s, d: trends.as_text(_summary(_durations(s, d), ["month"]))
 )
