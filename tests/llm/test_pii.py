@@ -67,6 +67,11 @@ def test_contexts_and_names_are_learned_from_the_table(transcripts):
     assert text["plus11"] == "SPEAKER_00\r\n[00:00:01 - 00:00:09]\r\nWe agreed. Reach us under [PHONE], day or night."
 
 
+def test_texts_of_one_id_keep_their_own_places(transcripts):
+    rows = [("a", "u", None, "write to t_harlan09@postfach.test today"), ("a", "u", None, "zz now write to lev@inbox.example"), ("b", "u", None, "by lev@inbox.example")]
+    assert {r["id"]: r["text"] for r in pii.redacted(transcripts(rows)).collect()} == {"a": "write to [EMAIL] today", "b": "by [EMAIL]"}
+
+
 def test_spans_are_cut_out_by_place():
     text = "SPEAKER_00: call 12 34\r\n[00:01] Anna Berg and Anna Bergmann, 12 3456\rAnna Berg"
     bare = "call 12 34\nAnna Berg and Anna Bergmann, 12 3456\nAnna Berg"

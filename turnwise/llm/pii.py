@@ -492,10 +492,16 @@ def redacted(df: DataFrame, key: str = "id", text: str = "transcription_text", t
     Spans are cut out by their places, so a name inside a longer word or a number inside a longer one stays. Rows of one id with
     different texts count as one, the least text.
     """
-    rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-    span = F.struct("start", F.length("value").alias("size"), "kind")
-    places = resolved(judged(rows, "id", "text").filter(F.col("probability") >= threshold)).groupBy("id").agg(F.sort_array(F.collect_set(span)).alias("found"))
-    joined = rows.join(places, "id", "left").select("id", "text", headless(F.col("text")).alias("bare"), "found")
+    # spans are found per id and text on the table as it is; the texts move once, to become one a transcript
+    base = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    rows = base.groupBy("id").agg(F.min("text").alias("text"))
+    mark = F.hex(F.xxhash64("text"))
+    named = base.filter(F.col("text").isNotNull()).select(F.concat_ws("\x1f", "id", mark).alias("id"), "text")
+    likely = resolved(judged(named, "id", "text").filter(F.col("probability") >= threshold)).withColumn("of", F.substring_index("id", "\x1f", -1))
+    span = F.struct("start", F.length("value").alias("size"), "kind", "of")
+    places = likely.select(F.expr("left(id, length(id) - length(of) - 1)").alias("id"), span.alias("span")).groupBy("id").agg(F.collect_set("span").alias("found"))
+    own = F.filter("found", lambda f: f["of"] == mark)
+    joined = rows.join(places, "id", "left").select("id", "text", headless(F.col("text")).alias("bare"), own.alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
