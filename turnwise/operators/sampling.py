@@ -225,14 +225,14 @@ def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> Data
     contrastive = max(0, k - representative - sentinel)
     stratum = ["content_category", "language", "length_bin", "dialogue_bin"]
     # features are computed from the texts once; what follows reads them several times
-    rows = scored(stash(df, "candidates")).withColumn("_tie", F.xxhash64(F.lit(seed), F.col("transcript_id")))
-    near = [F.asc("distance"), F.asc("_tie"), F.asc("transcript_id")]
+    rows = scored(stash(df, "candidates")).withColumn("_tie", F.md5(F.concat(F.lit(f"{seed}:"), F.col("transcript_id"))))
+    near = [F.round("distance", 9), F.asc("_tie"), F.asc("transcript_id")]  # what differs by less is a tie
     in_stratum = Window.partitionBy("month", *stratum)
     month = Window.partitionBy("month")
     # only the k best of each stratum and the k most anomalous and most central of a month can ever be chosen; these windows stand on
     # the bare rows, so that each task keeps k rows a group before anything is shuffled
     first = lambda window, *order: rows.withColumn("_c", F.row_number().over(window.orderBy(*order))).filter(F.col("_c") <= k).drop("_c")
-    chosen = first(in_stratum, *near).unionByName(first(month, *near)).unionByName(first(month, F.desc("anomaly"), F.asc("_tie"), F.asc("transcript_id")))
+    chosen = first(in_stratum, *near).unionByName(first(month, *near)).unionByName(first(month, F.round("anomaly", 9).desc(), F.asc("_tie"), F.asc("transcript_id")))
     sizes = rows.groupBy("month", *stratum).agg(F.count("*").alias("_size"))
     totals = sizes.groupBy("month").agg(F.sum("_size").alias("_month_n"))
     pool = chosen.dropDuplicates(["month", "transcript_id"]).join(sizes, ["month", *stratum]).join(totals, "month")
@@ -254,7 +254,7 @@ def stratified_sample(df: DataFrame, per_month: int = 8, seed: int = 42) -> Data
     left = F.row_number().over(in_stratum.orderBy(F.when(F.col("selection_reason").isNull(), 0).otherwise(1), *near))
     pool = pool.withColumn("_first_open", (left == 1) & F.col("selection_reason").isNull())
     pool = choose(pool, "contrastive_rare_stratum", F.col("_first_open"), [F.asc("_size"), F.asc("_tie")], F.lit(contrastive))
-    pool = choose(pool, "quality_sentinel", F.lit(True), [F.desc("anomaly"), F.asc("_tie")], F.lit(sentinel))
+    pool = choose(pool, "quality_sentinel", F.lit(True), [F.round("anomaly", 9).desc(), F.asc("_tie")], F.lit(sentinel))
     pool = pool.withColumn("_taken", taken)
     pool = choose(pool, "balanced_fill", F.lit(True), near, F.lit(k) - F.col("_taken"))
     return pool.filter(F.col("selection_reason").isNotNull()).drop("_tie", "_size", "_place", "_month_n", "_taken", "_first_open", "center_tokens", "center_segments", "center_speakers", "center_malformed")

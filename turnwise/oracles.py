@@ -278,10 +278,49 @@ def month_center(at: str, latin: str) -> str:
     return f"WITH {candidates(at, latin)} SELECT month, center_tokens, center_segments, center_speakers, round(center_malformed, 6) AS center_malformed FROM centers"
 
 
+_LOGS = lambda a, b: f"abs(ln(1 + {a}) - ln(1 + {b}))"
+_DISTANCE = f"{_LOGS('total_tokens', 'center_tokens')} + {_LOGS('segment_count', 'center_segments')} + 0.4 * abs(distinct_speakers - center_speakers) + 2.0 * abs(malformed_timestamp_ratio - center_malformed)"
+_ANOMALY = f"5.0 * malformed_timestamp_ratio + 0.5 * speaker_switch_rate + 3.0 * repeated_char_run_ratio + 10.0 * nonprintable_ratio + 0.5 * unicode_replacement_count + CASE WHEN unreasonable_speaker_churn THEN 2.0 ELSE 0.0 END + 0.2 * {_LOGS('total_tokens', 'greatest(center_tokens, 1.0)')}"
+_RATES = ("nonprintable_ratio", "repeated_char_run_ratio", "malformed_timestamp_ratio", "speaker_switch_rate", "language_confidence", "category_confidence")
+
+
 def sample_candidates(at: str, latin: str) -> str:
-    logs = lambda a, b: f"abs(ln(1 + {a}) - ln(1 + {b}))"
-    rounded = ("nonprintable_ratio", "repeated_char_run_ratio", "malformed_timestamp_ratio", "speaker_switch_rate", "language_confidence", "category_confidence", "center_malformed")
-    return f"""WITH {candidates(at, latin)} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}),
-      round({logs('total_tokens', 'center_tokens')} + {logs('segment_count', 'center_segments')} + 0.4 * abs(distinct_speakers - center_speakers) + 2.0 * abs(malformed_timestamp_ratio - center_malformed), 6) AS distance,
-      round(5.0 * malformed_timestamp_ratio + 0.5 * speaker_switch_rate + 3.0 * repeated_char_run_ratio + 10.0 * nonprintable_ratio + 0.5 * unicode_replacement_count + CASE WHEN unreasonable_speaker_churn THEN 2.0 ELSE 0.0 END + 0.2 * {logs('total_tokens', 'greatest(center_tokens, 1.0)')}, 6) AS anomaly
-      FROM cand JOIN centers USING (month)"""
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in (*_RATES, "center_malformed"))
+    return f"WITH {candidates(at, latin)} SELECT * REPLACE ({rounded}), round({_DISTANCE}, 6) AS distance, round({_ANOMALY}, 6) AS anomaly FROM cand JOIN centers USING (month)"
+
+
+def _chosen(at: str, latin: str, k: int, seed: int) -> str:
+    """CTEs up to ``chosen``: the stratified sample without the excluded ids, step after step over all candidates."""
+    stratum = "month, content_category, language, length_bin, dialogue_bin"
+    near = "round(distance, 9), tie, transcript_id"
+    sentinel, representative = int(k >= 4), max(1, round(k * 0.65))
+    steps = (
+        ("representative_dominant_stratum", "place = 1", "size DESC, tie, transcript_id", f"{representative}"),
+        ("representative_month_center", "TRUE", near, f"{representative} - taken"),
+        ("contrastive_rare_stratum", "first_open", "size, tie, transcript_id", f"{max(0, k - representative - sentinel)}"),
+        ("quality_sentinel", "TRUE", "round(anomaly, 9) DESC, tie, transcript_id", f"{sentinel}"),
+        ("balanced_fill", "TRUE", near, f"{k} - taken"),
+    )
+    base = candidates(at, latin).replace("    cand AS (", "    cand_all AS (").replace("    centers AS (", "    cand AS (SELECT * FROM cand_all WHERE transcript_id NOT IN (SELECT trim(transcript_id) FROM excluded_ids WHERE trim(transcript_id) <> '')),\n    centers AS (")
+    ctes = [
+        base,
+        f"scored AS (SELECT cand.*, {_DISTANCE} AS distance, {_ANOMALY} AS anomaly, md5('{seed}:' || transcript_id) AS tie FROM cand JOIN centers USING (month))",
+        f"step0 AS (SELECT *, count(*) OVER (PARTITION BY {stratum}) AS size, row_number() OVER (PARTITION BY {stratum} ORDER BY {near}) AS place, count(*) OVER (PARTITION BY month) AS month_n, CASE WHEN count(*) OVER (PARTITION BY month) <= {k} THEN 'all_available_for_sparse_month' END AS reason FROM scored)",
+    ]
+    for i, (reason, eligible, order, upto) in enumerate(steps):
+        ctes.append(f"open{i} AS (SELECT *, count(reason) OVER (PARTITION BY month) AS taken, reason IS NULL AND row_number() OVER (PARTITION BY {stratum} ORDER BY reason IS NOT NULL, {near}) = 1 AS first_open FROM step{i})")
+        ctes.append(
+            f"step{i + 1} AS (SELECT * EXCLUDE (taken, first_open, e, r) REPLACE (CASE WHEN e AND r <= {upto} THEN '{reason}' ELSE reason END AS reason) FROM (SELECT *, row_number() OVER (PARTITION BY month, e ORDER BY {order}) AS r FROM (SELECT *, reason IS NULL AND month_n > {k} AND ({eligible}) AS e FROM open{i})))"
+        )
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in (*_RATES, "distance", "anomaly"))
+    ctes.append(f"chosen AS (SELECT * EXCLUDE (tie, size, place, month_n, reason) REPLACE ({rounded}), reason AS selection_reason FROM step{len(steps)} WHERE reason IS NOT NULL)")
+    return ",\n    ".join(ctes)
+
+
+def stratified_sample(at: str, latin: str, k: int = 8, seed: int = 42) -> str:
+    return f"WITH {_chosen(at, latin, k, seed)} SELECT * FROM chosen"
+
+
+def sample_excerpts(at: str, latin: str, n: int = 4500, k: int = 8, seed: int = 42) -> str:
+    cut = excerpt(n).replace("doc_id", "transcript_id").replace("coalesce(text, '')", "t").replace("FROM documents", "FROM cand_base").replace("AS limited", "AS excerpt_limited")
+    return f"WITH {_chosen(at, latin, k, seed)}, cut AS ({cut}) SELECT * FROM chosen JOIN cut USING (transcript_id)"

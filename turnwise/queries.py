@@ -370,8 +370,8 @@ def _sample(s: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_sample(sampling.exclude(sampling.candidates(_texts(s, d)), _read(s, d, "excluded_ids")))
 
 
-_query("stratified_sample")(_sample)
-_query("sample_excerpts")(lambda s, d: sampling.with_excerpts(_sample(s, d), _read(s, d)))
+_query("stratified_sample", oracles.stratified_sample(_AT_TRIMMED, _CLASSES["latin"]))(lambda s, d: rounded(_sample(s, d)))
+_query("sample_excerpts", oracles.sample_excerpts(_AT_TRIMMED, _CLASSES["latin"]))(lambda s, d: rounded(sampling.with_excerpts(_sample(s, d), _read(s, d))))
 _ELIGIBLE = f"SELECT DISTINCT ON (trim(id)) trim(id) AS transcript_id, strftime({_AT_TRIMMED}, '%Y-%m') AS month FROM sample_multiline WHERE {_AT_TRIMMED} IS NOT NULL"
 _KEPT = f"SELECT * FROM ({_ELIGIBLE}) c ANTI JOIN (SELECT trim(transcript_id) AS transcript_id FROM excluded_ids WHERE trim(transcript_id) <> '') x USING (transcript_id)"
 _query("sample_quota", f"SELECT month, least(count(*), 8) AS n FROM ({_KEPT}) GROUP BY 1")(lambda s, d: _sample(s, d).groupBy("month").agg(F.count("*").alias("n")))
