@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMAT = "yyyy-MM-dd HH:mm:ss"
 SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
@@ -31,6 +30,3 @@ def bucket_iso_week(ts: Column) -> Column:
 def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
-
-def bucket_label(ts: Column) -> Column:
-    return F.date_format(ts, FORMAT)

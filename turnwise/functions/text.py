@@ -46,12 +46,6 @@ def strip(c: Column) -> Column:
     return F.btrim(_text(c), F.lit(WHITE))
 
 
-def split_lines(c: Column) -> Column:
-    """Lines of a text; a line end at the end of the text opens no further line. Empty for null and empty text."""
-    lines = F.split(_text(c), LINE_ENDS)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-
-
 def line_feeds(c: Column) -> Column:
     """Every kind of line end as ``\\n``."""
     return F.regexp_replace(_text(c), LINE_ENDS, "\n")

@@ -23,6 +23,7 @@ KEYWORDS = {
 }
 # fixed values: equal strengths are settled in this order
 ORDER = ["tech_it", "business_work", "finance_legal", "education", "support", "media_creative", "personal", "dialogue_meeting"]
+# fixed values: where a dialogue may win, its scale, and the strength that counts as full without a rival
 DIALOGUE_MAX_COVERAGE, DIALOGUE_MAX_HITS, DIALOGUE_FULL, LONE_STRENGTH = 0.12, 2, 28.0, 0.18
 
 # fixed values: stems of the raw summary's labels, and its own order
@@ -36,14 +37,17 @@ RAW_KEYWORDS = {
     "support_ops": ["инструкц", "настрой", "помог", "поддерж", "проблем", "решен", "issue", "support", "setup", "fix", "configure", "install"],
 }
 RAW_ORDER = ["tech_it", "finance_legal", "work_business", "education_learning", "support_ops", "media_creative", "personal_life"]
+# fixed values: labels by number of words
 RAW_FALLBACKS = ("very_short_notes", "quick_messages", "general_speech")
 
+# fixed values: fillers and sound marks that are no words
 FILLERS = r"(?iU)\b(?:ээ+|мм+|ух|ага|ммм)\b|\[(?:noise|music|silence|applause|неразборчиво)\]"
 
 
 def clean_text(segments: Column) -> Column:
     """The body lines without leftover labels and times, those longer than two characters, joined by blanks."""
     lines = F.flatten(F.transform(segments, lambda s: F.split(s["body"], "\n")))
+    # fixed values: the patterns of left-over labels and times
     bare = F.transform(
         lines,
         lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?i)\[?SPEAKER_\d+\]?", ""), r"\[\d{2}:\d{2}:\d{2}.*?\]", ""), r"(?U)\d{2}:\d{2}:\d{2}\s*-\s*\d{2}:\d{2}:\d{2}:?", "")),

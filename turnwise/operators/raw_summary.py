@@ -12,9 +12,12 @@ from turnwise.operators.category import raw_labels, raw_primary, raw_tokens
 
 # fixed values: words that are not counted
 STOPWORDS = (
-    "это как что или для все только когда если уже надо будет после потому так просто очень меня тебя себя оно она они его "
-    "and the you are was were not but for can has had this that have from your about there they them then also just into"
-).split()
+    "это", "как", "что", "или", "для", "все", "только", "когда", "если", "уже", "надо", "будет", "после", "потому",
+    "так", "просто", "очень", "меня", "тебя", "себя", "оно", "она", "они", "его", "and", "the", "you", "are",
+    "was", "were", "not", "but", "for", "can", "has", "had", "this", "that", "have", "from", "your", "about",
+    "there", "they", "them", "then", "also", "just", "into",
+)
+# fixed values: patterns of the quality flags and the longest counted word
 NOISE = r"(?iU)\b(?:ээ+|мм+|uh+|um+|aaa+|ага+)\b|\[(?:noise|music|silence|applause)\]|\b(?:неразборчиво|inaudible|unintelligible)\b"
 PLACEHOLDER = r"(?iU)\b(?:тест|test|sample|пример|пусто|без текста)\b"
 SPEAKER = r"(?U)\[?SPEAKER_\d{2}\]?"
@@ -54,7 +57,7 @@ def raw_rows(df: DataFrame, created_at: str = "created_at", text: str = "transcr
     """Rows with a readable time: month, flags, counts, labels, primary label and counted words (all, or the first ``tokens_a_row``)."""
     at = parse_created_at(F.col(created_at), trim=True)
     rows = df.select(month_key(at).alias("month"), F.coalesce(text, F.lit("")).alias("_t")).filter(F.col("month").isNotNull())
-    kept = F.filter(raw_tokens(F.col("_t")), lambda w: ~w.isin(STOPWORDS) & (F.length(w) <= MAX_TOKEN))
+    kept = F.filter(raw_tokens(F.col("_t")), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) <= MAX_TOKEN))
     kept = kept if tokens_a_row is None else F.slice(kept, 1, tokens_a_row)
     rows = rows.withColumns(quality_flags(F.col("_t"))).withColumns({"labels": raw_labels(F.col("_t")), "words": kept})
     return rows.withColumns({"primary_label": raw_primary(F.col("_t"), F.col("labels")), "dominance": dominance(F.col("cyr"), F.col("lat"))}).drop("_t")

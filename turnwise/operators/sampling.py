@@ -21,6 +21,7 @@ from turnwise.operators.category import KEYWORDS
 from turnwise.operators.skew import ranked_quantiles
 from turnwise.session import small, stash
 
+# fixed values: patterns of the cheap features
 _CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:\.\d+)?"
 TIMES = rf"\[\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}\s*\]|(?m:^)\s*{_CLOCK}\s*[-–—]\s*{_CLOCK}:"
 SPEAKERS = r"(?im)^\s*\[?\s*(SPEAKER_\d+|SPEAKER_[A-Z]{1,3})\s*\]?\s*$"
@@ -32,6 +33,7 @@ LANGUAGE_ALIASES = {"russian": "ru", "rus": "ru", "ru-ru": "ru", "cyrillic": "cy
 
 
 def length_bin(n: Column) -> Column:
+    """The limits of this and the two bins below are fixed values."""
     return F.when(n < 20, "very_short").when(n < 120, "short").when(n < 500, "medium").when(n < 1200, "long").otherwise("very_long")
 
 
@@ -194,12 +196,13 @@ def month_center(df: DataFrame) -> DataFrame:
 
 
 def distance() -> Column:
-    """How far a candidate is from its month's center."""
+    """How far a candidate is from its month's center; the weights are fixed values."""
     logs = lambda a, b: F.abs(F.log1p(F.col(a)) - F.log1p(F.col(b)))
     return logs("total_tokens", "center_tokens") + logs("segment_count", "center_segments") + 0.4 * F.abs(F.col("distinct_speakers") - F.col("center_speakers")) + 2.0 * F.abs(F.col("malformed_timestamp_ratio") - F.col("center_malformed"))
 
 
 def anomaly() -> Column:
+    """How odd a candidate is; the weights are fixed values."""
     outlier = F.abs(F.log1p("total_tokens") - F.log1p(F.greatest(F.col("center_tokens"), F.lit(1.0))))
     return (
         5.0 * F.col("malformed_timestamp_ratio") + 0.5 * F.col("speaker_switch_rate") + 3.0 * F.col("repeated_char_run_ratio") + 10.0 * F.col("nonprintable_ratio")
