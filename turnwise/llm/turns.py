@@ -260,7 +260,8 @@ def says_something(body: str) -> bool:
     """Whether more is said than sound annotations and hesitations."""
     if "[" in body or "(" in body or "*" in body or "<" in body:
         body = _SOUND.sub(" ", body)
-    for word in _WORD.findall(body):
+    for m in _WORD.finditer(body):  # the first word decides nearly always
+        word = m.group()
         if len(word) > 8 or not _HESITATION.fullmatch(word.lower()):
             return True
     return False
@@ -326,8 +327,8 @@ def utterances(text: str, words: frozenset[str], layouts: dict | None = None) ->
     return utterances(text, words | own, layouts) if own else out
 
 
-def turns(text: str | None, words: frozenset[str], layouts: dict | None = None) -> list[tuple[str, str]]:
-    """(speaker, text) of each turn in order."""
+def turns(text: str | None, words: frozenset[str], layouts: dict | None = None, with_text: bool = True) -> list[tuple[str, str]]:
+    """(speaker, text) of each turn in order; the text is left empty unless asked for."""
     if not text:
         return []
     kept = [u for u in utterances(text, words, layouts) if u[1] is not None and says_something(" ".join(u[2]))]
@@ -343,6 +344,8 @@ def turns(text: str | None, words: frozenset[str], layouts: dict | None = None)
             out[-1][1].extend(lines)
         else:
             out.append((speaker, list(lines)))
+    if not with_text:
+        return [(s, "") for s, _ in out]
     return [(s, " ".join(" ".join(_SOUND.sub(" ", x).split()) for x in lines)) for s, lines in out]
 
 
@@ -359,7 +362,7 @@ def speaker_turns(df: DataFrame, common: list[str], with_text: bool = True, key:
         for b in batches:
             keys, speakers, says = [], [], []
             for k, t, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), junk(b.column(2).to_pylist(), known)):
-                own = turns(t, words, layouts) if not bad else None
+                own = turns(t, words, layouts, with_text) if not bad else None
                 if own:
                     keys.append(k)
                     speakers.append([s for s, _ in own])
