@@ -104,6 +104,11 @@ FIELDS = ("n_words", "visible", "symbols", "marks", "n_lines", "punctuated", "bu
 
 def count(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndarray]:
     """The counts (``FIELDS``) of each text. ``common`` comes from ``common_hashes``; line ends are ``\\n``."""
+    found = [_count(texts[part], common) for part in parts(texts)]
+    return {f: np.concatenate([c[f] for c in found]) for f in FIELDS}
+
+
+def _count(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndarray]:
     kind_of, lower_of = _tables()
     docs = len(texts)
     if not docs:
