@@ -112,11 +112,18 @@ STEPS = 4096  # steps an octave of the coarse places of values
 
 
 def _coarse(x):
-    """A whole number that never falls as ``x`` grows, the same for values within 1/4096 of an octave; null for null."""
-    size = F.floor(F.log2(F.abs(x)) * STEPS).cast("bigint") + F.lit(2000 * STEPS)
+    """A whole number that never falls as ``x`` grows, the same for values within 1/4096 of an octave; null for null, infinity beside the largest."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1024.0)) * STEPS).cast("bigint") + F.lit(2000 * STEPS)
     return F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0))
 
 
+def _between(low, high, part):
+    """The point ``part`` of the way from ``low`` to ``high``, in the arithmetic of DuckDB's ``quantile_cont``: low * (1 - part) is added
+    without being rounded first. Numbers of few places often end up on a tie of the next one, where the last bit tells."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when(low.isNotNull() & (part > 0), fused).otherwise(low)
+
+
 def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75)) -> DataFrame:
     """(keys, metric, n_rows, q_0, q_1, ...): exact quantiles with linear interpolation, whatever share of the rows a group holds.
 
@@ -159,4 +166,4 @@ def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tup
         at_rank = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.col("x")))
         ends += [at_rank(F.floor(p)).alias(f"_lo{i}"), at_rank(F.ceil(p)).alias(f"_hi{i}"), F.max(p - F.floor(p)).alias(f"_f{i}")]
     found = kept.groupBy(*group).agg(F.max("n_rows").alias("n_rows"), *ends)
-    return found.select(*group, "n_rows", *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q_{i}") for i in range(len(at))])
+    return found.select(*group, "n_rows", *[_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")).alias(f"q_{i}") for i in range(len(at))])

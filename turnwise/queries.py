@@ -1,13 +1,13 @@
 """Queries of the core operators over a directory of tables, with their SQL equivalents.
 
-Doubles are rounded to six places on both sides, as engines interpolate percentiles in different orders of operations.
+Doubles are rounded to six places on both sides, as engines add up in different orders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise import oracles
@@ -45,7 +45,17 @@ def _texts(s: SparkSession, d: str, table: str = "sample_multiline") -> DataFram
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.withColumns({f"{c}": F.round(c, places) for c, t in df.dtypes if t == "double"})
+    """Doubles rounded as DuckDB's ``round`` does: the product with 10^places to a whole number, halves away from zero.
+
+    Spark's own takes the printed number instead, and so parts from it on ties such as 0.0320655.
+    """
+    unit = 10.0**places
+
+    def nearest(c: str) -> Column:
+        scaled = F.col(c) * unit
+        return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / unit).otherwise(F.col(c))
+
+    return df.withColumns({f"{c}": nearest(c) for c, t in df.dtypes if t == "double"})
 
 
 _AT = "CASE WHEN regexp_full_match(created_at, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN try_strptime(created_at, '%Y-%m-%d %H:%M:%S') END"
