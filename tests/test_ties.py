@@ -56,3 +56,9 @@ def test_rounded_as_duckdb(spark):
     want = duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()
     assert [r[0] for r in rounded(df).collect()] == [r[0] for r in want]
     assert math.isnan(rounded(spark.createDataFrame([(math.nan,)], "x double")).first()[0])
+
+
+def test_long_form_aggregate_on_ties(spark, tied):
+    got, want = both(spark, tied, "long_form_aggregate")
+    assert len(got) == 4 * 409
+    assert {r[:2]: r for r in got} == {r[:2]: r for r in want}
