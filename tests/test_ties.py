@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from turnwise.operators import skew
+from turnwise.operators import reshape, skew
 from turnwise.queries import METRICS, QUERIES, SQL, rounded
 
 START = dt.datetime(2024, 1, 1, 12)
@@ -62,3 +62,21 @@ def test_long_form_aggregate_on_ties(spark, tied):
     got, want = both(spark, tied, "long_form_aggregate")
     assert len(got) == 4 * 409
     assert {r[:2]: r for r in got} == {r[:2]: r for r in want}
+
+
+def test_long_form_aggregate_on_signed_zeros_and_nan(spark, tmp_path):
+    nan, inf = math.nan, math.inf
+    days = [[-0.0], [-0.0] * 3, [-4e-7], [-4e-7, 4e-7, 4e-7], [-1.0, -0.0], [0.0, 0.0], [nan], [1.0, nan], [1.0, 2.0, 3.0, 4.0, nan], [inf, nan, -inf]]
+    rows = [(START + dt.timedelta(days=i), 3, x, x, None) for i, day in enumerate(days) for x in day]
+    df = spark.createDataFrame(rows, "created_at_parsed timestamp_ntz, " + ", ".join(f"{m} {'double' if 'ratio' in m or 'seconds' in m else 'bigint'}" for m in METRICS))
+    df.withColumn("bucket_day", df.created_at_parsed.cast("string")).write.parquet(f"{tmp_path}/feature_rows.parquet")
+    got, want = both(spark, str(tmp_path), "long_form_aggregate")
+    assert len(got) == 4 * len(days)
+    assert {r[:2]: repr(r) for r in got} == {r[:2]: repr(r) for r in want}  # 0.0 == -0.0, their texts differ
+
+
+def test_long_form_of_odd_years(spark):
+    years = (-43, 0, 7, 999, 2024, 9999, 12000)
+    wide = spark.sql(" UNION ALL ".join(f"SELECT make_timestamp_ntz({y}, 3, 15, 0, 0, 0) AS bucket_day, 1L AS n_rows, 1D AS x_median, 1D AS x_q1, 1D AS x_q3" for y in years))
+    want = duckdb.execute("SELECT strftime(make_timestamp(unnest(?::BIGINT[]), 3, 15, 0, 0, 0), '%Y-%m-%d %H:%M:%S')", [list(years)]).fetchall()
+    assert sorted(r[0] for r in reshape.to_long(wide, "bucket_day").collect()) == sorted(r[0] for r in want)

@@ -29,13 +29,16 @@ def valid_times(df: DataFrame, created_at: str = "created_at") -> DataFrame:
     return add_buckets(df.withColumn("created_at_parsed", parse_created_at(F.col(created_at))).filter(F.col("created_at_parsed").isNotNull()))
 
 
-def aggregate_buckets(df: DataFrame, keys: str | list[str], metrics: Sequence[str]) -> DataFrame:
-    """Per group ``n_rows`` (all rows) and the median and quartiles of each metric that is there. A null key is a group."""
+def aggregate_buckets(df: DataFrame, keys: str | list[str], metrics: Sequence[str], nan_last: bool = False) -> DataFrame:
+    """Per group ``n_rows`` (all rows) and the median and quartiles of each metric that is there. A null key is a group.
+
+    NaN is ignored, or, with ``nan_last``, the largest value, as in SQL.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     there = [m for m in metrics if m in df.columns]
     if not there:
         return df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    long = ranked_quantiles(df, keys, there)
+    long = ranked_quantiles(df, keys, there, nan_last=nan_last)
     wide = [F.max(F.when(F.col("metric") == m, F.col(f"q_{i}"))).alias(f"{m}_{name}") for m in there for i, name in enumerate(("median", "q1", "q3"))]
     return long.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), *wide)
 

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def to_long(wide: DataFrame, bucket: str) -> DataFrame:
     """(time_bucket, metric, median, q1, q3, n_rows_per_bucket) from an aggregate with ``{metric}_median``, ``_q1`` and ``_q3``.
 
-    Metrics without all three are left out; without any metric the result is empty. Times print as text.
+    Metrics without all three are left out; without any metric the result is empty. Times print as text, years outside 0 to 9999 as
+    plain numbers.
     """
     names = set(wide.columns)
     metrics = [c[: -len("_median")] for c in wide.columns if c.endswith("_median") and {c[:-7] + "_q1", c[:-7] + "_q3"} <= {*names, *(x for x in names)}]
     metrics = [m for m in metrics if f"{m}_q1" in names and f"{m}_q3" in names]
     kind = dict(wide.dtypes)[bucket]
-    label = F.date_format(bucket, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else F.col(bucket).cast("string")
+    year = F.when(F.year(bucket).between(0, 9999), F.lpad(F.year(bucket).cast("string"), 4, "0")).otherwise(F.year(bucket).cast("string"))
+    label = F.concat(year, F.date_format(bucket, "-MM-dd HH:mm:ss")) if kind.startswith("timestamp") else F.col(bucket).cast("string")
     entries = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{p}").cast("double").alias(p) for p in ("median", "q1", "q3")]) for m in metrics]
     if not entries:
         empty = F.struct(F.lit("").alias("metric"), *[F.lit(0.0).alias(p) for p in ("median", "q1", "q3")])

@@ -124,19 +124,22 @@ def _between(low, high, part):
     return F.when(low.isNotNull() & (part > 0), fused).otherwise(low)
 
 
-def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75)) -> DataFrame:
+def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tuple[float, ...] = (0.5, 0.25, 0.75), nan_last: bool = False) -> DataFrame:
     """(keys, metric, n_rows, q_0, q_1, ...): exact quantiles with linear interpolation, whatever share of the rows a group holds.
 
     Equal values of a group are counted before and after the shuffle, so what moves on are distinct values, spread by group and
     value. Their counts are summed by coarse places (a bounded number a group), prefix sums of these say in which places the
     wanted ranks lie, and only values of those places are numbered. A percentile aggregate would gather all distinct values of a
-    group in one task instead. Nulls and NaN are ignored; a null key is a group; a metric without values has null quantiles.
+    group in one task instead. Nulls and NaN are ignored (with ``nan_last`` NaN is the largest value); a null key is a group; a metric
+    without values has null quantiles. Zeros of a group that are all negative stay so, among others they count as 0.0.
     ``n_rows`` counts all rows of the group. An empty table gives none.
     """
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    long = df.select(*keys, F.explode(entries).alias("m")).select(*keys, "m.metric", F.when(~F.isnan("m.x"), F.col("m.x") + 0.0).alias("x"))
+    x = F.col("m.x") if nan_last else F.when(~F.isnan("m.x"), F.col("m.x"))
+    minus = F.when(x == 0, F.pow(x, F.lit(-1.0)) < 0)  # only the reciprocal tells -0.0 from 0.0
+    long = df.select(*keys, F.explode(entries).alias("m")).select(*keys, "m.metric", (x + 0.0).alias("x"), minus.alias("_minus"))
     group = [*keys, "metric"]
-    counts = long.groupBy(*group, "x").agg(F.count("*").alias("_n")).withColumn("_b", _coarse(F.col("x")))
+    counts = long.groupBy(*group, "x").agg(F.count("*").alias("_n"), F.every("_minus").alias("_minus")).withColumn("_b", _coarse(F.col("x")))
     places = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n_b"))
     whole = Window.partitionBy(*group)
     valued = F.when(F.col("_b").isNotNull(), F.col("_n_b")).otherwise(0)
@@ -163,7 +166,7 @@ def ranked_quantiles(df: DataFrame, keys: list[str], metrics: list[str], at: tup
     kept = numbered.filter((F.col("_total") == 0) | any_of(holds(F.col("_lo"), F.col("_hi"))))
     ends = []
     for i, p in enumerate(ranks):
-        at_rank = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.col("x")))
+        at_rank = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.when(F.col("_minus"), F.lit(-0.0)).otherwise(F.col("x"))))
         ends += [at_rank(F.floor(p)).alias(f"_lo{i}"), at_rank(F.ceil(p)).alias(f"_hi{i}"), F.max(p - F.floor(p)).alias(f"_f{i}")]
     found = kept.groupBy(*group).agg(F.max("n_rows").alias("n_rows"), *ends)
     return found.select(*group, "n_rows", *[_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")).alias(f"q_{i}") for i in range(len(at))])

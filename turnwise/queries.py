@@ -47,13 +47,14 @@ def _texts(s: SparkSession, d: str, table: str = "sample_multiline") -> DataFram
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded as DuckDB's ``round`` does: the product with 10^places to a whole number, halves away from zero.
 
-    Spark's own takes the printed number instead, and so parts from it on ties such as 0.0320655.
+    Spark's own takes the printed number instead, and so parts from it on ties such as 0.0320655, and gives zero no sign: what is
+    below zero and rounds to zero is -0.0.
     """
     unit = 10.0**places
 
     def nearest(c: str) -> Column:
         scaled = F.col(c) * unit
-        return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / unit).otherwise(F.col(c))
+        return F.when(F.abs(scaled) < float("inf"), F.signum(c) * F.round(F.abs(scaled)) / unit).otherwise(F.col(c))
 
     return df.withColumns({f"{c}": nearest(c) for c, t in df.dtypes if t == "double"})
 
@@ -121,7 +122,7 @@ _query(
         f"SELECT strftime({_BUCKETS['day'][1]}, '%Y-%m-%d %H:%M:%S') AS time_bucket, '{m}' AS metric, round(median({m}), 6) AS median, round(quantile_cont({m}, 0.25), 6) AS q1, round(quantile_cont({m}, 0.75), 6) AS q3, count(*) AS n_rows_per_bucket FROM feature_rows WHERE created_at_parsed IS NOT NULL GROUP BY 1"
         for m in METRICS
     ),
-)(lambda s, d: rounded(reshape.to_long(aggregates.aggregate_buckets(_features(s, d), "bucket_day", METRICS), "bucket_day")))
+)(lambda s, d: rounded(reshape.to_long(aggregates.aggregate_buckets(_features(s, d), "bucket_day", METRICS, nan_last=True), "bucket_day")))
 _SHARES = SQL["language_share_month"].replace("round(count(*) / sum(count(*)) OVER (PARTITION BY b), 6)", "count(*) / sum(count(*)) OVER (PARTITION BY b)")
 
 
